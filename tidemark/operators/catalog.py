@@ -26,13 +26,15 @@ class Feature(NamedTuple):
 SCORES = ["EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]
 _PRESENT = " + ".join(f"int({s} IS NOT NULL)" for s in SCORES)
 _DELINQUENT = "STATUS IN ('1', '2', '3', '4', '5')"
-# Newest month first, then the smallest bureau id. Both fit one BIGINT, so the aggregate keeps a
-# fixed-width buffer and stays a hash aggregate. Ids below 2^47 and 65,535 months are the key domain.
-_RECENCY = (
-    "CASE WHEN MONTHS_BALANCE BETWEEN -65535 AND 65534 AND SK_ID_BUREAU BETWEEN 0 AND 140737488355327 "
-    "THEN shiftleft(bigint(MONTHS_BALANCE), 47) + (140737488355327 - SK_ID_BUREAU) "
-    "WHEN MONTHS_BALANCE IS NULL OR SK_ID_BUREAU IS NULL THEN NULL "
-    "ELSE bigint(raise_error('month or bureau id outside the key domain')) END"
+# Newest month first, then the smallest bureau id; should one record have several rows for a month, a
+# delinquent one wins. Month, id and the delinquency bit fit one BIGINT, so the newest status is a plain
+# maximum with a fixed-width buffer. Ids below 2^46 and 65,535 months are the key domain.
+_NEWEST = (
+    "max(CASE WHEN MONTHS_BALANCE BETWEEN -65535 AND 65534 AND SK_ID_BUREAU BETWEEN 0 AND 70368744177663 "
+    "THEN shiftleft(bigint(MONTHS_BALANCE), 47) + shiftleft(70368744177663 - SK_ID_BUREAU, 1) "
+    f"+ bigint(coalesce({_DELINQUENT}, false)) "
+    "WHEN MONTHS_BALANCE IS NOT NULL AND SK_ID_BUREAU IS NOT NULL "
+    "THEN bigint(raise_error('month or bureau id outside the key domain')) END)"
 )
 
 
@@ -85,8 +87,7 @@ FEATURES = [
     _balance("max_delinquency_level", "Max Delinquency Level",
              "double(max(CASE WHEN STATUS IN ('0', 'C', 'X') THEN 0 "
              f"WHEN {_DELINQUENT} THEN int(STATUS) END))"),
-    _balance("latest_status_delinquent", "Latest Status Delinquent",
-             f"max_by(CASE WHEN {_DELINQUENT} THEN 1D ELSE 0D END, {_RECENCY})", "LATEST"),
+    _balance("latest_status_delinquent", "Latest Status Delinquent", f"double({_NEWEST} & 1)", "LATEST"),
 ]
 
 FEATURE_IDS = [f.feature_id for f in FEATURES]

@@ -100,7 +100,12 @@ def application(spark: SparkSession, folder: str) -> DataFrame:
     ))
 
 
-def points(spark: SparkSession, folder: str) -> DataFrame:
-    return build_points(_snapshot(table(spark, folder, "customer").select(
+def applicants(spark: SparkSession, folder: str) -> DataFrame:
+    """Applicant and label only."""
+    return _snapshot(table(spark, folder, "customer").select(
         F.col("c_custkey").alias("SK_ID_CURR"), (F.col("c_acctbal") < 0).cast("int").alias("TARGET")
-    )))
+    ))
+
+
+def points(spark: SparkSession, folder: str) -> DataFrame:
+    return build_points(applicants(spark, folder))
