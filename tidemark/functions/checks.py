@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 ENTITY_PATTERN = r"^SK_ID_CURR:[0-9]+\z"
 PREFIXED_SHA_PATTERN = r"^sha256:[0-9a-f]{64}\z"
 SHA_PATTERN = r"^[0-9a-fA-F]{64}\z"
+ERRORS = "array<struct<field:string,message:string>>"
 
 
 def rule(broken: Column, field: str, message: str) -> Column:
-    """NULL when kept. A condition that is NULL counts as kept, so test for NULL explicitly."""
-    return F.when(
-        F.coalesce(broken, F.lit(False)),
-        F.struct(F.lit(field).alias("field"), F.lit(message).alias("message")),
-    )
+    """An array with the error, empty when the rule is kept.
+
+    A condition that is NULL counts as kept, so test for NULL explicitly.
+    """
+    error = F.array(F.struct(F.lit(field).alias("field"), F.lit(message).alias("message")))
+    return F.when(F.coalesce(broken, F.lit(False)), error).otherwise(F.array().cast(ERRORS))
+
+
+def errors_of(rules: list[Column]) -> Column:
+    return F.flatten(F.array(*rules))
 
 
 def blank(c: Column) -> Column:
@@ -23,7 +29,12 @@ def blank(c: Column) -> Column:
 
 
 def with_errors(df: DataFrame, rules: list[Column]) -> DataFrame:
-    return df.withColumn("errors", F.array_compact(F.array(*rules)))
+    """Add ``errors``.
+
+    The column comes out of a generator of one row: a filter on it stays above, so that no rule and no
+    parsing behind it is evaluated a second time inside the filter.
+    """
+    return df.select("*", F.inline(F.array(F.struct(errors_of(rules).alias("errors")))))
 
 
 def route(df: DataFrame, rules: list[Column]) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,6 @@ their errors. The rules are plain Columns, so the same functions run on a stream
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -243,33 +242,51 @@ PAYLOAD_FIELDS = {
     },
 }
 TEXT_WORDS = {"CREDIT_ACTIVE": CREDIT_STATES, "STATUS": BALANCE_STATUSES}
-WHOLE_PATTERN = r"^-?[0-9]{1,18}\z"
 
+def with_payload_fields(
+    df: DataFrame, kinds: list[str], payload: str = "payload", kind: Column | None = None
+) -> DataFrame:
+    """Parse a JSON payload once: the JSON type of every known field, the text of judged ones.
 
-def _variant_fields(payload: str) -> tuple[Column, Column]:
-    parsed = F.try_parse_json(F.col(payload))
-    return parsed, F.coalesce(F.map_keys(F.from_json(payload, "map<string,string>")), F.array().cast("array<string>"))
+    The columns are temporary (``without_payload_fields``); rules then only compare strings. With
+    ``kind`` only the fields of a row's own kind are looked up.
+    """
+    owners: dict[str, list[str]] = {}
+    for k in kinds:
+        for group in PAYLOAD_FIELDS[k].values():
+            for field in group:
+                owners.setdefault(field, []).append(k)
+    judged = {f for k in kinds for f in PAYLOAD_FIELDS[k]["flag"] + PAYLOAD_FIELDS[k]["text"]}
+
+    def own(field: str, value: Column) -> Column:
+        return (value if kind is None else F.when(kind.isin(owners[field]), value)).alias(field)
+
+    parsed = df.withColumn("_doc", F.try_parse_json(F.col(payload)))
+    return parsed.withColumns({
+        "_keys": F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")),
+        "_types": F.struct(*[
+            own(f, F.schema_of_variant(F.try_variant_get("_doc", f"$.{f}", "variant"))) for f in owners
+        ]),
+        "_texts": F.struct(F.lit("").alias("_"), *[
+            own(f, F.try_variant_get("_doc", f"$.{f}", "string")) for f in owners if f in judged
+        ]),
+    })
+
+
+def without_payload_fields(df: DataFrame) -> DataFrame:
+    return df.drop("_doc", "_keys", "_types", "_texts")
 
 
 def payload_rules(kind: str, payload: str = "payload", words: dict[str, list[str]] = TEXT_WORDS) -> list[Column]:
-    """Rules over a JSON payload of one event type. Values are judged by their JSON type."""
+    """Rules over a payload parsed by ``with_payload_fields``. Values are judged by their JSON type."""
     fields = PAYLOAD_FIELDS[kind]
-    document, names = _variant_fields(payload)
-
-    def item(name: str) -> Column:
-        return F.try_variant_get(document, f"$.{name}", "variant")
+    document = F.col("_doc")
 
     def json_type(name: str) -> Column:
-        return F.schema_of_variant(item(name))
+        return F.coalesce(F.col(f"_types.{name}"), F.lit("VOID"))
 
     def present(name: str) -> Column:
-        return item(name).isNotNull() & ~F.is_variant_null(item(name))
-
-    def text(name: str) -> Column:
-        return F.try_variant_get(document, f"$.{name}", "string")
-
-    def whole(name: str) -> Column:
-        return json_type(name) == "BIGINT"
+        return json_type(name) != "VOID"
 
     def number(name: str) -> Column:
         return json_type(name).isin("BIGINT", "DOUBLE") | json_type(name).startswith("DECIMAL")
@@ -277,19 +294,22 @@ def payload_rules(kind: str, payload: str = "payload", words: dict[str, list[str
     known = fields["required"] + fields["whole"] + fields["number"] + fields["flag"] + fields["text"]
     rules = [rule(document.isNull(), payload, "must be a JSON object")]
     rules += [rule(document.isNotNull() & ~present(f), f, "is required") for f in fields["required"]]
-    rules += [rule(present(f) & ~whole(f), f, "must be a whole number") for f in fields["required"] + fields["whole"]]
+    rules += [rule(present(f) & (json_type(f) != "BIGINT"), f, "must be a whole number")
+              for f in fields["required"] + fields["whole"]]
     rules += [rule(present(f) & ~number(f), f, "must be a number") for f in fields["number"]]
-    rules += [rule(present(f) & ~(number(f) & text(f).isin("0", "1", "0.0", "1.0")), f, "must be 0 or 1")
-              for f in fields["flag"]]
+    for f in fields["flag"]:
+        rules.append(rule(present(f) & ~(number(f) & F.col(f"_texts.{f}").isin("0", "1", "0.0", "1.0")), f, "must be 0 or 1"))
     for f in fields["text"]:
-        rules.append(rule(present(f) & ~((json_type(f) == "STRING") & text(f).isin(words[f])), f, "unknown word"))
-    unknown = F.size(F.array_except(names, F.array(*map(F.lit, known)))) > 0
+        right = (json_type(f) == "STRING") & F.col(f"_texts.{f}").isin(words[f])
+        rules.append(rule(present(f) & ~right, f, "unknown word"))
+    unknown = F.size(F.array_except("_keys", F.array(*map(F.lit, known)))) > 0
     rules.append(rule(unknown, payload, "has unknown fields"))
     return rules
 
 
 def validate_payloads(df: DataFrame, kind: str, payload: str = "payload", words: dict = TEXT_WORDS) -> Routed:
-    return checks.route(df, payload_rules(kind, payload, words))
+    valid, quarantine = checks.route(with_payload_fields(df, [kind], payload), payload_rules(kind, payload, words))
+    return without_payload_fields(valid), without_payload_fields(quarantine)
 
 
 def expected_envelope_id() -> Column:
@@ -304,11 +324,12 @@ def expected_envelope_id() -> Column:
 def validate_envelopes(df: DataFrame) -> Routed:
     """Stream envelopes. The payload is JSON text; its type must fit the event type."""
     df = with_times(df, ["event_time", "produced_at"]).withColumn("_expected_id", expected_envelope_id())
+    df = with_payload_fields(df, list(STREAM_TABLES), kind=F.col("event_type"))
     table_of = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(t)) for k, t in STREAM_TABLES.items()])
     bad_payload = F.lit(False)
     for kind in STREAM_TABLES:
-        broken = reduce(and_, [r.isNull() for r in payload_rules(kind)])
-        bad_payload = F.when(F.col("event_type") == kind, ~broken).otherwise(bad_payload)
+        broken = F.size(checks.errors_of(payload_rules(kind))) > 0
+        bad_payload = F.when(F.col("event_type") == kind, broken).otherwise(bad_payload)
     rules = [
         rule(~F.coalesce(F.col("event_id").rlike(checks.PREFIXED_SHA_PATTERN), F.lit(False)), "event_id",
              "must be sha256: and 64 hexadecimal characters"),
@@ -325,7 +346,7 @@ def validate_envelopes(df: DataFrame) -> Routed:
              "does not follow from the content"),
     ]
     valid, quarantine = checks.route(df, rules)
-    return valid.drop("_expected_id"), quarantine.drop("_expected_id")
+    return tuple(without_payload_fields(rows).drop("_expected_id") for rows in (valid, quarantine))
 
 
 def feature_update_id(entity: Column, feature: Column, version: Column, time: Column, value: Column) -> Column:

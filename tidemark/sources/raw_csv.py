@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.checks import SHA_PATTERN, blank, rule, with_errors
+from tidemark.functions.checks import SHA_PATTERN, blank, errors_of, rule, with_errors
 from tidemark.operators.fingerprint import fingerprint
 from tidemark.settings import REQUIRED_COLUMNS
 
@@ -186,6 +186,6 @@ def check_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
     rules += differs("row_count", "row count changed")
     rules += differs("columns", "column count changed")
     return (
-        both.select(F.col("e.name").alias("name"), F.explode(F.array_compact(F.array(*rules))).alias("x"))
+        both.select(F.col("e.name").alias("name"), F.explode(errors_of(rules)).alias("x"))
         .select("name", "x.field", "x.message")
     )
