@@ -31,6 +31,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> dict[str, Entry]:
-    from tidemark.plans import checks_queries, feature_queries, source_queries  # noqa: F401
+    from tidemark.plans import checks_queries, feature_queries, report_queries, source_queries, stream_queries  # noqa: F401
 
     return ENTRIES
