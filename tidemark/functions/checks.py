@@ -37,13 +37,16 @@ def with_errors(df: DataFrame, rules: list[Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(errors_of(rules).alias("errors")))))
 
 
-def route(df: DataFrame, rules: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """Split into rows that keep every rule and rows that break some, the latter with all errors."""
-    marked = with_errors(df, rules)
+def split(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = F.size("errors") == 0
     return marked.where(kept).drop("errors"), marked.where(~kept)
 
 
+def route(df: DataFrame, rules: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Split into rows that keep every rule and rows that break some, the latter with all errors."""
+    return split(with_errors(df, rules))
+
+
 def error_counts(quarantine: DataFrame) -> DataFrame:
     """Broken rules by field and message. Partial aggregation keeps a common error cheap."""
     return (

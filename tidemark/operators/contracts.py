@@ -243,13 +243,15 @@ PAYLOAD_FIELDS = {
 }
 TEXT_WORDS = {"CREDIT_ACTIVE": CREDIT_STATES, "STATUS": BALANCE_STATUSES}
 
-def with_payload_fields(
-    df: DataFrame, kinds: list[str], payload: str = "payload", kind: Column | None = None
-) -> DataFrame:
+def _sql_list(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def with_payload_fields(df: DataFrame, kinds: list[str], payload: str = "payload", kind: str | None = None) -> DataFrame:
     """Parse a JSON payload once: the JSON type of every known field, the text of judged ones.
 
-    The columns are temporary (``without_payload_fields``); rules then only compare strings. With
-    ``kind`` only the fields of a row's own kind are looked up.
+    The columns are temporary (``without_payload_fields``); rules then only compare strings. With a
+    ``kind`` column only the fields of a row's own kind are looked up.
     """
     owners: dict[str, list[str]] = {}
     for k in kinds:
@@ -258,18 +260,19 @@ def with_payload_fields(
                 owners.setdefault(field, []).append(k)
     judged = {f for k in kinds for f in PAYLOAD_FIELDS[k]["flag"] + PAYLOAD_FIELDS[k]["text"]}
 
-    def own(field: str, value: Column) -> Column:
-        return (value if kind is None else F.when(kind.isin(owners[field]), value)).alias(field)
+    def lookup(fields: list[str], value: str) -> Column:
+        def own(f: str) -> str:
+            found = value.format(f"try_variant_get(_doc, '$.{f}'")
+            return f"CASE WHEN {kind} IN ({_sql_list(owners[f])}) THEN {found} END" if kind else found
+
+        pairs = ["'_', ''"] + [f"'{f}', {own(f)}" for f in fields]
+        return F.expr(f"named_struct({', '.join(pairs)})")
 
     parsed = df.withColumn("_doc", F.try_parse_json(F.col(payload)))
     return parsed.withColumns({
         "_keys": F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>")),
-        "_types": F.struct(*[
-            own(f, F.schema_of_variant(F.try_variant_get("_doc", f"$.{f}", "variant"))) for f in owners
-        ]),
-        "_texts": F.struct(F.lit("").alias("_"), *[
-            own(f, F.try_variant_get("_doc", f"$.{f}", "string")) for f in owners if f in judged
-        ]),
+        "_types": lookup(list(owners), "schema_of_variant({}, 'variant'))"),
+        "_texts": lookup([f for f in owners if f in judged], "{}, 'string')"),
     })
 
 
@@ -277,38 +280,40 @@ def without_payload_fields(df: DataFrame) -> DataFrame:
     return df.drop("_doc", "_keys", "_types", "_texts")
 
 
-def payload_rules(kind: str, payload: str = "payload", words: dict[str, list[str]] = TEXT_WORDS) -> list[Column]:
-    """Rules over a payload parsed by ``with_payload_fields``. Values are judged by their JSON type."""
-    fields = PAYLOAD_FIELDS[kind]
-    document = F.col("_doc")
-
-    def json_type(name: str) -> Column:
-        return F.coalesce(F.col(f"_types.{name}"), F.lit("VOID"))
-
-    def present(name: str) -> Column:
-        return json_type(name) != "VOID"
-
-    def number(name: str) -> Column:
-        return json_type(name).isin("BIGINT", "DOUBLE") | json_type(name).startswith("DECIMAL")
+def payload_errors(kind: str, payload: str = "payload", words: dict[str, list[str]] = TEXT_WORDS) -> Column:
+    """Errors of a payload parsed by ``with_payload_fields``. Values are judged by their JSON type.
 
+    The rules of a kind are one SQL text: there are many, and they all have the same few forms.
+    """
+    fields = PAYLOAD_FIELDS[kind]
     known = fields["required"] + fields["whole"] + fields["number"] + fields["flag"] + fields["text"]
-    rules = [rule(document.isNull(), payload, "must be a JSON object")]
-    rules += [rule(document.isNotNull() & ~present(f), f, "is required") for f in fields["required"]]
-    rules += [rule(present(f) & (json_type(f) != "BIGINT"), f, "must be a whole number")
-              for f in fields["required"] + fields["whole"]]
-    rules += [rule(present(f) & ~number(f), f, "must be a number") for f in fields["number"]]
-    for f in fields["flag"]:
-        rules.append(rule(present(f) & ~(number(f) & F.col(f"_texts.{f}").isin("0", "1", "0.0", "1.0")), f, "must be 0 or 1"))
-    for f in fields["text"]:
-        right = (json_type(f) == "STRING") & F.col(f"_texts.{f}").isin(words[f])
-        rules.append(rule(present(f) & ~right, f, "unknown word"))
-    unknown = F.size(F.array_except("_keys", F.array(*map(F.lit, known)))) > 0
-    rules.append(rule(unknown, payload, "has unknown fields"))
-    return rules
+    numeric = "(_types.{0} IN ('BIGINT', 'DOUBLE') OR startswith(_types.{0}, 'DECIMAL'))"
+    present = "coalesce(_types.{0}, 'VOID') != 'VOID'"
+    forms = {
+        "is required": ("_doc IS NOT NULL AND NOT " + present, fields["required"]),
+        "must be a whole number": (present + " AND _types.{0} != 'BIGINT'", fields["required"] + fields["whole"]),
+        "must be a number": (present + " AND NOT " + numeric, fields["number"]),
+        "must be 0 or 1": (
+            present + " AND NOT (" + numeric + " AND coalesce(_texts.{0}, '') IN ('0', '1', '0.0', '1.0'))", fields["flag"]
+        ),
+        "unknown word": (
+            present + " AND NOT (_types.{0} = 'STRING' AND _texts.{0} IN ({1}))", fields["text"]
+        ),
+    }
+    broken = [("_doc IS NULL", payload, "must be a JSON object")]
+    for message, (form, names) in forms.items():
+        broken += [(form.format(f, _sql_list(words.get(f, []))), f, message) for f in names]
+    broken.append((f"size(array_except(_keys, array({_sql_list(known)}))) > 0", payload, "has unknown fields"))
+    rules = [
+        f"CASE WHEN {bad} THEN array(named_struct('field', '{field}', 'message', '{message}')) "
+        f"ELSE cast(array() AS {checks.ERRORS}) END"
+        for bad, field, message in broken
+    ]
+    return F.expr(f"flatten(array({', '.join(rules)}))")
 
 
 def validate_payloads(df: DataFrame, kind: str, payload: str = "payload", words: dict = TEXT_WORDS) -> Routed:
-    valid, quarantine = checks.route(with_payload_fields(df, [kind], payload), payload_rules(kind, payload, words))
+    valid, quarantine = checks.route(with_payload_fields(df, [kind], payload), [payload_errors(kind, payload, words)])
     return without_payload_fields(valid), without_payload_fields(quarantine)
 
 
@@ -321,14 +326,14 @@ def expected_envelope_id() -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(parts, 256))
 
 
-def validate_envelopes(df: DataFrame) -> Routed:
-    """Stream envelopes. The payload is JSON text; its type must fit the event type."""
+def mark_envelopes(df: DataFrame) -> DataFrame:
+    """Stream envelopes with their ``errors``. The payload is JSON text and must fit the event type."""
     df = with_times(df, ["event_time", "produced_at"]).withColumn("_expected_id", expected_envelope_id())
-    df = with_payload_fields(df, list(STREAM_TABLES), kind=F.col("event_type"))
+    df = with_payload_fields(df, list(STREAM_TABLES), kind="event_type")
     table_of = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(t)) for k, t in STREAM_TABLES.items()])
     bad_payload = F.lit(False)
     for kind in STREAM_TABLES:
-        broken = F.size(checks.errors_of(payload_rules(kind))) > 0
+        broken = F.size(payload_errors(kind)) > 0
         bad_payload = F.when(F.col("event_type") == kind, broken).otherwise(bad_payload)
     rules = [
         rule(~F.coalesce(F.col("event_id").rlike(checks.PREFIXED_SHA_PATTERN), F.lit(False)), "event_id",
@@ -345,8 +350,11 @@ def validate_envelopes(df: DataFrame) -> Routed:
         rule(F.coalesce(F.col("event_id") != F.col("_expected_id"), F.lit(True)), "event_id",
              "does not follow from the content"),
     ]
-    valid, quarantine = checks.route(df, rules)
-    return tuple(without_payload_fields(rows).drop("_expected_id") for rows in (valid, quarantine))
+    return without_payload_fields(checks.with_errors(df, rules)).drop("_expected_id")
+
+
+def validate_envelopes(df: DataFrame) -> Routed:
+    return checks.split(mark_envelopes(df))
 
 
 def feature_update_id(entity: Column, feature: Column, version: Column, time: Column, value: Column) -> Column:

@@ -226,4 +226,4 @@ def latest_value_upsert(spark: SparkSession, folder: str) -> DataFrame:
     tables = StreamTables(scratch_folder(spark, "upsert"))
     for batch_id, rows in ((0, events), (1, second), (1, second)):
         upsert_latest(feature_updates(rows), batch_id, tables)
-    return latest_values(spark, tables, ["updates"]).select("entity_id", "feature_id", "feature_value")
+    return latest_values(spark, tables).select("entity_id", "feature_id", "feature_value")

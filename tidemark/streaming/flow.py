@@ -7,7 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.contracts import feature_update_id, validate_envelopes
+from tidemark.functions import checks
+from tidemark.operators.contracts import feature_update_id, mark_envelopes
 from tidemark.session import broadcast_if_small
 from tidemark.settings import FEATURES_VERSION
 
@@ -20,17 +21,26 @@ ENVELOPE_FIELDS = (
 )
 
 
-def parse_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Messages to envelopes; what breaks a rule becomes a dead letter with code, origin and payload."""
-    envelopes = raw.select("topic", "value", F.from_json("value", ENVELOPE_FIELDS).alias("e")).select(
-        "topic", "value", "e.*"
+def mark_messages(raw: DataFrame) -> DataFrame:
+    """Messages as envelopes, with the errors of each."""
+    return mark_envelopes(
+        raw.select("topic", "value", F.from_json("value", ENVELOPE_FIELDS).alias("e")).select("topic", "value", "e.*")
     )
-    valid, broken = validate_envelopes(envelopes)
+
+
+def split_messages(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid envelopes, and dead letters with code, origin and payload."""
+    valid, broken = checks.split(marked)
     code = F.when(F.try_parse_json("value").isNull(), "not_json").otherwise("contract")
     dead = broken.select(code.alias("code"), "errors", F.col("topic").alias("origin"), F.col("value").alias("payload"))
     return valid.drop("value"), dead
 
 
+def parse_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages to envelopes; what breaks a rule becomes a dead letter."""
+    return split_messages(mark_messages(raw))
+
+
 def with_event_time(df: DataFrame, delay: str = WATERMARK_DELAY, column: str = "event_time") -> DataFrame:
     return df.withWatermark(column, delay)
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tidemark.operators.catalog import FEATURES
 from tidemark.operators.features import run_specs, to_long
 from tidemark.settings import DOCUMENT_FLAGS, MANIFEST, STREAM_TABLES
-from tidemark.streaming.flow import boundary_gate, feature_updates, parse_events, route_late
+from tidemark.streaming.flow import boundary_gate, feature_updates, mark_messages, route_late, split_messages
 
 PAYLOAD_SCHEMAS = {
     "application_train": T.StructType(
@@ -40,13 +40,17 @@ PAYLOAD_SCHEMAS = {
     ]),
 }
 
-LOG_COLUMNS = "source_pk string, entity_id string, event_id string, topic string, event_time timestamp, payload string"
+LOG_COLUMNS = (
+    "source_pk string, entity_id string, event_id string, topic string, event_time timestamp, payload string, "
+    "source_table string"
+)
 UPDATE_COLUMNS = (
     "feature_update_id string, entity_id string, feature_id string, feature_value double, "
     "feature_version int, event_time timestamp, computed_at timestamp, source_event_id string, "
     "source_topic string, computation_mode string, feature_catalog_version string, quality_status string"
 )
 _PARTS = ", shard int, batch bigint"
+ROWS, UPDATES = "rows", "updates"
 
 
 class StreamTables(NamedTuple):
@@ -60,17 +64,25 @@ class StreamTables(NamedTuple):
         return f"{self.root.rstrip('/')}/{name}"
 
 
-def _write_log(rows: DataFrame, tables: StreamTables, name: str, batch_id: int, salt: str) -> None:
+def _write_log(
+    rows: DataFrame, tables: StreamTables, name: str, batch_id: int, salt: str, within: tuple[str, ...] = ()
+) -> None:
     shard = F.pmod(F.xxhash64("entity_id"), F.lit(tables.shards)).cast("int")
     spread = F.pmod(F.xxhash64(salt), F.lit(tables.writers))
+    parts = [*within, "shard", "batch"]
     (
         rows.withColumn("shard", shard).withColumn("batch", F.lit(batch_id).cast("bigint"))
-        .repartition("shard", spread)
+        .repartition(*within, "shard", spread)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("shard", "batch").parquet(tables.path(name))
+        .partitionBy(*parts).parquet(tables.path(name))
     )
 
 
+def _write_rows(rows: DataFrame, tables: StreamTables, batch_id: int) -> None:
+    columns = ["source_table", "source_pk", "entity_id", "event_id", "topic", "event_time", "payload"]
+    _write_log(rows.select(*columns), tables, ROWS, batch_id, "source_pk", ("source_table",))
+
+
 def _append_rows(rows: DataFrame, tables: StreamTables, name: str, batch_id: int) -> None:
     (
         rows.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
@@ -95,16 +107,10 @@ def newest(log: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     )
 
 
-def recompute(spark: SparkSession, batch_id: int, tables: StreamTables, source: str) -> DataFrame:
-    """Features of ``source`` for the entities a logged batch touched, from their newest rows."""
-    log = _read(spark, tables.path(source), LOG_COLUMNS + _PARTS)
-    touched = log.where(F.col("batch") == batch_id).select("shard", "entity_id").distinct()
-    # At most `shards` numbers reach the driver; with them the scan prunes partitions.
-    shards = [r.shard for r in touched.select("shard").distinct().collect()]
-    known = log.where(F.col("shard").isin(shards) & (F.col("batch") <= batch_id))
-    state = newest(known.join(touched, ["shard", "entity_id"], "left_semi"),
-                   ["entity_id", "source_pk"], "event_time", "event_id")
-    rows = state.select(F.from_json("payload", PAYLOAD_SCHEMAS[source]).alias("p")).select("p.*").withColumn(
+def _source_features(state: DataFrame, source: str) -> DataFrame:
+    """Long features of one source from the newest rows of the entities at hand."""
+    own = state.where(F.col("source_table") == source)
+    rows = own.select(F.from_json("payload", PAYLOAD_SCHEMAS[source]).alias("p")).select("p.*").withColumn(
         MANIFEST, F.lit("stream")
     )
     if source == "application_train":
@@ -113,7 +119,7 @@ def recompute(spark: SparkSession, batch_id: int, tables: StreamTables, source:
     wide = run_specs({source: rows}, members)[0]
     # The time of a value is that of the newest row behind it, so a late row of an older time still
     # replaces the value it corrects.
-    entities = state.groupBy("entity_id").agg(
+    entities = own.groupBy("entity_id").agg(
         F.max_by(F.struct("event_time", "event_id", "topic"), F.struct("event_time", "event_id")).alias("_newest")
     ).select(
         "entity_id", F.col("_newest.event_time").alias("event_time"),
@@ -125,6 +131,21 @@ def recompute(spark: SparkSession, batch_id: int, tables: StreamTables, source:
     return to_long(entities.join(keyed, "entity_id", "left"), ids, [f.feature_id for f in members])
 
 
+def recompute(spark: SparkSession, batch_id: int, tables: StreamTables) -> DataFrame:
+    """Features of the sources and entities a logged batch touched, from their newest rows."""
+    log = _read(spark, tables.path(ROWS), LOG_COLUMNS + _PARTS)
+    touched = log.where(F.col("batch") == batch_id).select("source_table", "shard", "entity_id").distinct()
+    # At most three tables times `shards` pairs reach the driver; with them the scan prunes partitions.
+    found = touched.select("source_table", "shard").distinct().collect()
+    known = log.where(F.col("batch") <= batch_id)
+    known = known.where(F.col("shard").isin({r.shard for r in found}))
+    known = known.where(F.col("source_table").isin({r.source_table for r in found}))
+    state = newest(known.join(touched, ["source_table", "shard", "entity_id"], "left_semi"),
+                   ["source_table", "entity_id", "source_pk"], "event_time", "event_id")
+    parts = [_source_features(state, source) for source in STREAM_TABLES.values()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def upsert_features(batch: DataFrame, batch_id: int, tables: StreamTables) -> None:
     """Merge a batch of valid envelopes and write the feature updates it causes.
 
@@ -134,29 +155,21 @@ def upsert_features(batch: DataFrame, batch_id: int, tables: StreamTables) -> No
     done = _read(spark, tables.path("commits"), "batch bigint")
     if not done.where(F.col("batch") == batch_id).isEmpty():
         return
-    columns = ["source_pk", "entity_id", "event_id", "topic", "event_time", "payload"]
-    for source in STREAM_TABLES.values():
-        rows = batch.where(F.col("source_table") == source).select(*columns)
-        _write_log(rows, tables, source, batch_id, "source_pk")
-        upsert_latest(feature_updates(recompute(spark, batch_id, tables, source)), batch_id, tables,
-                      f"updates_{source}")
+    _write_rows(batch, tables, batch_id)
+    upsert_latest(feature_updates(recompute(spark, batch_id, tables)), batch_id, tables)
     spark.createDataFrame([(batch_id,)], "batch bigint").coalesce(1).write.mode("append").parquet(
         tables.path("commits")
     )
 
 
-def upsert_latest(updates: DataFrame, batch_id: int, tables: StreamTables, name: str = "updates") -> None:
+def upsert_latest(updates: DataFrame, batch_id: int, tables: StreamTables) -> None:
     """Record updates; ``latest_values`` then shows one only if its event time is the newest."""
-    _write_log(updates, tables, name, batch_id, "feature_id")
+    _write_log(updates, tables, UPDATES, batch_id, "feature_id")
 
 
-def latest_values(spark: SparkSession, tables: StreamTables, names: list[str] | None = None) -> DataFrame:
+def latest_values(spark: SparkSession, tables: StreamTables) -> DataFrame:
     """The newest value per entity and feature; of equal times the later batch."""
-    names = names or [f"updates_{s}" for s in STREAM_TABLES.values()]
-    logs = [_read(spark, tables.path(n), UPDATE_COLUMNS + _PARTS) for n in names]
-    log = logs[0]
-    for other in logs[1:]:
-        log = log.unionByName(other)
+    log = _read(spark, tables.path(UPDATES), UPDATE_COLUMNS + _PARTS)
     columns = [c for c in log.columns if c not in ("shard", "batch", "entity_id", "feature_id")]
     return log.groupBy("entity_id", "feature_id").agg(
         F.max_by(F.struct(*columns), F.struct("event_time", "batch")).alias("_row")
@@ -164,11 +177,10 @@ def latest_values(spark: SparkSession, tables: StreamTables, names: list[str] |
 
 
 def compact(spark: SparkSession, tables: StreamTables, target: StreamTables, batch_id: int) -> None:
-    """Write only the newest rows of every log to a new root, as one batch."""
-    for source in STREAM_TABLES.values():
-        log = _read(spark, tables.path(source), LOG_COLUMNS + _PARTS)
-        _write_log(newest(log, ["entity_id", "source_pk"], "event_time", "event_id"), target, source, batch_id, "source_pk")
-        upsert_latest(latest_values(spark, tables, [f"updates_{source}"]), batch_id, target, f"updates_{source}")
+    """Write only the newest rows of both logs to a new root, as one batch."""
+    log = _read(spark, tables.path(ROWS), LOG_COLUMNS + _PARTS)
+    _write_rows(newest(log, ["source_table", "entity_id", "source_pk"], "event_time", "event_id"), target, batch_id)
+    upsert_latest(latest_values(spark, tables), batch_id, target)
 
 
 def _watermark(spark: SparkSession, tables: StreamTables, batch_id: int, delay: timedelta) -> datetime | None:
@@ -186,9 +198,9 @@ def process_batch(
     Without ``lateness`` every time is accepted, without ``points`` there is no boundary.
     """
     spark = raw.sparkSession
-    valid, dead = parse_events(raw)
-    valid = valid.persist()  # one micro-batch, used by every branch below, released at the end
+    marked = mark_messages(raw).persist()  # one micro-batch, used by every branch, released at the end
     try:
+        valid, dead = split_messages(marked)
         _append_rows(dead, tables, "dead_letters", batch_id)
         accepted = valid
         if lateness is not None:
@@ -203,7 +215,7 @@ def process_batch(
             _append_rows(violations, tables, "violations", batch_id)
         upsert_features(accepted, batch_id, tables)
     finally:
-        valid.unpersist()
+        marked.unpersist()
 
 
 def start_feature_stream(raw: DataFrame, tables: StreamTables, points: DataFrame | None = None,
