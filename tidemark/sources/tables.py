@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from tidemark.settings import MANIFEST
 from tidemark.sources.raw_csv import ContractError
 
+OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
+
 COMMIT_SCHEMA = T.StructType([
     T.StructField("table", T.StringType()),
     T.StructField("manifest_sha256", T.StringType()),
@@ -96,12 +98,18 @@ def write_snapshot(df: DataFrame, target: str, partition: str = MANIFEST, files:
         df = df.repartition(files)
     seen = Observation()
     df = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if "/" in target:
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(partition).parquet(target)
     else:
-        columns = df.sparkSession.table(target).columns
-        df.select(*columns).write.option("partitionOverwriteMode", "dynamic").insertInto(target, overwrite=True)
+        spark = df.sparkSession
+        # A table insert reads the mode from the session only.
+        usual = spark.conf.get(OVERWRITE_MODE)
+        spark.conf.set(OVERWRITE_MODE, "dynamic")
+        try:
+            df.select(*spark.table(target).columns).write.insertInto(target, overwrite=True)
+        finally:
+            spark.conf.set(OVERWRITE_MODE, usual)
     return seen.get["rows"]
 
 
