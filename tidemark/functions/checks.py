@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.identity import trimmed
+
 ENTITY_PATTERN = r"^SK_ID_CURR:[0-9]+\z"
 PREFIXED_SHA_PATTERN = r"^sha256:[0-9a-f]{64}\z"
 SHA_PATTERN = r"^[0-9a-fA-F]{64}\z"
@@ -25,7 +27,7 @@ def errors_of(rules: list[Column]) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return c.isNull() | (F.length(F.regexp_replace(c, r"\s+", "")) == 0)
+    return c.isNull() | (F.length(trimmed(c)) == 0)
 
 
 def with_errors(df: DataFrame, rules: list[Column]) -> DataFrame:

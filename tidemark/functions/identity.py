@@ -14,12 +14,16 @@ from tidemark.settings import Boundary
 LETTER_ESCAPES = ["000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F"]
 
 
+# What is cut from both ends of a text. Fixed value.
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def _lower_escapes(text: Column) -> Column:
     def fix(c: Column, code: str) -> Column:
         # An escape starts at a backslash preceded by an even run of backslashes.
         return F.regexp_replace(c, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
 
-    return F.when(text.rlike(r"\\u00[01][A-F]"), reduce(fix, LETTER_ESCAPES, text)).otherwise(text)
+    return F.when(F.contains(text, F.lit("\\u00")), reduce(fix, LETTER_ESCAPES, text)).otherwise(text)
 
 
 def canonical_json(*parts: Column) -> Column:
@@ -38,13 +42,14 @@ def row_hash(columns: list[str]) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c.cast("string"), r"^\s+|\s+\z", "")
+    return F.btrim(c.cast("string"), F.lit(WHITESPACE))
 
 
 def normalize_id(c: Column) -> Column:
     """Decimal digits without leading zeros; NULL where the value is no id."""
     text = trimmed(c)
-    return F.when(text.rlike(r"^[0-9]+\z"), F.regexp_replace(text, r"^0+(?=.)", ""))
+    digits = F.coalesce(F.nullif(F.ltrim(text, F.lit("0")), F.lit("")), F.lit("0"))
+    return F.when(text.rlike(r"^[0-9]+\z"), digits)
 
 
 def entity_id(c: Column, prefix: str = "SK_ID_CURR") -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.checks import blank, route, rule
 from tidemark.functions.identity import (
-    entity_id,
     event_id,
     instant,
     normalize_id,
@@ -33,29 +32,40 @@ class EventSource(NamedTuple):
 def _event(rows: DataFrame, source: EventSource, table: str, kind: str, time: Column, record: Column) -> DataFrame:
     boundary = source.boundary
     anchor = instant(boundary.anchor)
-    entity = entity_id(F.col("SK_ID_CURR"))
     dataset, loan, sha = F.lit(boundary.dataset), F.lit("loan_application"), F.lit(source.manifest_sha)
     headers = {
         "snapshot_id": source.snapshot_id, "adapter_version": source.adapter_version,
         "boundary_version": boundary.version, "source_table": table,
         "availability_semantics": "application_snapshot",
     }
-    return rows.select(
+    # Everything the id is made of is a column first, so that it is evaluated once.
+    parts = rows.select(
+        normalize_id(F.col("SK_ID_CURR")).alias("number"), time.alias("event_time"), record.alias("source_record_id")
+    )
+    named = parts.select(
+        F.concat(F.lit("SK_ID_CURR:"), "number").alias("entity_id"), F.concat(F.lit("customer:"), "number").alias("customer_id"),
+        "event_time", "source_record_id",
+    )
+    no_text = F.lit(None).cast("string")
+    identity = event_id(
+        dataset, loan, F.col("entity_id"), F.lit(kind), F.col("event_time"), F.col("source_record_id"), sha, no_text
+    )
+    return named.select(
         dataset.alias("dataset_id"),
-        event_id(dataset, loan, entity, F.lit(kind), time, record, sha, F.lit(None).cast("string")).alias("event_id"),
+        identity.alias("event_id"),
         loan.alias("entity_type"),
-        entity.alias("entity_id"),
-        entity_id(F.col("SK_ID_CURR"), "customer").alias("customer_id"),
+        "entity_id",
+        "customer_id",
         F.lit(kind).alias("event_type"),
-        time.alias("event_time"),
+        "event_time",
         anchor.alias("available_at"),
         instant(source.ingested_at).alias("ingested_at"),
         F.lit(source.system).alias("source_system"),
         F.lit(1).alias("schema_version"),
-        record.alias("source_record_id"),
+        "source_record_id",
         sha.alias("source_record_revision"),
-        F.lit(None).cast("string").alias("payload_uri"),
-        F.lit(None).cast("string").alias("payload_sha256"),
+        no_text.alias("payload_uri"),
+        no_text.alias("payload_sha256"),
         F.create_map(*[F.lit(x) for pair in headers.items() for x in pair]).alias("headers"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Lines per leaf the tree aims at, hex digits folded per level (16 ** 3 children) and levels. Fixed
+# Rows per leaf the tree aims at, hex digits folded per level (16 ** 3 children) and levels. Fixed
 # values: they decide the digest. Four levels reach 16 ** 9 leaves.
 LEAF_LINES = 1024
 FOLD_DIGITS = 3
@@ -24,7 +24,7 @@ def _totals(counted: DataFrame) -> DataFrame:
 
 
 def _joined(part: str) -> F.Column:
-    return F.sha2(F.concat_ws("", F.array_sort(F.collect_list(part))), 256)
+    return F.sha2(F.concat_ws("", F.sort_array(F.collect_list(part))), 256)
 
 
 def fingerprint(df: DataFrame, hash_column: str = "_raw_row_sha256") -> DataFrame:
@@ -32,28 +32,30 @@ def fingerprint(df: DataFrame, hash_column: str = "_raw_row_sha256") -> DataFram
 
     Equal hashes are counted first. The sorted ``hash:count`` lines are hashed in leaves that share a
     prefix, then prefixes are folded three digits at a time. The prefix length follows from the number
-    of distinct hashes, so a leaf holds about a thousand lines at any scale.
+    of rows, so a leaf holds about a thousand lines at any scale. Counts travel up with the digests.
     """
-    counted = _counted(df, hash_column)
-    totals = _totals(counted)
-    leaves = F.greatest(F.col("distinct_count"), F.lit(1)) / LEAF_LINES
-    depth = F.greatest(F.lit(0), F.ceil(F.log(16.0, leaves) - 1e-9)).cast("int")
-    parts = counted.withColumn("depth", totals.select(depth).scalar()).select(
+    leaves = F.greatest(F.count(F.lit(1)), F.lit(1)) / LEAF_LINES
+    depth = df.agg(F.greatest(F.lit(0), F.ceil(F.log(16.0, leaves) - 1e-9)).cast("int"))
+    parts = _counted(df, hash_column).withColumn("depth", depth.scalar()).select(
         F.expr("substring(h, 1, depth)").alias("prefix"), "depth",
         F.concat("h", F.lit(":"), F.col("n").cast("string"), F.lit("\n")).alias("part"),
+        F.col("n").alias("rows"), F.lit(1).cast("bigint").alias("hashes"),
     )
-    for level in range(LEVELS):
-        digests = parts.groupBy("prefix", "depth").agg(_joined("part").alias("digest"))
+    for _ in range(LEVELS):
+        digests = parts.groupBy("prefix", "depth").agg(
+            _joined("part").alias("digest"), F.sum("rows").alias("rows"), F.sum("hashes").alias("hashes")
+        )
         shorter = F.greatest(F.col("depth") - FOLD_DIGITS, F.lit(0))
         parts = digests.select(
             F.substring("prefix", F.lit(1), shorter).alias("prefix"), shorter.alias("depth"),
-            F.concat("prefix", F.lit("="), "digest", F.lit("\n")).alias("part"),
+            F.concat("prefix", F.lit("="), "digest", F.lit("\n")).alias("part"), "rows", "hashes",
         )
-    root = digests.agg(F.max("digest"))
-    return totals.select(
-        F.coalesce(root.scalar(), F.sha2(F.lit(""), 256)).alias("digest"), "row_count", "distinct_count",
-        (F.col("row_count") - F.col("distinct_count")).alias("duplicate_count"),
-    )
+    # One row is left, none for an empty input.
+    return digests.agg(
+        F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("digest"),
+        F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("row_count"),
+        F.coalesce(F.sum("hashes"), F.lit(0)).cast("bigint").alias("distinct_count"),
+    ).withColumn("duplicate_count", F.col("row_count") - F.col("distinct_count"))
 
 
 def flat_fingerprint(df: DataFrame, hash_column: str = "_raw_row_sha256", most: int = 1_000_000) -> DataFrame:

@@ -37,18 +37,22 @@ def _before(per_slot: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     )
 
 
-def global_ranks(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Add ``rank`` (from 1) and ``group_rows`` within ``keys``. ``order`` must be total."""
+def global_ranks(df: DataFrame, keys: list[str], order: list[Column], counted: str | None = None) -> DataFrame:
+    """Add ``rank`` (from 1) and ``group_rows`` within ``keys``. ``order`` must be total.
+
+    With ``counted`` the group counts only rows where that column is not NULL.
+    """
     ordered = _in_order(df, keys, order)
+    counted_rows = F.count(counted) if counted else F.count(F.lit(1))
     per_slot = ordered.groupBy(*keys, "_slot").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_place").alias("_first")
+        F.count(F.lit(1)).alias("n"), counted_rows.alias("c"), F.min("_place").alias("_first")
     )
-    slots = broadcast_if_small(_before(per_slot, keys, ["n"]))
+    slots = broadcast_if_small(settle(_before(per_slot, keys, ["n", "c"]), "slots"))
     # Rows of one key are adjacent inside a slot, so the distance from the first one is the rank.
     return ordered.join(slots, [*keys, "_slot"]).select(
         *df.columns,
         (F.col("_before_n") + F.col("_place") - F.col("_first") + 1).alias("rank"),
-        F.col("_all_n").alias("group_rows"),
+        F.col("_all_c").alias("group_rows"),
     )
 
 
@@ -56,7 +60,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: list
     """Add ``below_<s>`` (sum over earlier rows of the key) and ``total_<s>`` for each of ``sums``."""
     ordered = _in_order(df, keys, order)
     per_slot = ordered.groupBy(*keys, "_slot").agg(*[F.sum(s).alias(s) for s in sums])
-    slots = broadcast_if_small(_before(per_slot, keys, sums))
+    slots = broadcast_if_small(settle(_before(per_slot, keys, sums), "slots"))
     # One window group is what one partition held, not what a key holds.
     inside = Window.partitionBy(*keys, "_slot").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     local = ordered.select(
@@ -70,7 +74,11 @@ def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: list
 
 
 def equal_count_bins(df: DataFrame, keys: list[str], value: str, tie: str, bins: int = 4) -> DataFrame:
-    """Add ``bin``: all bins hold ``max(n div bins, 1)`` rows, the last one also the remainder."""
+    """Add ``bin``: all bins hold ``max(n div bins, 1)`` values, the last one also the remainder.
+
+    Rows without a value come last in the order, are not counted, and get a NULL bin.
+    """
     size = F.greatest(F.floor(F.col("group_rows") / bins), F.lit(1))
     number = F.least(F.floor((F.col("rank") - 1) / size), F.lit(bins - 1)).cast("int")
-    return global_ranks(df, keys, [F.col(value), F.col(tie)]).withColumn("bin", number).drop("rank")
+    ranked = global_ranks(df, keys, [F.asc_nulls_last(value), F.col(tie)], value)
+    return ranked.withColumn("bin", F.when(F.col(value).isNotNull(), number)).drop("rank")

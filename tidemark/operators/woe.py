@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quality import split_rows
 from tidemark.operators.ranks import equal_count_bins
-from tidemark.session import broadcast_if_small, settle
+from tidemark.session import broadcast_if_small
 
 # Fixed values of the fit.
 MIN_VALUES = 8
@@ -29,25 +29,20 @@ def fit_woe(values: DataFrame, points: DataFrame, bins: int = 4, consistent_woe:
     takes its weight from smoothed counts, the others from distributions; ``consistent_woe`` uses
     distributions for all.
     """
-    train = settle(training_rows(values, points), "training_rows")
-    good, bad = F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)
-    # One row per catalog feature.
-    totals = train.groupBy("feature_id").agg(
-        F.count("feature_value").alias("training_sample_count"),
-        good.alias("total_good"), bad.alias("total_bad"),
-    ).where(
+    binned = equal_count_bins(training_rows(values, points), ["feature_id"], "feature_value", "prediction_id", bins)
+    counted = binned.groupBy("feature_id", F.coalesce("bin", F.lit(MISSING_BIN)).alias("bin")).agg(
+        F.min("feature_value").alias("lower"), F.max("feature_value").alias("upper"),
+        F.count_if(F.col("label") == 0).alias("good"), F.count_if(F.col("label") == 1).alias("bad"),
+        F.count("feature_value").alias("present"),
+    )
+    # From here on a handful of rows per feature.
+    feature = Window.partitionBy("feature_id")
+    totals = counted.withColumns({
+        "training_sample_count": F.sum("present").over(feature),
+        "total_good": F.sum("good").over(feature), "total_bad": F.sum("bad").over(feature),
+    }).where(
         (F.col("training_sample_count") >= MIN_VALUES) & (F.col("total_good") > 0) & (F.col("total_bad") > 0)
     )
-    counts = [
-        F.min("feature_value").alias("lower"), F.max("feature_value").alias("upper"),
-        good.alias("good"), bad.alias("bad"),
-    ]
-    present = equal_count_bins(
-        train.where(F.col("feature_value").isNotNull()), ["feature_id"], "feature_value", "prediction_id", bins
-    ).groupBy("feature_id", "bin").agg(*counts)
-    absent = train.where(F.col("feature_value").isNull()).groupBy(
-        "feature_id", F.lit(MISSING_BIN).alias("bin")
-    ).agg(*counts)
 
     g, b = F.col("good") + COUNT_SMOOTHING, F.col("bad") + COUNT_SMOOTHING
     gd, bd = F.col("good_distribution"), F.col("bad_distribution")
@@ -56,8 +51,7 @@ def fit_woe(values: DataFrame, points: DataFrame, bins: int = 4, consistent_woe:
         by_distribution
     )
     return (
-        present.unionByName(absent).join(totals, "feature_id")
-        .withColumn("good_distribution", g / (F.col("total_good") + TOTAL_SMOOTHING))
+        totals.withColumn("good_distribution", g / (F.col("total_good") + TOTAL_SMOOTHING))
         .withColumn("bad_distribution", b / (F.col("total_bad") + TOTAL_SMOOTHING))
         .withColumn("woe", woe)
         .withColumn("iv", (gd - bd) * F.col("woe"))

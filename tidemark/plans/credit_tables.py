@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.latest import latest_per_key
 from tidemark.operators.points import build_points
 from tidemark.settings import DOCUMENT_FLAGS, MANIFEST
 
@@ -61,22 +60,20 @@ def balance(spark: SparkSession, folder: str) -> DataFrame:
     return raw_balance(spark, folder).join(owners, "SK_ID_BUREAU", "left")
 
 
+def _first(df: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
+    """The first row per key by columns that are never NULL: a minimum over structs."""
+    return df.groupBy(key).agg(F.min(F.struct(*order, *values)).alias("_row")).select(key, "_row.*")
+
+
 def application(spark: SparkSession, folder: str) -> DataFrame:
     """Customers as applicants: amounts from their first order and its first line.
 
     The presence of an event type answers for document flags; a customer without events has NULL.
     """
-    orders = latest_per_key(
-        table(spark, folder, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"),
-        ["o_custkey"], [F.asc("o_orderdate"), F.asc("o_orderkey")],
-    )
-    lines = latest_per_key(
-        table(spark, folder, "lineitem").select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax",
-            "l_quantity",
-        ),
-        ["l_orderkey"],
-        [F.asc(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")],
+    orders = _first(table(spark, folder, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], ["o_totalprice"])
+    lines = _first(
+        table(spark, folder, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
+        ["l_discount", "l_tax", "l_quantity"],
     )
     seen = table(spark, folder, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(*[
         F.max((F.col("event_type") == t).cast("int")).alias(f"has_{t}") for t in FLAG_TYPES

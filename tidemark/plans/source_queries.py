@@ -153,7 +153,7 @@ def document_row_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _TREE = """counted AS (SELECT h, count(*) AS n FROM hashed GROUP BY h),
-  sized AS (SELECT greatest(0, ceil(ln(greatest(count(*), 1) / 1024.0) / ln(16) - 1e-9))::INT AS depth,
+  sized AS (SELECT greatest(0, ceil(ln(greatest(sum(n), 1) / 1024.0) / ln(16) - 1e-9))::INT AS depth,
     coalesce(sum(n), 0)::BIGINT AS row_count, count(*) AS distinct_count FROM counted),
   l1 AS (SELECT substr(h, 1, depth) AS p, depth, sha256(string_agg(h || ':' || n || chr(10), '' ORDER BY h)) AS d
     FROM counted, sized GROUP BY 1, 2),

@@ -78,7 +78,7 @@ class Layers(NamedTuple):
 def manifest_sha(manifest: DataFrame) -> str:
     """Identity of a manifest: the digest of its rows in name order. A manifest lists few files."""
     line = F.to_json(F.struct(*MANIFEST_SCHEMA.names), {"ignoreNullFields": "false"})
-    return manifest.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256)).first()[0]
+    return manifest.agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(line))), 256)).first()[0]
 
 
 def populate_manifest(spark: SparkSession, data_dir: str) -> DataFrame:

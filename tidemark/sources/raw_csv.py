@@ -64,7 +64,7 @@ def check_columns(found: DataFrame, required: dict[str, list[str]] = REQUIRED_CO
         F.array().cast("array<string>"),
     )
     return (
-        found.withColumn("missing", F.array_sort(F.array_except(wanted, "names")))
+        found.withColumn("missing", F.sort_array(F.array_except(wanted, "names")))
         .transform(with_errors_of_header)
         .select("name", "missing", "errors")
     )
