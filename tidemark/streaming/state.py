@@ -90,13 +90,15 @@ def _append_rows(rows: DataFrame, tables: StreamTables, name: str, batch_id: int
     )
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as missing:  # the folder does not exist before the first write
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        return spark.createDataFrame([], schema)
+def _read(spark: SparkSession, path: str, schema: str, parts: list[str] | None = None) -> DataFrame:
+    """Read a table of the stream; before the first write it is an empty folder."""
+    writer = spark.createDataFrame([], schema).write.mode("ignore")
+    (writer.partitionBy(*parts) if parts else writer).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _log(spark: SparkSession, tables: StreamTables) -> DataFrame:
+    return _read(spark, tables.path(ROWS), LOG_COLUMNS + _PARTS, ["source_table", "shard", "batch"])
 
 
 def newest(log: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
@@ -133,7 +135,7 @@ def _source_features(state: DataFrame, source: str) -> DataFrame:
 
 def recompute(spark: SparkSession, batch_id: int, tables: StreamTables) -> DataFrame:
     """Features of the sources and entities a logged batch touched, from their newest rows."""
-    log = _read(spark, tables.path(ROWS), LOG_COLUMNS + _PARTS)
+    log = _log(spark, tables)
     touched = log.where(F.col("batch") == batch_id).select("source_table", "shard", "entity_id").distinct()
     # At most three tables times `shards` pairs reach the driver; with them the scan prunes partitions.
     found = touched.select("source_table", "shard").distinct().collect()
@@ -169,7 +171,7 @@ def upsert_latest(updates: DataFrame, batch_id: int, tables: StreamTables) -> No
 
 def latest_values(spark: SparkSession, tables: StreamTables) -> DataFrame:
     """The newest value per entity and feature; of equal times the later batch."""
-    log = _read(spark, tables.path(UPDATES), UPDATE_COLUMNS + _PARTS)
+    log = _read(spark, tables.path(UPDATES), UPDATE_COLUMNS + _PARTS, ["shard", "batch"])
     columns = [c for c in log.columns if c not in ("shard", "batch", "entity_id", "feature_id")]
     return log.groupBy("entity_id", "feature_id").agg(
         F.max_by(F.struct(*columns), F.struct("event_time", "batch")).alias("_row")
@@ -178,13 +180,13 @@ def latest_values(spark: SparkSession, tables: StreamTables) -> DataFrame:
 
 def compact(spark: SparkSession, tables: StreamTables, target: StreamTables, batch_id: int) -> None:
     """Write only the newest rows of both logs to a new root, as one batch."""
-    log = _read(spark, tables.path(ROWS), LOG_COLUMNS + _PARTS)
+    log = _log(spark, tables)
     _write_rows(newest(log, ["source_table", "entity_id", "source_pk"], "event_time", "event_id"), target, batch_id)
     upsert_latest(latest_values(spark, tables), batch_id, target)
 
 
 def _watermark(spark: SparkSession, tables: StreamTables, batch_id: int, delay: timedelta) -> datetime | None:
-    seen = _read(spark, tables.path("progress"), "newest timestamp, batch bigint").where(F.col("batch") < batch_id)
+    seen = _read(spark, tables.path("progress"), "newest timestamp, batch bigint", ["batch"]).where(F.col("batch") < batch_id)
     newest_time = seen.agg(F.max("newest")).first()[0]
     return newest_time - delay if newest_time else None
 
