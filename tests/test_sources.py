@@ -17,6 +17,8 @@ from tidemark.sources.raw_csv import (
     check_manifest,
     check_manifest_rows,
     headers,
+    present_sources,
+    profile_folder,
     profile_sources,
     read_header,
     scan_raw_csv,
@@ -51,6 +53,27 @@ def test_large_file_gets_a_digest_of_lines(spark, tmp_path):
     assert again["a.csv"] != got["a.csv"]
 
 
+def test_source_of_many_parts(spark, tmp_path):
+    folder = tmp_path / "bureau.csv"
+    folder.mkdir()
+    (folder / "part-0.csv").write_bytes(b"SK_ID_CURR,SK_ID_BUREAU\n1,2\n")
+    (folder / "part-1.csv").write_bytes(b"SK_ID_CURR,SK_ID_BUREAU\n3,4\n5,6\n")
+    (tmp_path / "other.csv").write_bytes(b"a\n1\n")
+    names = ["bureau.csv", "other.csv", "absent.csv"]
+    assert present_sources(spark, str(tmp_path), names) == names[:2]
+    rows = {r.name: r for r in profile_folder(spark, str(tmp_path), names).collect()}
+    shas = sorted(sha(f.read_bytes()) for f in folder.iterdir() if f.suffix == ".csv")
+    assert rows["bureau.csv"].sha256 == "parts:" + sha("\n".join(shas).encode())
+    assert (rows["bureau.csv"].row_count, rows["bureau.csv"]["columns"]) == (3, 2)
+    assert rows["other.csv"].sha256 == sha(b"a\n1\n")
+    assert read_header(spark, str(folder), "bureau.csv") == ["SK_ID_CURR", "SK_ID_BUREAU"]
+    assert scan_raw_csv(spark, str(folder), ["SK_ID_CURR", "SK_ID_BUREAU"]).count() == 3
+    (folder / "part-2.csv").write_bytes(b"SK_ID_BUREAU,SK_ID_CURR\n3,4\n")
+    assert profile_folder(spark, str(tmp_path), names).where("name = 'bureau.csv'").first().header_sha256 == "mixed"
+    with pytest.raises(ContractError):
+        read_header(spark, str(folder), "bureau.csv")
+
+
 def test_header_contract(spark, tmp_path):
     (tmp_path / "application_train.csv").write_text("SK_ID_CURR,x,x\n1,2,3\n")
     (tmp_path / "bureau.csv").write_text('"SK_ID_CURR",SK_ID_BUREAU\n1,2\n')

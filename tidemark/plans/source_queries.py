@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from tidemark.operators.fingerprint import fingerprint
 from tidemark.operators.quality import check_closure
 from tidemark.plans import credit_sql as sql
 from tidemark.plans import credit_tables as credit
+from tidemark.plans import workflow
 from tidemark.plans.registry import query
-from tidemark.session import scratch_folder
+from tidemark.session import scratch_folder, settle
 from tidemark.settings import MANIFEST
 from tidemark.sources.raw_csv import (
     check_columns,
@@ -25,6 +28,8 @@ from tidemark.sources.raw_csv import (
 from tidemark.sources.tables import (
     RECEIPT_SCHEMA,
     append_commit,
+    check_table_contract,
+    ensure_table,
     latest_commit,
     published,
     read_snapshot,
@@ -261,3 +266,42 @@ def topic_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     write_updates(events, path, name)
     messages = read_events(spark, path, names=[name], stream=False)
     return messages.select("topic", "key", F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"))
+
+
+@query("""SELECT manifest, count(*) AS rows, sum(cents * f)::BIGINT AS cents
+  FROM (SELECT round(o_totalprice * 100)::BIGINT AS cents FROM orders), (VALUES ('m1', 3), ('m2', 2)) AS v(manifest, f) GROUP BY manifest""")
+def catalog_table_overwrite(spark: SparkSession, folder: str) -> DataFrame:
+    """The same through a catalog table with a checked contract."""
+    location = scratch_folder(spark, "orders")
+    name = f"credit_tables.orders_{uuid.uuid4().hex}"
+    for manifest, factor in (("m1", 1), ("m2", 2), ("m1", 3)):
+        rows = _snapshot(spark, folder, manifest, factor)
+        ensure_table(spark, name, rows.schema, MANIFEST, {"layer": "bronze"}, location)
+        check_table_contract(spark, name, rows.schema, MANIFEST, {"layer": "bronze"})
+        write_snapshot(rows, name)
+    return spark.table(name).groupBy(F.col(MANIFEST).alias("manifest")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("cents").alias("cents")
+    )
+
+
+_ONE_STATUS = sql.BALANCE.replace("balance AS (", "all_balance AS (", 1) + """,
+  balance AS (SELECT id, curr, months, max(status) AS status FROM all_balance GROUP BY ALL)"""
+_ALL = ", ".join([sql.POINTS, sql.BUREAU, _ONE_STATUS, sql.APPLICATION, sql.APP_FEATURES, sql.BUREAU_FEATURES,
+                  sql.BALANCE_FEATURES, sql.VALUES])
+
+
+@query(f"WITH {_ALL} SELECT entity_id, feature_id, round(feature_value, 4) AS feature_value FROM vals")
+def files_to_features(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages from CSV part files to stored feature values, with manifest, receipts and checks."""
+    root = scratch_folder(spark, "workflow")
+    months = credit.raw_balance(spark, folder).groupBy("SK_ID_BUREAU", "MONTHS_BALANCE").agg(F.max("STATUS").alias("STATUS"))
+    for name, df in (
+        ("application_train", credit.application(spark, folder).drop(MANIFEST)),
+        ("bureau", credit.bureau(spark, folder).drop(MANIFEST)), ("bureau_balance", months),
+    ):
+        df.write.option("header", True).csv(f"{root}/csv/{name}.csv")
+    layers = workflow.Layers(f"{root}/layers", f"credit_{uuid.uuid4().hex}")
+    manifest = settle(workflow.populate_manifest(spark, f"{root}/csv"), "manifest")
+    sha = workflow.run_all(spark, layers, f"{root}/csv", manifest, "run-1")
+    values = read_snapshot(spark, layers.name("features", "feature_values"), sha)
+    return values.select("entity_id", "feature_id", F.round("feature_value", 4).alias("feature_value"))

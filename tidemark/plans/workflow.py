@@ -26,7 +26,7 @@ from tidemark.sources.raw_csv import (
     ContractError,
     check_manifest,
     check_manifest_rows,
-    profile_sources,
+    profile_folder,
     read_header,
     scan_raw_csv,
 )
@@ -82,10 +82,10 @@ def manifest_sha(manifest: DataFrame) -> str:
 
 
 def populate_manifest(spark: SparkSession, data_dir: str) -> DataFrame:
-    """The manifest of the files as they are."""
-    return profile_sources(spark, data_dir).withColumn(
-        "required", F.col("name").isin(list(REQUIRED_COLUMNS))
-    ).select(*[F.col(f.name).cast(f.dataType) for f in MANIFEST_SCHEMA])
+    """The manifest of the required sources as they are, each a file or a folder of parts."""
+    return profile_folder(spark, data_dir, list(REQUIRED_COLUMNS)).withColumn("required", F.lit(True)).select(
+        *[F.col(f.name).cast(f.dataType) for f in MANIFEST_SCHEMA]
+    )
 
 
 def _publish(
@@ -131,7 +131,8 @@ def ingest_bronze(
 ) -> dict[str, DataFrame]:
     problems = check_manifest_rows(manifest, strict=True).collect()
     if not problems:
-        problems = check_manifest(manifest, profile_sources(spark, data_dir)).collect()
+        names = [r.name for r in manifest.select("name").collect()]
+        problems = check_manifest(manifest, profile_folder(spark, data_dir, names)).collect()
     if problems:
         failure_row(spark, layers.failures, "bronze", run_id, [], None, str(problems)[:2000])
         raise ContractError(f"manifest: {problems}")
@@ -142,7 +143,7 @@ def ingest_bronze(
     def build(table: str) -> DataFrame:
         file = files[f"{table}.csv"]
         path = f"{data_dir}/{file.name}"
-        rows = scan_raw_csv(spark, path, read_header(spark, path))
+        rows = scan_raw_csv(spark, path, read_header(spark, path, file.name))
         stamped = stamp_bronze(rows, file.name, file.sha256, file.header_sha256, sha)
         return _publish(spark, layers, "bronze", table, stamped, sha, snapshot, run_id, file.row_count, True)
 

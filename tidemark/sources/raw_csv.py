@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.checks import SHA_PATTERN, blank, errors_of, rule, with_errors
+from tidemark.functions.checks import blank, errors_of, rule, with_errors
 from tidemark.operators.fingerprint import fingerprint
 from tidemark.settings import REQUIRED_COLUMNS
 
@@ -23,6 +25,10 @@ MANIFEST_SCHEMA = T.StructType([
 WHOLE_FILE_BYTES = 256 * 1024 * 1024
 
 
+# A plain file hash, or the digest of the lines or parts of a large source.
+DIGEST_PATTERN = r"^(lines:|parts:)?[0-9a-fA-F]{64}\z"
+
+
 class ContractError(ValueError):
     """A source, table or stage breaks its contract; nothing downstream may run."""
 
@@ -77,12 +83,20 @@ def with_errors_of_header(df: DataFrame) -> DataFrame:
     ])
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """The checked column names of one file. Only its header line reaches the driver."""
-    row = check_columns(headers(spark, path)).join(headers(spark, path), "name").first()
-    if row is None or row.errors:
-        raise ContractError(f"{path}: {row.errors if row else 'empty file'} {row.missing if row else ''}")
-    return row.names
+def read_header(spark: SparkSession, path: str, source: str | None = None) -> list[str]:
+    """The checked column names of a source: one file, or a folder of parts with equal headers.
+
+    ``source`` names the contract when the file name does not. At most two headers reach the driver.
+    """
+    found = headers(spark, path)
+    if source:
+        found = found.withColumn("name", F.lit(source))
+    rows = check_columns(found.dropDuplicates(["name", "header"])).join(found, "name").select(
+        "names", "missing", "errors"
+    ).distinct().limit(2).collect()
+    if len(rows) != 1 or rows[0].errors:
+        raise ContractError(f"{path}: {[(r.names, r.missing, r.errors) for r in rows] or 'no header'}")
+    return rows[0].names
 
 
 def profile_sources(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
@@ -117,6 +131,43 @@ def profile_sources(spark: SparkSession, path: str, whole_file_bytes: int = WHOL
     )
 
 
+def present_sources(spark: SparkSession, data_dir: str, names: list[str]) -> list[str]:
+    """Which of ``names`` exist in ``data_dir``, as a file or as a folder of parts."""
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(data_dir).select("path")
+    folder = re.escape(data_dir.rstrip("/").rsplit("/", 1)[-1])
+    found = paths.agg(*[
+        F.bool_or(F.col("path").rlike(rf"/{folder}/{re.escape(n)}(/|\z)")).alias(str(i)) for i, n in enumerate(names)
+    ]).first()
+    return [n for i, n in enumerate(names) if found[i]]
+
+
+def profile_source(spark: SparkSession, path: str, name: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """One row for a source that is a file or a folder of part files.
+
+    The hash of several parts is that of their sorted hashes, marked ``parts:``. Parts with different
+    headers have the header hash ``mixed``, which no manifest accepts.
+    """
+    parts = profile_sources(spark, path, whole_file_bytes)
+    shas = F.sort_array(F.collect_list("sha256"))
+    several = F.concat(F.lit("parts:"), F.sha2(F.concat_ws("\n", shas), 256))
+    same = F.min("header_sha256") == F.max("header_sha256")
+    # One short hash per part file is gathered here, never content.
+    return parts.agg(
+        F.lit(name).alias("name"), F.when(F.count(F.lit(1)) == 1, F.max("sha256")).otherwise(several).alias("sha256"),
+        F.when(same, F.max("header_sha256")).otherwise("mixed").alias("header_sha256"),
+        F.sum("row_count").cast("bigint").alias("row_count"), F.max("columns").alias("columns"),
+    )
+
+
+def profile_folder(spark: SparkSession, data_dir: str, names: list[str]) -> DataFrame:
+    """Profiles of those of the named sources that exist."""
+    profiles = [profile_source(spark, f"{data_dir}/{n}", n) for n in present_sources(spark, data_dir, names)]
+    empty = spark.createDataFrame([], "name string, sha256 string, header_sha256 string, row_count bigint, columns int")
+    for profile in profiles:
+        empty = empty.unionByName(profile)
+    return empty
+
+
 def check_manifest_rows(
     expected: DataFrame, required: dict[str, list[str]] = REQUIRED_COLUMNS, strict: bool = False
 ) -> DataFrame:
@@ -138,7 +189,7 @@ def check_manifest_rows(
     ]
     if strict:
         for sha in ("sha256", "header_sha256"):
-            bad = F.col(sha).isNull() | ~F.col(sha).rlike(SHA_PATTERN)
+            bad = F.col(sha).isNull() | ~F.col(sha).rlike(DIGEST_PATTERN)
             rules.append(rule(must & bad, sha, "must be 64 hexadecimal characters"))
         rows, columns = F.col("row_count"), F.col("columns")
         rules.append(rule(must & (rows.isNull() | (rows < 0)), "row_count", "must be non-negative"))
@@ -177,7 +228,7 @@ def check_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
     rules = [rule(must & ~present, "name", "required file not found")]
     for field in ("sha256", "header_sha256"):
-        bad = ~F.col(f"e.{field}").rlike(r"^(lines:)?[0-9a-fA-F]{64}\z")
+        bad = ~F.col(f"e.{field}").rlike(DIGEST_PATTERN)
         rules.append(rule(must & present & bad, field, "must be 64 hexadecimal characters"))
     rules.append(rule(must & present & (F.col("e.row_count") < 0), "row_count", "must be non-negative"))
     rules.append(rule(must & present & (F.col("e.columns") < 1), "columns", "must be positive"))
