@@ -40,7 +40,9 @@ def value_text(values: pd.Series) -> pd.Series:
 def payload_text(kinds: pd.Series, payloads: pd.Series) -> pd.Series:
     """A payload with sorted keys, NULLs left out, amounts as fractions, absent flags as 0."""
 
-    def one(kind: str, text: str) -> str | None:
+    def one(kind: str, text: str | None) -> str | None:
+        if text is None:
+            return None
         try:
             fields = json.loads(text)
             if kind == "application_upsert":
