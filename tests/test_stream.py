@@ -3,7 +3,6 @@ from __future__ import annotations
 import json
 from datetime import timedelta
 
-import pytest
 from brute import features as brute_features
 from pyspark.sql import functions as F
 

@@ -248,13 +248,6 @@ def eligible_documents(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def bureau_payload(amount: Column) -> Column:
-    return F.to_json(F.struct(
-        F.col("o_custkey").alias("SK_ID_CURR"), F.col("o_orderkey").alias("SK_ID_BUREAU"),
-        F.col("o_orderstatus").alias("CREDIT_ACTIVE"), amount.alias("AMT_CREDIT_SUM"),
-    ))
-
-
 @query("""SELECT field, message, count(*) AS rows FROM (
     SELECT 'CREDIT_ACTIVE' AS field, 'unknown word' AS message FROM orders WHERE o_orderstatus = 'P'
     UNION ALL SELECT 'AMT_CREDIT_SUM', 'must be a number' FROM orders WHERE o_orderkey % 5 = 1
