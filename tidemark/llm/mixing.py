@@ -5,7 +5,9 @@ fractions are rounded in pairs: mass moves at random from one document of the pa
 one of them is taken or left, so that the words of the pair stay as they are and every document keeps
 its expected share. What is left of a pair meets the next one. Groups of bounded size are folded in
 parallel, their residuals form groups again, up a tree, until one residual per source is left; it is
-rounded by chance. A source so misses its target by less than the words of one document.
+rounded to the nearer side. A source so misses its target by at most half the words of one document.
+Of a pair the longer document tends to stay, so folds go from long to short: long ones are then settled
+against many short ones, and a short one is left.
 
 Defined results: a NULL or wordless text has size 0 and takes no words; documents without a source are
 one source, ordered last; repeated rows are rounded each on its own; the random numbers come from a seed
@@ -93,7 +95,7 @@ def _pair(a: Column, b: Column, seed: Column) -> Column:
 
 
 def _fold(rows: Column, seed: Column) -> Column:
-    """All rows of a group in the order of their keys -> ``{left, done}``: the residual row and the integral ones."""
+    """All rows of a group, long ones first -> ``{left, done}``: the residual row and the integral ones."""
 
     def step(state: Column, x: Column) -> Column:
         moved = bind(state["left"], lambda left: _pair(left, x, seed))
@@ -103,7 +105,8 @@ def _fold(rows: Column, seed: Column) -> Column:
         start = F.struct(sorted_rows[0].alias("left"), F.slice(sorted_rows, 1, 0).alias("done"))
         return F.aggregate(F.slice(sorted_rows, F.lit(2), F.size(sorted_rows)), start, step)
 
-    return bind(F.array_sort(rows), run)
+    ordered = F.transform(rows, lambda x: F.struct((-x["size"]).alias("o"), x["key"].alias("k"), x.alias("x")))
+    return bind(F.transform(F.array_sort(ordered), lambda s: s["x"]), run)
 
 
 def mix(
@@ -135,10 +138,9 @@ def mix(
         finished.append(folded.select("source", F.explode("out.done").alias("row")))
         fractional = (F.col("out.left.p") > 0) & (F.col("out.left.p") < 1)
         last = folded.where((F.col("groups") == 1) | ~fractional)
-        chance = unit(F.lit(seed + 1000), F.col("row.key"), F.col("row.doc")) < F.col("row.p")
         finished.append(
             last.select("source", F.col("out.left").alias("row"))
-            .withColumn("row", F.col("row").withField("p", F.when(chance, 1.0).otherwise(0.0))))
+            .withColumn("row", F.col("row").withField("p", F.when(F.col("row.p") >= 0.5, 1.0).otherwise(0.0))))
         level = folded.where((F.col("groups") > 1) & fractional).select(
             "source", F.ceil(F.col("groups") / group).alias("groups"), F.col("out.left").alias("row"))
         groups, depth = (0 if groups == 1 else -(-groups // group)), depth + 1
