@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import host_rules
-from tidemark.llm.common import table
+from tidemark.llm import host_rules, mixing, near_dup, packing, secret_scan
+from tidemark.llm.common import WORD, table, whole
 from tidemark.session import settle
 
 
@@ -19,7 +19,48 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality)]
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the row with the smallest doc_id stays; wordless documents all stay."""
+    found = settle(near_dup.classes(docs), "near-dup")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_md5"))
+    stays = found.where("class IS NOT NULL").groupBy("class").agg(first.alias("first")).select(
+        F.col("first.id").alias("_stay_id"), F.col("first.text_md5").alias("_stay_text"))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.unhex(F.md5(whole().cast("binary"))).alias("_md5"))
+    chosen = rows.join(stays, (F.col("_md5") == F.col("_stay_text")) & F.col("_doc.doc_id").eqNullSafe(F.col("_stay_id")), "left_semi")
+    wordless = rows.where(~whole("_doc.text").rlike(WORD))
+    return chosen.dropDuplicates(["_md5"]).unionByName(wordless).select("_doc.*")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of a secret is replaced in its text; n_chars follows. Texts without one stay as they are."""
+    others = [c for c in docs.columns if c != "text"]
+    found = secret_scan.scan(docs.select(F.struct(*others).alias("_rest"), "text"), ["_rest"])
+    clean = found.select("_rest", "spans", secret_scan.redacted(F.col("text"), F.col("spans")).alias("text"))
+    rest = {c: F.col(f"_rest.`{c}`") for c in others}
+    if "n_chars" in rest:
+        kind = docs.schema["n_chars"].dataType
+        rest["n_chars"] = F.when(F.size("spans") > 0, F.char_length("text").cast(kind)).otherwise(rest["n_chars"])
+    return clean.select(*[F.col("text") if c == "text" else rest[c].alias(c) for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; wholly equal rows share their copies."""
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64(*docs.columns).alias("_row"), whole().alias("text"), "source")
+    taken = mixing.mix(mixing.sized(rows, ["_row"])).groupBy("doc._row").agg(F.sum("copies").alias("copies"))
+    one = rows.select("_doc", "_row").dropDuplicates(["_row"])
+    counted = one.join(taken.where("copies > 0").withColumnRenamed("_row", "_taken"), F.col("_row") == F.col("_taken"))
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return counted.select("_doc", times.alias("_copy")).select("_doc.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies among the packed sequences."""
+    return packing.pack(docs, ["doc_id"])
+
+
+STAGES = [
+    ("quality rules", quality), ("near-duplicates", dedup), ("secret scans", secrets), ("source mixing", mix), ("best-fit packing", pack),
+]
 #: Tokenization, near-duplicate search and seeded rounding have no SQL form; tests use brute force.
 ORACLE_SQL = None
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import host_rules, mixing, secret_scan
+from tidemark.llm import (
+    exact_topk, host_rules, language_id, mixing, near_dup, packing, secret_scan, sharding, token_files, url_filter,
+)
 from tidemark.llm.common import table
 from tidemark.plans.registry import Entry
 
@@ -40,6 +42,99 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = (
+    url_filter.UrlRule("block", "net", "/"), url_filter.UrlRule("allow", "example.net", "/en/"),
+    url_filter.UrlRule("block", "example.com", "/de/"), url_filter.UrlRule("allow", "org", "/fr/"),
+)
+
+_OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(url, '') AS u, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS asked
+  FROM pages
+), c AS (
+  SELECT *, CASE WHEN contains(u, '://') THEN
+    regexp_replace(regexp_replace(regexp_replace(host, '(:80|:443)?$', ''), '\.+$', ''), '^www\.', '')
+    || regexp_replace(regexp_replace(path, '/index\.html?$', '/'), '/+$', '')
+    || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS entry
+  FROM p
+), again AS (SELECT entry FROM c WHERE entry IS NOT NULL GROUP BY entry HAVING count(DISTINCT page_id) > 1),
+r AS (
+  SELECT c.*, again.entry IS NOT NULL AS listed, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM c LEFT JOIN again ON c.entry = again.entry
+)
+SELECT page_id, host, path, rule, listed, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN listed THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
+@_query(_OP2_SQL)
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list holds every canonical URL that the crawl has under more than one page id."""
+    pages = table(spark, sf_dir, "pages")
+    entry = url_filter.canonical(F.col("url")).alias("entry")
+    ids = pages.select(entry, "page_id").where("entry IS NOT NULL").groupBy("entry").agg(
+        F.min("page_id").alias("low"), F.max("page_id").alias("high"))
+    return url_filter.judge(pages, ids.where("low < high"), URL_RULES, ["page_id"])
+
+
+@_query()
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = sharding.shards(table(spark, sf_dir, "documents"), 40, ["doc_id"])
+    return made.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+_OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) AS r WHERE rank <= 5
+"""
+
+
+@_query(_OP4_SQL)
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+@_query()
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@_query()
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    labels, model = language_id.prototypes(docs, ~held_out)
+    return language_id.predict(docs, [F.col("doc_id"), held_out.alias("held_out")], labels, model)
+
+
+@_query()
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id")
+
+
 @_query()
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = mixing.sized(table(spark, sf_dir, "documents"), ["doc_id"])
