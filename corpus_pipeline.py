@@ -33,14 +33,14 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of a secret is replaced in its text; n_chars follows. Texts without one stay as they are."""
-    others = [c for c in docs.columns if c != "text"]
-    found = secret_scan.scan(docs.select(F.struct(*others).alias("_rest"), "text"), ["_rest"])
-    clean = found.select("_rest", "spans", secret_scan.redacted(F.col("text"), F.col("spans")).alias("text"))
-    rest = {c: F.col(f"_rest.`{c}`") for c in others}
-    if "n_chars" in rest:
-        kind = docs.schema["n_chars"].dataType
-        rest["n_chars"] = F.when(F.size("spans") > 0, F.char_length("text").cast(kind)).otherwise(rest["n_chars"])
-    return clean.select(*[F.col("text") if c == "text" else rest[c].alias(c) for c in docs.columns])
+    found = secret_scan.scan(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), ["_doc"])
+    hit = F.size("spans") > 0
+    clean = found.select("_doc", hit.alias("_hit"), secret_scan.redacted(F.col("text"), F.col("spans")).alias("_text"))
+    columns = {c: F.col(f"_doc.`{c}`") for c in docs.columns}
+    changed = {"text": F.col("_text")}
+    if "n_chars" in columns:
+        changed["n_chars"] = F.char_length("_text").cast(docs.schema["n_chars"].dataType)
+    return clean.select(*[F.when(F.col("_hit"), changed[c]).otherwise(v).alias(c) if c in changed else v.alias(c) for c, v in columns.items()])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
