@@ -9,7 +9,8 @@ Text is put in lower case; runs of anything but letters count as one space, at b
 of other characters than letters alone does not occur, so a text without a letter has no profile.
 
 Defined results: a NULL text or one without a letter is ``und`` with score 0; ties go to the smaller
-label; rows without a label teach nothing; without any label everything is ``und``; repeated rows are
+label; rows without a label teach nothing, nor do labels whose texts have no letter; without any label everything
+is ``und``; repeated rows are
 counted and returned each; an empty table gives an empty result; columns that are not named stay unread.
 """
 
@@ -145,7 +146,8 @@ def prototypes(docs: DataFrame, teaches: Column, text: str = "text", label: str
     found = summed.limit(MOST_LANGUAGES + 1).collect()
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    found = sorted((r[0], np.frombuffer(r[1], np.int64).astype(np.float64)) for r in found)
+    sums = [(r[0], np.frombuffer(r[1], np.int64).astype(np.float64)) for r in found]
+    found = sorted((lang, v) for lang, v in sums if v.any())
     table = np.array([v for _, v in found]).reshape(len(found), DIMENSIONS)
     return [lang for lang, _ in found], table
 
