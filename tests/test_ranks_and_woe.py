@@ -96,11 +96,20 @@ def test_fit_equals_definition(fitted):
         r = got[key]
         assert (r.good, r.bad, r.lower, r.upper) == (good, bad, lower, upper)
         assert (r.woe, r.iv) == pytest.approx((weight, iv))
-    assert check_training_closure(rules).isEmpty()
+    assert check_training_closure(rules, fitted[2]).isEmpty()
     total = {r.feature_id: r.total_iv for r in woe_summary(rules).collect()}
     assert total["ties"] == pytest.approx(sum(r[3] for k, r in want.items() if k[0] == "ties"))
 
 
+def test_lost_and_doubled_training_rows_are_found(spark, fitted):
+    points, _, p, v, _ = fitted
+    n = sum(x[2] == "train" for x in points)
+    lost = v.where(~((F.col("feature_id") == "ties") & F.col("entity_id").isin("SK_ID_CURR:1", "SK_ID_CURR:2")))
+    twice = lost.unionByName(v.where("feature_id = 'smooth' AND entity_id = 'SK_ID_CURR:3'"))
+    found = {r.feature_id: (r.binned_rows, r.training_rows) for r in check_training_closure(fit_woe(twice, p), p).collect()}
+    assert found == {"ties": (n - 2, n), "smooth": (n + 1, n)}
+
+
 def test_consistent_weight_of_the_missing_bin(fitted):
     _, _, p, v, _ = fitted
     row = fit_woe(v.where("feature_id = 'ties'"), p, consistent_woe=True).where("bin = -1").first()

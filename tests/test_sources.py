@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import silver
 from tidemark.operators.bronze import stamp_bronze
-from tidemark.operators.fingerprint import fingerprint, flat_fingerprint
+from tidemark.operators import fingerprint as digests
+from tidemark.sources import raw_csv
+from tidemark.operators.fingerprint import fingerprint
 from tidemark.operators.monitor import document_features, latency, quality_profile
 from tidemark.operators.quality import check_fk, check_pk
 from tidemark.settings import BRONZE_COLUMNS
@@ -43,14 +45,29 @@ def test_profile_equals_hashlib(spark, tmp_path):
     }
 
 
-def test_large_file_gets_a_digest_of_lines(spark, tmp_path):
-    (tmp_path / "a.csv").write_bytes(b"x\n" + b"1\n" * 50)
-    (tmp_path / "b.csv").write_bytes(b"x\n")
-    got = {r.name: r.sha256 for r in profile_sources(spark, str(tmp_path), whole_file_bytes=10).collect()}
-    assert got["a.csv"].startswith("lines:") and got["b.csv"] == sha(b"x\n")
-    (tmp_path / "a.csv").write_bytes(b"x\n" + b"1\n" * 49 + b"2\n")
-    again = {r.name: r.sha256 for r in profile_sources(spark, str(tmp_path), whole_file_bytes=10).collect()}
-    assert again["a.csv"] != got["a.csv"]
+def test_files_of_any_size_have_one_identity(spark, tmp_path):
+    """Files longer than what is read at a time, with line breaks at the seams."""
+    size = raw_csv.READ_BYTES
+    files = {
+        "a.csv": b"x" * (size - 1) + b"\n" + b"1\n" * 50, "b.csv": b"x" * size + b"\n\n\n" + b"2" * size, "c.csv": b"x\n" + b"y" * (size - 3) + b"\n\nz",
+        "d e.csv": b"h" * (size + 5),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.name: (r.sha256, r.header_sha256, r.row_count) for r in profile_sources(spark, str(tmp_path)).collect()}
+    assert got == {
+        n: (sha(d), sha(d.split(b"\n")[0] + b"\n"), len([x for x in d.split(b"\n") if x]) - 1) for n, d in files.items()}
+
+
+def test_header_with_quoted_commas(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"x,1","say ""y""",z\r\n1,2,3\n')
+    assert read_header(spark, str(tmp_path / "a.csv")) == ["x,1", 'say "y"', "z"]
+
+
+def test_source_is_scanned_by_one_job_over_its_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    plan = profile_sources(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
 
 
 def test_source_of_many_parts(spark, tmp_path):
@@ -155,13 +172,6 @@ def test_fingerprints(spark):
     one, two = fingerprint(df).first(), fingerprint(df.repartition(7)).first()
     assert one == two and (one.row_count, one.distinct_count, one.duplicate_count) == (1000, 900, 100)
     assert fingerprint(df.limit(999)).first().digest != one.digest
-    counts = {}
-    for (h,) in rows:
-        counts[h] = counts.get(h, 0) + 1
-    flat = "".join(f"{h}:{n}\n" for h, n in sorted(counts.items()))
-    assert flat_fingerprint(df).first().digest == sha(flat.encode())
-    with pytest.raises(ValueError):
-        flat_fingerprint(df, most=10)
     assert fingerprint(df.where("false")).first().row_count == 0
 
 
@@ -172,6 +182,13 @@ def test_deep_fingerprint_tree_sees_single_changes(spark):
     assert fingerprint(df).first().digest != fingerprint(changed).first().digest
 
 
+def test_fingerprint_without_a_root_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(digests, "LEVELS", 1)
+    df = spark.range(300_000).select(F.sha2(F.col("id").cast("string"), 256).alias("_raw_row_sha256"))
+    with pytest.raises(Exception, match="more than one root"):
+        fingerprint(df).first()
+
+
 def test_casts(spark):
     df = spark.createDataFrame([("12",), ("12.5",), ("-3.9",), ("x",), ("",), (None,), ("99999999999",), ("NaN",)], "a string").withColumn("b", F.col("a"))
     rows = silver.cast_by_map(df, {"a": "INT", "b": "DOUBLE", "missing": "INT"}).collect()

@@ -37,7 +37,11 @@ def test_counts(spark, done):
     assert points(spark, layers, sha).count() == 30
     found = values(spark, layers, sha)
     assert found.count() == 600
-    assert check_feature_closure(found, feature_catalog(spark)).count() == 0
+    wanted = points(spark, layers, sha)
+    assert check_feature_closure(found, feature_catalog(spark), wanted).count() == 0
+    one = wanted.select("prediction_id").first()[0]
+    lost = check_feature_closure(found.where(F.col("prediction_id") != one), feature_catalog(spark), wanted).collect()
+    assert [(r.breach, r.prediction_id, r.rows) for r in lost] == [("incomplete_prediction", one, 0)]
 
 
 def test_every_value_equals_the_definition(spark, done, credit_rows):

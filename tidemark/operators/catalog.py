@@ -7,7 +7,10 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tidemark.settings import DOCUMENT_FLAGS
+from tidemark.settings import (
+    APPLICATION_AFFORDABILITY, APPLICATION_DEMOGRAPHICS, APPLICATION_DOCUMENTS, APPLICATION_EXTERNAL_SCORES, BALANCE_GROUP,
+    BUREAU_GROUP, DOCUMENT_FLAGS,
+)
 
 
 class Feature(NamedTuple):
@@ -27,67 +30,69 @@ SCORES = ["EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]
 _PRESENT = " + ".join(f"int({s} IS NOT NULL)" for s in SCORES)
 _DELINQUENT = "STATUS IN ('1', '2', '3', '4', '5')"
 # Newest month first, then the smallest bureau id; should one record have several rows for a month, a
-# delinquent one wins. Month, id and the delinquency bit fit one BIGINT, so the newest status is a plain
-# maximum with a fixed-width buffer. Ids below 2^46 and 65,535 months are the key domain.
+# delinquent one wins. Month (INT), id (BIGINT) and the delinquency bit fit one DECIMAL(38), whatever their
+# values, so the newest status is a plain maximum with a fixed-width buffer.
 _NEWEST = (
-    "max(CASE WHEN MONTHS_BALANCE BETWEEN -65535 AND 65534 AND SK_ID_BUREAU BETWEEN 0 AND 70368744177663 "
-    "THEN shiftleft(bigint(MONTHS_BALANCE), 47) + shiftleft(70368744177663 - SK_ID_BUREAU, 1) "
-    f"+ bigint(coalesce({_DELINQUENT}, false)) "
-    "WHEN MONTHS_BALANCE IS NOT NULL AND SK_ID_BUREAU IS NOT NULL "
-    "THEN bigint(raise_error('month or bureau id outside the key domain')) END)"
+    "max(CASE WHEN MONTHS_BALANCE IS NOT NULL AND SK_ID_BUREAU IS NOT NULL THEN "
+    "CAST(MONTHS_BALANCE AS DECIMAL(10,0)) * 100000000000000000000BD "
+    "+ (9223372036854775807BD - CAST(SK_ID_BUREAU AS DECIMAL(19,0))) * 2BD "
+    f"+ CAST(int(coalesce({_DELINQUENT}, false)) AS DECIMAL(1,0)) END)"
 )
 
 
-def _app(feature_id: str, name: str, group: str, expression: str) -> Feature:
-    return Feature(f"app.{feature_id}", name, "application_train", "ROW", f"application_{group}",
+def _name(feature_id: str) -> str:
+    """What people read: the words of the id."""
+    return feature_id.replace("_", " ")
+
+
+def _app(feature_id: str, group: str, expression: str) -> Feature:
+    return Feature(f"app.{feature_id}", _name(feature_id), "application_train", "ROW", group,
                    "application", "none", expression)
 
 
-def _bureau(feature_id: str, name: str, expression: str) -> Feature:
-    return Feature(f"bureau.{feature_id}", name, "bureau", "AGGREGATE", "bureau_credit_history",
+def _bureau(feature_id: str, expression: str) -> Feature:
+    return Feature(f"bureau.{feature_id}", f"bureau {_name(feature_id)}", "bureau", "AGGREGATE", BUREAU_GROUP,
                    "pre_application", "temporal", expression, "SK_ID_CURR", "DAYS_CREDIT <= 0")
 
 
-def _balance(feature_id: str, name: str, expression: str, kind: str = "AGGREGATE") -> Feature:
-    return Feature(f"bureau_balance.{feature_id}", name, "bureau_balance", kind,
-                   "bureau_delinquency_history", "pre_application", "temporal", expression,
+def _balance(feature_id: str, expression: str, kind: str = "AGGREGATE") -> Feature:
+    return Feature(f"bureau_balance.{feature_id}", f"balance {_name(feature_id)}", "bureau_balance", kind,
+                   BALANCE_GROUP, "pre_application", "temporal", expression,
                    "SK_ID_CURR", "MONTHS_BALANCE <= 0")
 
 
 FEATURES = [
-    _app("credit_income_ratio", "Credit / Income Ratio", "affordability",
+    _app("credit_income_ratio", APPLICATION_AFFORDABILITY,
          "try_divide(AMT_CREDIT, AMT_INCOME_TOTAL)"),
-    _app("annuity_income_ratio", "Annuity / Income Ratio", "affordability",
+    _app("annuity_income_ratio", APPLICATION_AFFORDABILITY,
          "try_divide(AMT_ANNUITY, AMT_INCOME_TOTAL)"),
-    _app("credit_annuity_ratio", "Credit / Annuity Ratio", "affordability",
+    _app("credit_annuity_ratio", APPLICATION_AFFORDABILITY,
          "try_divide(AMT_CREDIT, AMT_ANNUITY)"),
-    _app("goods_credit_ratio", "Goods Price / Credit Ratio", "affordability",
+    _app("goods_credit_ratio", APPLICATION_AFFORDABILITY,
          "try_divide(AMT_GOODS_PRICE, AMT_CREDIT)"),
-    _app("age_years", "Applicant Age (Years)", "demographics",
+    _app("age_years", APPLICATION_DEMOGRAPHICS,
          # Division by a decimal: the quotient keeps six places.
          "double(int(DAYS_BIRTH) / -365.25BD)"),
-    _app("ext_source_mean", "External Source Mean", "external_scores",
+    _app("ext_source_mean", APPLICATION_EXTERNAL_SCORES,
          f"try_divide({' + '.join(f'coalesce({s}, 0D)' for s in SCORES)}, double({_PRESENT}))"),
-    _app("ext_source_missing_count", "External Source Missing Count", "external_scores",
+    _app("ext_source_missing_count", APPLICATION_EXTERNAL_SCORES,
          f"double({len(SCORES)} - ({_PRESENT}))"),
-    _app("document_flag_count", "Document Flag Count", "documents",
+    _app("document_flag_count", APPLICATION_DOCUMENTS,
          f"double({' + '.join(DOCUMENT_FLAGS)})"),
-    _bureau("record_count", "Bureau Record Count", "double(count(1))"),
-    _bureau("active_count", "Active Bureau Count", "double(count_if(CREDIT_ACTIVE = 'Active'))"),
-    _bureau("closed_count", "Closed Bureau Count", "double(count_if(CREDIT_ACTIVE = 'Closed'))"),
-    _bureau("credit_sum_total", "Bureau Credit Sum Total", "sum(AMT_CREDIT_SUM)"),
-    _bureau("debt_sum_total", "Bureau Debt Sum Total", "sum(AMT_CREDIT_SUM_DEBT)"),
-    _bureau("overdue_sum_total", "Bureau Overdue Sum Total", "sum(AMT_CREDIT_SUM_OVERDUE)"),
-    _bureau("days_credit_mean", "Bureau Mean Days Credit", "avg(DAYS_CREDIT)"),
-    _bureau("recent_12m_count", "Bureau Recent 12-Month Count",
-            "double(count_if(DAYS_CREDIT BETWEEN -365 AND 0))"),
-    _balance("month_count", "Bureau Balance Month Count", "double(count(1))"),
-    _balance("delinquent_month_count", "Delinquent Month Count", f"double(count_if({_DELINQUENT}))"),
+    _bureau("record_count", "double(count(1))"),
+    _bureau("active_count", "double(count_if(CREDIT_ACTIVE = 'Active'))"),
+    _bureau("closed_count", "double(count_if(CREDIT_ACTIVE = 'Closed'))"),
+    _bureau("credit_sum_total", "sum(AMT_CREDIT_SUM)"),
+    _bureau("debt_sum_total", "sum(AMT_CREDIT_SUM_DEBT)"),
+    _bureau("overdue_sum_total", "sum(AMT_CREDIT_SUM_OVERDUE)"),
+    _bureau("days_credit_mean", "avg(DAYS_CREDIT)"),
+    _bureau("recent_12m_count", "double(count_if(DAYS_CREDIT BETWEEN -365 AND 0))"),
+    _balance("month_count", "double(count(1))"),
+    _balance("delinquent_month_count", f"double(count_if({_DELINQUENT}))"),
     # C and X count as level 0; any other text is no level.
-    _balance("max_delinquency_level", "Max Delinquency Level",
-             "double(max(CASE WHEN STATUS IN ('0', 'C', 'X') THEN 0 "
+    _balance("max_delinquency_level", "double(max(CASE WHEN STATUS IN ('0', 'C', 'X') THEN 0 "
              f"WHEN {_DELINQUENT} THEN int(STATUS) END))"),
-    _balance("latest_status_delinquent", "Latest Status Delinquent", f"double({_NEWEST} & 1)", "LATEST"),
+    _balance("latest_status_delinquent", f"double(pmod({_NEWEST}, 2BD))", "LATEST"),
 ]
 
 FEATURE_IDS = [f.feature_id for f in FEATURES]

@@ -50,14 +50,16 @@ def balance_features(balance: DataFrame) -> DataFrame:
     return _one_source(balance, "bureau_balance")
 
 
-def assemble(points: DataFrame, *groups: DataFrame) -> DataFrame:
+def assemble(points: DataFrame, *groups: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Wide features per prediction point; an entity without child rows keeps NULLs.
 
+    ``carry`` names further columns of the points that stay.
+
     The join key is the numeric id, which is how the groups are already partitioned, so their
     aggregates are not shuffled again.
     """
     wide = points.select(
-        "prediction_id", "entity_id", "prediction_time", MANIFEST, entity_number(F.col("entity_id")).alias(KEY)
+        "prediction_id", "entity_id", "prediction_time", MANIFEST, *(carry or []), entity_number(F.col("entity_id")).alias(KEY)
     )
     for group in groups:
         wide = wide.join(group, [MANIFEST, KEY], "left")

@@ -16,13 +16,6 @@ def _counted(df: DataFrame, hash_column: str) -> DataFrame:
     return df.groupBy(F.col(hash_column).alias("h")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _totals(counted: DataFrame) -> DataFrame:
-    return counted.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("row_count"),
-        F.count(F.lit(1)).alias("distinct_count"),
-    )
-
-
 def _joined(part: str) -> F.Column:
     return F.sha2(F.concat_ws("", F.sort_array(F.collect_list(part))), 256)
 
@@ -50,22 +43,11 @@ def fingerprint(df: DataFrame, hash_column: str = "_raw_row_sha256") -> DataFram
             F.substring("prefix", F.lit(1), shorter).alias("prefix"), shorter.alias("depth"),
             F.concat("prefix", F.lit("="), "digest", F.lit("\n")).alias("part"), "rows", "hashes",
         )
-    # One row is left, none for an empty input.
+    # One row is left, none for an empty input. More than one would mean that the levels did not reach
+    # the root; then no digest is given.
+    root = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("the digest tree has more than one root"))).otherwise(F.max("digest"))
     return digests.agg(
-        F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("digest"),
+        F.coalesce(root, F.sha2(F.lit(""), 256)).alias("digest"),
         F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("row_count"),
         F.coalesce(F.sum("hashes"), F.lit(0)).cast("bigint").alias("distinct_count"),
     ).withColumn("duplicate_count", F.col("row_count") - F.col("distinct_count"))
-
-
-def flat_fingerprint(df: DataFrame, hash_column: str = "_raw_row_sha256", most: int = 1_000_000) -> DataFrame:
-    """SHA-256 over all sorted ``hash:count`` lines at once; refuses more than ``most`` hashes."""
-    counted = _counted(df, hash_column)
-    if counted.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} distinct hashes: use fingerprint()")
-    lines = counted.select("*", F.concat("h", F.lit(":"), F.col("n").cast("string"), F.lit("\n")).alias("part"))
-    digest = lines.agg(_joined("part"))
-    return _totals(counted).select(
-        digest.scalar().alias("digest"), "row_count", "distinct_count",
-        (F.col("row_count") - F.col("distinct_count")).alias("duplicate_count"),
-    )

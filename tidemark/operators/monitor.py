@@ -123,19 +123,25 @@ def quality_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def boundary_violations(events: DataFrame, points: DataFrame) -> DataFrame:
-    """Events that became known after the prediction they would feed.
+def boundary_violations(
+    events: DataFrame, points: DataFrame, keys: tuple[str, ...] = ("entity_id",), unknown: bool = True
+) -> DataFrame:
+    """Events that became known after a prediction they would feed.
 
-    Entities are counted on both sides before they meet, and a point carries one time per entity.
+    With entity and prediction as ``keys`` an event is judged by the prediction it names, otherwise by
+    the earliest of its entity. Points are reduced to one row per key before they meet the events. Events
+    without a point are violations unless ``unknown`` lets them pass.
     """
-    times = points.groupBy("entity_id").agg(F.max("prediction_time").alias("prediction_time"))
-    return events.join(times, "entity_id").where(F.col("available_at") > F.col("prediction_time"))
+    times = points.groupBy(*keys).agg(F.min("prediction_time").alias("prediction_time"))
+    late = F.coalesce(F.col("available_at") > F.col("prediction_time"), F.lit(not unknown))
+    return events.join(times, list(keys), "inner" if unknown else "left").where(late)
 
 
-def latency(df: DataFrame, stages: list[str], keys: list[str], accuracy: int = 10_000) -> DataFrame:
+def latency(df: DataFrame, stages: list[str], keys: list[str]) -> DataFrame:
     """Seconds between neighbouring time columns and end to end: count, mean, p50, p95, p99.
 
-    A whole-number percentile of sorted milliseconds within ``1 / accuracy`` of the rank.
+    A percentile is the smallest value that so large a share of the rows does not exceed, exact at any
+    size: rows are counted per distinct value, and running sums go over the values, spread over tasks.
     """
     pairs = list(zip(stages, stages[1:])) + ([(stages[0], stages[-1])] if len(stages) > 2 else [])
 
@@ -145,12 +151,18 @@ def latency(df: DataFrame, stages: list[str], keys: list[str], accuracy: int = 1
     steps = F.array(*[
         F.struct(F.lit(f"{a} to {b}").alias("step"), seconds(a, b).alias("seconds")) for a, b in pairs
     ])
-    cut = F.percentile_approx("seconds", [0.5, 0.95, 0.99], accuracy)
-    return (
-        df.select(*keys, F.inline(steps)).where("seconds is not null").groupBy(*keys, "step")
-        .agg(F.count(F.lit(1)).alias("rows"), F.avg("seconds").alias("mean"), cut.alias("p"))
-        .select(*keys, "step", "rows", "mean", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"),
-                F.col("p")[2].alias("p99"))
+    counted = df.select(*keys, F.inline(steps)).where("seconds is not null").groupBy(*keys, "step", "seconds").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    sums = running_sums(counted, [*keys, "step"], [F.col("seconds")], ["n"])
+    reached = (F.col("below_n") + F.col("n")).cast("double")
+
+    def cut(share: float) -> Column:
+        return F.min(F.when(reached >= F.ceil(F.lit(share) * F.col("total_n")), F.col("seconds")))
+
+    return sums.groupBy(*keys, "step").agg(
+        F.sum("n").alias("rows"), (F.sum(F.col("seconds") * F.col("n")) / F.sum("n")).alias("mean"),
+        cut(0.5).alias("p50"), cut(0.95).alias("p95"), cut(0.99).alias("p99"),
     )
 
 

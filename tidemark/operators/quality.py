@@ -23,7 +23,7 @@ def check_pk(df: DataFrame, columns: list[str]) -> DataFrame:
 def check_fk(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str | None = None) -> DataFrame:
     """Child keys without a parent and how many rows carry them; NULL keys are no reference."""
     keys = child.where(F.col(child_key).isNotNull()).groupBy(child_key).agg(F.count(F.lit(1)).alias("rows"))
-    parents = parent.select(F.col(parent_key or child_key).alias("_parent"))
+    parents = parent.select(F.col(parent_key or child_key).alias("_parent")).distinct()
     return keys.join(parents, F.col(child_key) == F.col("_parent"), "left_anti")
 
 
@@ -48,11 +48,12 @@ def split_rows(points: DataFrame, split: str = "train") -> DataFrame:
     return points.where(F.col("split") == split)
 
 
-def check_feature_closure(values: DataFrame, catalog: DataFrame) -> DataFrame:
+def check_feature_closure(values: DataFrame, catalog: DataFrame, points: DataFrame) -> DataFrame:
     """Breaches of "every prediction has exactly the catalog's features, once each".
 
-    One row per breach: a pair that occurs twice, a feature nobody declared, a prediction with too few
-    declared features, a declared feature without any value row.
+    One row per breach: a pair that occurs twice, a feature nobody declared, a prediction of ``points``
+    with too few declared features (0 rows if it has none), a declared feature without any value row, a
+    prediction that is no point.
     """
     known = catalog.select("feature_id", F.lit(True).alias("_known"))
     pairs = values.groupBy("prediction_id", "feature_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -70,13 +71,16 @@ def check_feature_closure(values: DataFrame, catalog: DataFrame) -> DataFrame:
         F.lit("absent_feature").alias("breach"), F.lit(None).cast("string").alias("prediction_id"),
         "feature_id", F.lit(0).cast("bigint").alias("rows"),
     )
-    short = (
-        pairs.join(known, "feature_id").groupBy("prediction_id").agg(F.count(F.lit(1)).alias("rows"))
-        .where(F.col("rows") < size)
-        .select(F.lit("incomplete_prediction").alias("breach"), "prediction_id",
-                F.lit(None).cast("string").alias("feature_id"), "rows")
+    declared = pairs.join(known, "feature_id").groupBy("prediction_id").agg(F.count(F.lit(1)).alias("_had"))
+    wanted = points.select("prediction_id").distinct()
+    nothing = F.lit(None).cast("string").alias("feature_id")
+    short = wanted.join(declared, "prediction_id", "left").select(
+        F.lit("incomplete_prediction").alias("breach"), "prediction_id", nothing, F.coalesce("_had", F.lit(0)).alias("rows")
+    ).where(F.col("rows") < size)
+    stray = pairs.groupBy("prediction_id").agg(F.sum("_n").alias("rows")).join(wanted, "prediction_id", "left_anti").select(
+        F.lit("unknown_prediction").alias("breach"), "prediction_id", nothing, "rows"
     )
-    return twice.unionByName(extra).unionByName(absent).unionByName(short)
+    return twice.unionByName(extra).unionByName(absent).unionByName(short).unionByName(stray)
 
 
 def set_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -71,11 +71,15 @@ def woe_summary(rules: DataFrame) -> DataFrame:
     )
 
 
-def check_training_closure(rules: DataFrame) -> DataFrame:
-    """Features whose bins do not add up to the training rows they were fitted on."""
-    return rules.groupBy("feature_id").agg(
-        F.sum(F.col("good") + F.col("bad")).alias("binned_rows"),
-        F.max(F.col("total_good") + F.col("total_bad")).alias("training_rows"),
+def check_training_closure(rules: DataFrame, points: DataFrame) -> DataFrame:
+    """Features whose bins do not hold every training prediction once.
+
+    The training predictions are counted from ``points`` alone, so rows that were lost or doubled before
+    the fit are found too.
+    """
+    wanted = split_rows(points).where("label in (0, 1)").agg(F.countDistinct("prediction_id"))
+    return rules.groupBy("feature_id").agg(F.sum(F.col("good") + F.col("bad")).alias("binned_rows")).withColumn(
+        "training_rows", wanted.scalar()
     ).where("binned_rows != training_rows")
 
 

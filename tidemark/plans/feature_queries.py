@@ -31,7 +31,7 @@ from tidemark.operators.features import (
 from tidemark.operators.latest import first_value_per_key, latest_per_key, pit_join, top_rows
 from tidemark.operators.quality import as_of, set_diff
 from tidemark.operators.ranks import equal_count_bins
-from tidemark.operators.woe import apply_woe, entropy, fit_mean_split, fit_woe, woe_summary
+from tidemark.operators.woe import apply_woe, check_training_closure, entropy, fit_mean_split, fit_woe, woe_summary
 from tidemark.plans import credit_sql as sql
 from tidemark.plans import credit_tables as credit
 from tidemark.plans.registry import query
@@ -169,10 +169,8 @@ _BUREAU_IDS = [f for f in FEATURE_IDS if f.startswith("bureau.")]
 def point_in_time_bureau(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: as-of bureau history per prediction point, split by hash, in long form."""
     points = credit.points(spark, folder)
-    wide = assemble(points, bureau_features(credit.bureau(spark, folder)))
-    splits = points.select("prediction_id", "split")
-    long = to_long(wide, ["prediction_id"], _BUREAU_IDS)
-    return rounded(long.join(splits, "prediction_id"), ["feature_value"], 4)
+    wide = assemble(points, bureau_features(credit.bureau(spark, folder)), carry=["split"])
+    return rounded(to_long(wide, ["prediction_id", "split"], _BUREAU_IDS), ["feature_value"], 4)
 
 
 @query(f"""WITH {sql.ALL_VALUES}
@@ -219,25 +217,41 @@ _RULE_NUMBERS = ["lower", "upper", "good_distribution", "bad_distribution", "woe
 
 
 def rules(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Values, points and the rules fitted on them. The values are settled once, since the fit and
-    every use of the rules read them."""
+    """Values, points and the rules fitted on them. All are settled once: the fit and every use of the
+    rules read the values, and ordering them reads its input twice."""
     points = settle(credit.points(spark, folder), "points")
     found = settle(values(spark, folder), "values")
-    return found, points, fit_woe(found, points)
+    return found, points, settle(fit_woe(found, points), "rules")
 
 
 @query(f"""WITH {sql.FITTED} SELECT feature_id, bin, round(lower, 4) AS lower, round(upper, 4) AS upper, good, bad,
     round(gd, 6) AS good_distribution, round(bd, 6) AS bad_distribution, round(woe, 6) AS woe, round(iv, 6) AS iv,
     n AS training_sample_count, tg AS total_good, tb AS total_bad FROM rules""")
 def woe_rules(spark: SparkSession, folder: str) -> DataFrame:
-    fitted = fit_woe(values(spark, folder), credit.points(spark, folder))
+    fitted = rules(spark, folder)[2]
     return rounded(rounded(fitted, _RULE_NUMBERS[2:]), _RULE_NUMBERS[:2], 4)
 
 
 @query(f"""WITH {sql.FITTED} SELECT feature_id, round(sum(iv), 6) AS total_iv, count(*) AS bins, max(n) AS training_sample_count,
     max(tg) AS total_good, max(tb) AS total_bad FROM rules GROUP BY feature_id""")
 def woe_totals(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(woe_summary(fit_woe(values(spark, folder), credit.points(spark, folder))), ["total_iv"])
+    return rounded(woe_summary(rules(spark, folder)[2]), ["total_iv"])
+
+
+@query(f"""WITH {sql.ALL_VALUES}, n AS (SELECT count(DISTINCT prediction_id) AS n FROM vals WHERE split = 'train'), kept AS (
+    SELECT feature_id, prediction_id FROM vals WHERE split = 'train' AND NOT (
+      feature_id = '{FEATURE_IDS[0]}' AND substr(prediction_id, 1, 1) = '7')
+    UNION ALL SELECT feature_id, prediction_id FROM vals WHERE split = 'train' AND feature_id = '{FEATURE_IDS[1]}' AND substr(prediction_id, 1, 1) = '3')
+  SELECT feature_id, count(*)::BIGINT AS binned_rows, any_value(n.n)::BIGINT AS training_rows FROM kept, n
+  GROUP BY feature_id HAVING count(*) <> any_value(n.n)""")
+def training_closure_breaches(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules fitted on values of which one feature lost some training rows and another has some twice."""
+    points = settle(credit.points(spark, folder), "points")
+    found = settle(values(spark, folder), "values")
+    own, first = F.col("feature_id"), F.substring("prediction_id", 1, 1)
+    lost = found.where(~((own == FEATURE_IDS[0]) & (first == "7")))
+    twice = found.where((own == FEATURE_IDS[1]) & (first == "3"))
+    return check_training_closure(settle(fit_woe(lost.unionByName(twice), points), "rules"), points)
 
 
 @query(f"""WITH {sql.ALL_VALUES} SELECT feature_id, round(avg(feature_value), 4) AS bin_boundary, 2 AS bin_count,

@@ -124,7 +124,7 @@ def latency_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(report, ["mean", "p50", "p95", "p99"], 4)
 
 
-_PROFILED = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
+_PROFILED = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 
 
 @query(" UNION ALL ".join(
@@ -132,7 +132,7 @@ _PROFILED = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
       round((count(*) - count({c})) / count(*), 6) AS null_rate FROM documents LEFT JOIN labels USING (doc_id)"""
     for c in _PROFILED))
 def null_profile(spark: SparkSession, folder: str) -> DataFrame:
-    documents = credit.table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
+    documents = credit.table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     joined = documents.join(credit.table(spark, folder, "labels"), "doc_id", "left")
     return rounded(monitor.quality_profile(joined), ["null_rate"])
 
@@ -147,6 +147,24 @@ def known_after_prediction(spark: SparkSession, folder: str) -> DataFrame:
     return monitor.boundary_violations(orders, credit.points(spark, folder)).select("o_orderkey", "entity_id")
 
 
+@query("""WITH e AS (SELECT o_orderkey, o_custkey, o_orderdate FROM orders JOIN customer ON c_custkey = o_custkey),
+  p AS (SELECT c_custkey, n, CASE n WHEN 1 THEN TIMESTAMP '1995-01-01' ELSE TIMESTAMP '1997-01-01' END AS t FROM customer, (VALUES (1), (2)) AS v(n))
+  SELECT o_orderkey, 'any' AS judged FROM e WHERE o_orderdate > TIMESTAMP '1995-01-01'
+  UNION ALL SELECT o_orderkey, 'own' FROM e JOIN p ON c_custkey = o_custkey AND n = 1 + o_orderkey % 2 WHERE o_orderdate > t""")
+def known_after_a_prediction(spark: SparkSession, folder: str) -> DataFrame:
+    """Two predictions per customer: orders judged by either of them, and by the one that they name."""
+    customers = credit.table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("entity_id"))
+    points = customers.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        "entity_id", F.col("n").cast("string").alias("prediction_id"),
+        F.when(F.col("n") == 1, F.expr("timestamp'1995-01-01T00:00:00Z'")).otherwise(F.expr("timestamp'1997-01-01T00:00:00Z'")).alias("prediction_time"))
+    orders = credit.table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("string").alias("entity_id"),
+        (1 + F.col("o_orderkey") % 2).cast("string").alias("prediction_id"), F.col("o_orderdate").cast("timestamp").alias("available_at"))
+    by_any = monitor.boundary_violations(orders, points).select("o_orderkey", F.lit("any").alias("judged"))
+    by_own = monitor.boundary_violations(orders, points, ("entity_id", "prediction_id"))
+    return by_any.unionByName(by_own.select("o_orderkey", F.lit("own").alias("judged")))
+
+
 @query("""WITH base AS (SELECT doc_id, lang, source, quality, n_chars FROM documents LEFT JOIN labels USING (doc_id)),
   fields AS (
     SELECT doc_id, 1 AS page, 'language' AS field, lang AS value, 0.9 AS c FROM base

@@ -84,6 +84,18 @@ def source_profiles(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("""WITH lines AS (SELECT c_nationkey, c_custkey, c_custkey || ',' || c_name || ',' || c_mktsegment || chr(10) AS line FROM customer)
+  SELECT sha256('c_custkey,c_name,c_mktsegment' || chr(10) || string_agg(line, '' ORDER BY c_custkey)) AS sha256,
+    sha256('c_custkey,c_name,c_mktsegment' || chr(10)) AS header_sha256, count(*) AS row_count, 3 AS columns FROM lines GROUP BY c_nationkey""")
+def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """A file of customers per nation, in order, so that its bytes are known."""
+    customers = credit.table(spark, folder, "customer").select("c_nationkey", "c_custkey", "c_name", "c_mktsegment")
+    path = scratch_folder(spark, "by-nation")
+    ordered = customers.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    ordered.write.option("header", True).partitionBy("c_nationkey").csv(path)
+    return profile_sources(spark, f"{path}/*").drop("name")
+
+
 def _file_list(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a listed file."""
     return credit.table(spark, folder, "documents").select(

@@ -18,8 +18,10 @@ from tidemark.operators.features import feature_values
 from tidemark.operators.fingerprint import fingerprint
 from tidemark.operators.points import build_points, points_snapshot_id
 from tidemark.operators.contracts import validate_points
-from tidemark.operators.quality import check_pk
+from tidemark.operators.catalog import feature_catalog
+from tidemark.operators.quality import check_feature_closure, check_fk, check_pk
 from tidemark.operators.woe import check_training_closure, fit_woe
+from tidemark.session import settle
 from tidemark.settings import MANIFEST, REQUIRED_COLUMNS, SILVER_TYPES, Boundary
 from tidemark.sources.raw_csv import (
     MANIFEST_SCHEMA,
@@ -48,6 +50,8 @@ PRIMARY_KEYS = {
     "bureau": ["SK_ID_BUREAU"],
     "bureau_balance": ["SK_ID_BUREAU", "MONTHS_BALANCE"],
 }
+# Column and the source whose key it must be.
+FOREIGN_KEYS = {"bureau": ("SK_ID_CURR", "application_train"), "bureau_balance": ("SK_ID_BUREAU", "bureau")}
 
 
 class Layers(NamedTuple):
@@ -121,7 +125,7 @@ def _stage(spark: SparkSession, layers: Layers, stage: str, run_id: str, work: d
         try:
             done[table] = build()
         except Exception as error:
-            failure_row(spark, layers.failures, stage, run_id, list(done), table, str(error)[:2000])
+            failure_row(spark, layers.failures, stage, run_id, list(done), table, str(error))
             raise
     return done
 
@@ -134,7 +138,9 @@ def ingest_bronze(
         names = [r.name for r in manifest.select("name").collect()]
         problems = check_manifest(manifest, profile_folder(spark, data_dir, names)).collect()
     if problems:
-        failure_row(spark, layers.failures, "bronze", run_id, [], None, str(problems)[:2000])
+        # One row per problem; a manifest lists few files.
+        for problem in problems:
+            failure_row(spark, layers.failures, "bronze", run_id, [], problem.name, f"{problem.field}: {problem.message}")
         raise ContractError(f"manifest: {problems}")
     sha = manifest_sha(manifest)
     snapshot = spark.range(1).select(source_snapshot_id(sha)).first()[0]
@@ -172,6 +178,10 @@ def ingest_silver(spark: SparkSession, layers: Layers, sha: str, run_id: str) ->
             rows, problems = silver.enrich(rows, mapping, "SK_ID_BUREAU", ["SK_ID_CURR"])
             found = problems.first()
             _refuse(table, {"ambiguous": found.ambiguous_keys, "unmatched": found.unmatched_rows})
+        if table in FOREIGN_KEYS:
+            column, parent = FOREIGN_KEYS[table]
+            parents = silver.cast_by_map(bronze(parent).select(column), SILVER_TYPES[parent])
+            _refuse(table, {f"{column} without {parent}": check_fk(rows, parents, column).count()})
         return _publish(
             spark, layers, "silver", table, silver.with_lineage(rows, sha), sha, sha, run_id, key.rows
         )
@@ -200,7 +210,9 @@ def compute_features(spark: SparkSession, layers: Layers, sha: str, run_id: str)
     def build() -> DataFrame:
         tables = [read_snapshot(spark, layers.name("silver", t), sha) for t in SOURCES]
         points = read_snapshot(spark, layers.name("points", "prediction_points"), sha)
-        values = feature_values(points, *tables)
+        values = settle(feature_values(points, *tables), "feature-values")
+        breaches = check_feature_closure(values, feature_catalog(spark), points)
+        _refuse("feature_values", {r.breach: r["count"] for r in breaches.groupBy("breach").count().collect()})
         return _publish(spark, layers, "features", "feature_values", values, sha, sha, run_id, None)
 
     return _stage(spark, layers, "features", run_id, {"feature_values": build})["feature_values"]
@@ -212,10 +224,9 @@ def fit_rules(spark: SparkSession, layers: Layers, sha: str, run_id: str) -> Dat
     def build() -> DataFrame:
         values = read_snapshot(spark, layers.name("features", "feature_values"), sha)
         points = read_snapshot(spark, layers.name("points", "prediction_points"), sha)
-        rules = silver.with_lineage(fit_woe(values, points), sha)
-        stored = _publish(spark, layers, "rules", "woe_rules", rules, sha, sha, run_id, None)
-        _refuse("woe_rules", {"open bins": check_training_closure(stored).count()})
-        return stored
+        rules = settle(fit_woe(values, points), "rules")
+        _refuse("woe_rules", {"open bins": check_training_closure(rules, points).count()})
+        return _publish(spark, layers, "rules", "woe_rules", silver.with_lineage(rules, sha), sha, sha, run_id, None)
 
     return _stage(spark, layers, "rules", run_id, {"woe_rules": build})["woe_rules"]
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,17 +28,17 @@ def build_session(master: str = "local[8]", app: str = "tidemark", **extra: str)
     return builder.getOrCreate()
 
 
-@cache
-def _private_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
-
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that ``spark.checkpoint.dir`` names.
 
-    A private temporary folder is used only where that setting is absent, which is the case in tests.
+    Where that setting is absent, a session of one machine uses its warehouse folder, and a cluster is
+    refused: there every executor would write to a disk of its own.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or _private_folder()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{shared.rstrip('/')}/tidemark-{uuid.uuid4().hex}/{name}"
 
 

@@ -23,6 +23,14 @@ SPLIT_MODULUS = 10000
 TRAIN_UPPER = 8000
 VALIDATION_UPPER = 9000
 
+# Ids of the feature groups, fixed values.
+APPLICATION_AFFORDABILITY = "application_affordability"
+APPLICATION_DEMOGRAPHICS = "application_demographics"
+APPLICATION_DOCUMENTS = "application_documents"
+APPLICATION_EXTERNAL_SCORES = "application_external_scores"
+BUREAU_GROUP = "bureau_credit_history"
+BALANCE_GROUP = "bureau_delinquency_history"
+
 # Source files and the columns each must have, fixed values.
 REQUIRED_COLUMNS = {
     "application_train.csv": ["SK_ID_CURR", "TARGET"],

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.checks import blank, errors_of, rule, with_errors
-from tidemark.operators.fingerprint import fingerprint
 from tidemark.settings import REQUIRED_COLUMNS
+from tidemark.sources.files import locate
 
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()),
@@ -21,12 +26,9 @@ MANIFEST_SCHEMA = T.StructType([
     T.StructField("columns", T.IntegerType()),
 ])
 
-# A file above this size is not loaded into one row for hashing.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
-
-
-# A plain file hash, or the digest of the lines or parts of a large source.
-DIGEST_PATTERN = r"^(lines:|parts:)?[0-9a-fA-F]{64}\z"
+# A plain file hash, or the digest of the hashes of several parts.
+DIGEST_PATTERN = r"^(parts:)?[0-9a-fA-F]{64}\z"
+READ_BYTES = 8 << 20
 
 
 class ContractError(ValueError):
@@ -43,24 +45,57 @@ def scan_raw_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     )
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    # "\n" alone ends a line, so that a carriage return stays part of the header hash.
-    return spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_name").alias("name"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("position"),
-        "value",
-    )
+def _cells(header: bytes) -> list[str]:
+    """Column names of a header line, quotes and all, as CSV has them."""
+    return next(csv.reader([header.decode("utf-8").removesuffix("\r")]), [])
+
+
+def _facts(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Paths -> name, header and, with ``whole``, hash and data rows of each file.
+
+    A file streams through its task once, a few megabytes at a time; without ``whole`` only its first
+    line is read. Lines end at "\\n" alone, so a carriage return stays part of the header hash. Empty
+    lines are no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                digest, header, done, lines, newline = hashlib.sha256(), b"", False, 0, True
+                system, inside = locate(path)
+                with system.open_input_stream(inside) as stream:
+                    while (data := stream.read(READ_BYTES)) and (whole or not done):
+                        if not done:
+                            head, end, _ = data.partition(b"\n")
+                            header, done = header + head, bool(end)
+                        if whole:
+                            digest.update(data)
+                            breaks = np.frombuffer(data, np.uint8) == 10
+                            lines += int(np.count_nonzero(~breaks & np.concatenate([[newline], breaks[:-1]])))
+                            newline = bool(breaks[-1])
+                name = path.rsplit("/", 1)[-1]
+                sha = hashlib.sha256(header + b"\n").hexdigest()
+                rows.append((name, digest.hexdigest() if whole else None, sha, max(lines - 1, 0), _cells(header), bool(header)))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _FACT_NAMES)
+
+    return run
+
+
+_FACT_NAMES = ["name", "sha256", "header_sha256", "row_count", "names", "filled"]
+
+
+def _files(spark: SparkSession, path: str, whole: bool) -> DataFrame:
+    """One row per file that is not empty; only the list of paths comes from the reader."""
+    paths = spark.read.format("binaryFile").load(path).select("path")
+    kinds = "name string, sha256 string, header_sha256 string, row_count bigint, names array<string>, filled boolean"
+    return paths.mapInArrow(_facts(whole), kinds).where("filled").drop("filled")
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: its first line, split into column names."""
-    first = F.min_by("value", "position")
-    cells = F.split(F.regexp_replace("header", r"\r\z", ""), ",")
-    return (
-        _lines(spark, path).where("block_start = 0").groupBy("name").agg(first.alias("header"))
-        .withColumn("names", F.transform(cells, lambda c: F.regexp_replace(c, r'^"|"\z', "")))
-    )
+    """One row per file: the names in its first line, and the hash of that line."""
+    return _files(spark, path, False).select("name", "header_sha256", "names")
 
 
 def check_columns(found: DataFrame, required: dict[str, list[str]] = REQUIRED_COLUMNS) -> DataFrame:
@@ -72,7 +107,7 @@ def check_columns(found: DataFrame, required: dict[str, list[str]] = REQUIRED_CO
     return (
         found.withColumn("missing", F.sort_array(F.array_except(wanted, "names")))
         .transform(with_errors_of_header)
-        .select("name", "missing", "errors")
+        .select("name", "names", "missing", "errors")
     )
 
 
@@ -88,47 +123,18 @@ def read_header(spark: SparkSession, path: str, source: str | None = None) -> li
 
     ``source`` names the contract when the file name does not. At most two headers reach the driver.
     """
-    found = headers(spark, path)
+    found = headers(spark, path).dropDuplicates(["header_sha256"] if source else ["name", "header_sha256"])
     if source:
         found = found.withColumn("name", F.lit(source))
-    rows = check_columns(found.dropDuplicates(["name", "header"])).join(found, "name").select(
-        "names", "missing", "errors"
-    ).distinct().limit(2).collect()
+    rows = check_columns(found).limit(2).collect()
     if len(rows) != 1 or rows[0].errors:
         raise ContractError(f"{path}: {[(r.names, r.missing, r.errors) for r in rows] or 'no header'}")
     return rows[0].names
 
 
-def profile_sources(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """One row per file: content hash, header hash, data rows, columns.
-
-    A file above ``whole_file_bytes`` gets the digest of its lines, marked ``lines:``, because the
-    plain hash of a file needs its whole content in one row.
-    """
-    lines = _lines(spark, path)
-    counted = lines.where("value != ''").groupBy("name").agg((F.count("value") - 1).alias("row_count"))
-    first = headers(spark, path).select(
-        "name",
-        F.sha2(F.concat("header", F.lit("\n")), 256).alias("header_sha256"),
-        F.size("names").alias("columns"),
-    )
-    files = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    small = files.where(F.col("length") <= whole_file_bytes).select(
-        name.alias("name"), F.sha2("content", 256).alias("sha256")
-    )
-    # Only the names of large files reach the driver; the manifest bounds how many there are.
-    large = [r.name for r in files.where(F.col("length") > whole_file_bytes).select(name.alias("name")).collect()]
-    for file in large:
-        hashed = lines.where(F.col("name") == file).select(F.sha2("value", 256).alias("h"))
-        digest = fingerprint(hashed, "h").select(
-            F.lit(file).alias("name"), F.concat(F.lit("lines:"), "digest").alias("sha256")
-        )
-        small = small.unionByName(digest)
-    return small.join(first, "name").join(counted, "name", "left").select(
-        "name", "sha256", "header_sha256",
-        F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"), "columns",
-    )
+def profile_sources(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: content hash, header hash, data rows, columns; every file is read once."""
+    return _files(spark, path, True).select("name", "sha256", "header_sha256", "row_count", F.size("names").alias("columns"))
 
 
 def present_sources(spark: SparkSession, data_dir: str, names: list[str]) -> list[str]:
@@ -141,13 +147,13 @@ def present_sources(spark: SparkSession, data_dir: str, names: list[str]) -> lis
     return [n for i, n in enumerate(names) if found[i]]
 
 
-def profile_source(spark: SparkSession, path: str, name: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+def profile_source(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One row for a source that is a file or a folder of part files.
 
     The hash of several parts is that of their sorted hashes, marked ``parts:``. Parts with different
     headers have the header hash ``mixed``, which no manifest accepts.
     """
-    parts = profile_sources(spark, path, whole_file_bytes)
+    parts = profile_sources(spark, path)
     shas = F.sort_array(F.collect_list("sha256"))
     several = F.concat(F.lit("parts:"), F.sha2(F.concat_ws("\n", shas), 256))
     same = F.min("header_sha256") == F.max("header_sha256")

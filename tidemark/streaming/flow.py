@@ -81,14 +81,18 @@ def route_late(
     return batch.where(time >= mark), batch.where((time < mark) & (time >= limit)), batch.where(time < limit)
 
 
-def boundary_gate(df: DataFrame, points: DataFrame, available: str = "event_time") -> tuple[DataFrame, DataFrame]:
-    """Rows known by the prediction of their entity, and the violations. No point, no boundary.
-
-    ``points`` is static, one time per entity.
+def boundary_gate(
+    df: DataFrame, points: DataFrame, available: str = "event_time", keys: tuple[str, ...] = ("entity_id",), unknown: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Rows known by the prediction they feed, and the violations.
+
+    Rows that name their prediction are judged by it (``keys`` entity and prediction); others by the
+    earliest prediction of their entity, since they would feed that one too. ``unknown`` says whether a
+    row without a point passes. ``points`` is static.
     """
-    times = points.groupBy("entity_id").agg(F.max("prediction_time").alias("prediction_time"))
-    timed = df.join(broadcast_if_small(times), "entity_id", "left")
-    late = F.coalesce(F.col(available) > F.col("prediction_time"), F.lit(False))
+    times = points.groupBy(*keys).agg(F.min("prediction_time").alias("prediction_time"))
+    timed = df.join(broadcast_if_small(times), list(keys), "left")
+    late = F.coalesce(F.col(available) > F.col("prediction_time"), F.lit(not unknown))
     return timed.where(~late).drop("prediction_time"), timed.where(late)
 
 
