@@ -17,6 +17,8 @@ stay unread.
 
 from __future__ import annotations
 
+import bisect
+import collections
 import zlib
 from collections.abc import Iterator
 
@@ -32,92 +34,122 @@ from tidemark.session import settle
 
 CAPACITY = 2048
 NODES = 5000
-#: Fillings tried at a step of the search, and lengths looked at to find them.
-FILLINGS, LOOKS = 3, 4000
+#: Fillings tried at a step of the search; firsts of a triple that are tried; lengths or pieces left from
+#: which on all fillings are enumerated.
+FILLINGS, FIRSTS, FEW = 3, 24, 14
 
 Counts = dict[int, int]
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
 
 def lower_bound(counts: Counts, capacity: int) -> int:
-    """Bins that any packing needs: by volume, where pieces over ``capacity - k`` bar those from k on."""
-    most = -(-sum(n * c for n, c in counts.items()) // capacity)
-    for k in [0, *[n for n in counts if 2 * n <= capacity]]:
-        alone = sum(c for n, c in counts.items() if n > capacity - k)
-        half = {n: c for n, c in counts.items() if capacity - k >= n > capacity / 2}
-        room = sum((capacity - n) * c for n, c in half.items())
-        small = sum(n * c for n, c in counts.items() if capacity / 2 >= n >= k)
-        most = max(most, alone + sum(half.values()) + max(0, -(-(small - room) // capacity)))
-    return most
+    """Bins that any packing needs: by volume, and for each k where pieces over ``capacity - k`` bar those
+    from k on."""
+    c = np.zeros(capacity + 1, np.int64)
+    for n, m in counts.items():
+        c[n] = m
+    n = np.arange(capacity + 1)
+    number, volume = np.cumsum(c), np.cumsum(n * c)
+    k = np.arange(capacity // 2 + 1)
+    half = capacity // 2
+    alone = number[capacity] - number[capacity - k]
+    big = number[capacity - k] - number[half]
+    room = capacity * big - (volume[capacity - k] - volume[half])
+    small = volume[half] - np.where(k > 0, volume[k - 1], 0)
+    return max(-(-int(volume[capacity]) // capacity), int((alone + big + np.maximum(0, -(-(small - room) // capacity))).max()))
 
 
 def best_fit(counts: Counts, capacity: int) -> list[tuple[Pattern, int]]:
     """Longest first, each into the fullest bin with room; bins with the same content move together."""
     bins: dict[int, list[tuple[Pattern, int]]] = {}  # by room
+    rooms: list[int] = []
+
+    def put(room: int, pattern: Pattern, many: int) -> None:
+        if room not in bins:
+            bins[room] = []
+            bisect.insort(rooms, room)
+        bins[room].append((pattern, many))
+
     for n in sorted(counts, reverse=True):
         left = counts[n]
         while left:
-            room = min((r for r in bins if r >= n), default=None)
+            i = bisect.bisect_left(rooms, n)
+            room = rooms[i] if i < len(rooms) else None
             if room is None:
                 each = min(capacity // n, left)
                 whole_bins = left // each
-                bins.setdefault(capacity - n * each, []).append((((n, each),), whole_bins))
+                put(capacity - n * each, ((n, each),), whole_bins)
                 left -= whole_bins * each
                 continue
             pattern, many = bins[room].pop()
             if not bins[room]:
-                del bins[room]
+                del bins[room], rooms[i]
             each = min(room // n, left)
             used = min(many, left // each)
             if used < many:
-                bins.setdefault(room, []).append((pattern, many - used))
-            bins.setdefault(room - n * each, []).append(((*pattern, (n, each)), used))
+                put(room, pattern, many - used)
+            put(room - n * each, (*pattern, (n, each)), used)
             left -= used * each
     return [b for group in bins.values() for b in group]
 
 
-def fillings(counts: Counts, lengths: list[int], room: int) -> list[tuple[int, ...]]:
-    """Sets of pieces for ``room``, least waste first and then fewest pieces, without dominated ones.
+def _all_fillings(now: np.ndarray, lengths: list[int], room: int) -> list[tuple[int, ...]]:
+    """Every filling that can take no more piece, least waste first; for few lengths or pieces."""
+    found: dict[tuple[int, ...], int] = {}
+
+    def walk(rest: int, at: int, chosen: tuple[int, ...]) -> None:
+        grown = False
+        for i in range(at, len(lengths)):
+            n = lengths[i]
+            if n <= rest and now[n] > chosen.count(n):
+                grown = True
+                walk(rest - n, i, (*chosen, n))
+                if len(found) >= 400:
+                    return
+        # A shorter piece that was passed over may still fit; then the filling is dominated.
+        if not grown and not any(n <= rest and now[n] > chosen.count(n) for n in lengths):
+            found[chosen] = rest
+
+    walk(room, 0, ())
+    return sorted(found, key=lambda f: (found[f], len(f), [-n for n in f]))
+
+
+def _pairs(now: np.ndarray, total: int, most: int) -> list[tuple[int, int]]:
+    """Up to ``FILLINGS`` pairs (a, b) of this sum with most >= a >= b, longest a first."""
+    low, high = (total + 1) // 2, min(total - 1, most)
+    if high < low:
+        return []
+    a = np.arange(high, low - 1, -1)
+    fits = (now[a] > 0) & (now[total - a] > (2 * a == total))
+    return [(int(x), total - int(x)) for x in a[np.flatnonzero(fits)[:FILLINGS]]]
+
 
-    A single piece that leaves no waste dominates all else. Sets that could take one more piece are
-    dominated by the fuller set.
+def fillings(now: np.ndarray, lengths: list[int], room: int) -> list[tuple[int, ...]]:
+    """Sets of pieces for ``room``: least waste first, then fewest pieces, then the longest.
+
+    A single piece that leaves no waste dominates all else. Of many lengths pairs are looked up, then
+    triples that begin with one of the longest, for the least waste that any of them reaches; of few
+    everything is enumerated.
     """
-    fit = [n for n in lengths if n <= room]
+    fit = lengths[bisect.bisect_left(lengths, -room, key=lambda n: -n) :]  # longest first
     if not fit:
         return [()]
-    if counts.get(room, 0):
+    if now[room]:
         return [(room,)]
-    found: dict[tuple[int, ...], int] = {}
-    smallest, looks = fit[-1], 0
-
-    def walk(rest: int, at: int, chosen: tuple[int, ...], depth: int) -> None:
-        nonlocal looks
-        looks += 1
-        used = chosen.count(rest)
-        if rest and counts.get(rest, 0) > used and (not chosen or rest <= chosen[-1]):
-            found[(*chosen, rest)] = 0
-            return
-        if rest < smallest or depth == 0:
-            found.setdefault(chosen, rest)
-            return
-        grown = False
-        for i in range(at, len(fit)):
-            n = fit[i]
-            if looks > LOOKS or len(found) >= 4 * FILLINGS and 0 in found.values():
+    if len(fit) <= FEW or int(now[fit].sum()) <= FEW:
+        return _all_fillings(now, fit, room)[: 4 * FILLINGS]
+    for total in range(room, fit[0] - 1, -1):
+        found: list[tuple[int, ...]] = [(total,)] if now[total] else []
+        found += _pairs(now, total, fit[0])
+        for a in fit[:FIRSTS] if len(found) < FILLINGS and total > fit[-1] else ():
+            now[a] -= 1
+            found += [(a, *pair) for pair in _pairs(now, total - a, a)]
+            now[a] += 1
+            if len(found) >= FILLINGS:
                 break
-            if n <= rest and counts[n] > chosen.count(n):
-                grown = True
-                walk(rest - n, i, (*chosen, n), depth - 1)
-        if not grown:
-            found.setdefault(chosen, rest)
-
-    for depth in (2, 3, 6, room):
-        looks = 0
-        walk(room, 0, (), depth)
-        if 0 in found.values():
-            break
-    best = sorted((w, len(s), tuple(-n for n in s)) for s, w in found.items())
-    return [tuple(-n for n in s) for _, _, s in best[:FILLINGS]]
+        if found:
+            return found[:FILLINGS]
+    return [(fit[0],)]
 
 
 def complete(counts: Counts, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
@@ -125,42 +157,50 @@ def complete(counts: Counts, capacity: int = CAPACITY, nodes: int = NODES) -> li
     counts = {n: c for n, c in counts.items() if c}
     incumbent = best_fit(counts, capacity)
     fewest, bound, total = sum(m for _, m in incumbent), lower_bound(counts, capacity), sum(n * c for n, c in counts.items())
+    now = np.zeros(capacity + 1, np.int64)
+    for n, c in counts.items():
+        now[n] = c
 
-    def options(now: Counts) -> list[tuple[Pattern, int]]:
-        lengths = sorted(now, reverse=True)
+    def options() -> Iterator[tuple[Pattern, int]]:
+        lengths = np.flatnonzero(now)[::-1].tolist()
         first = lengths[0]
-        rest = {**now, first: now[first] - 1}
-        out = []
-        for filling in fillings(rest, lengths, capacity - first):
-            need = {n: 0 for n in (first, *filling)}
-            for n in (first, *filling):
-                need[n] += 1
-            out.append((tuple(sorted(need.items(), reverse=True)), min(now[n] // k for n, k in need.items())))
-        return out
-
-    steps = 0
-    stack = [(counts, [], 0, iter(options(counts)))] if counts and fewest > bound else []
+        now[first] -= 1
+        sets = fillings(now, lengths if now[first] else lengths[1:], capacity - first)
+        now[first] += 1
+        ways = []
+        for filling in sets:
+            need = collections.Counter((first, *filling))
+            ways.append((tuple(sorted(need.items(), reverse=True)), min(int(now[n]) // k for n, k in need.items())))
+        return iter(ways)
+
+    def take(way: tuple[Pattern, int], sign: int) -> None:
+        for n, k in way[0]:
+            now[n] -= sign * way[1] * k
+
+    steps, chosen, wasted = 0, [], [0]
+    stack = [options()] if counts and fewest > bound else []
     while stack and steps < nodes and fewest > bound:
-        now, chosen, waste, ways = stack[-1]
-        way = next(ways, None)
+        way = next(stack[-1], None)
         if way is None:
             stack.pop()
+            if chosen:
+                take(chosen.pop(), -1)
+                wasted.pop()
             continue
         steps += 1
         pattern, many = way
-        wasted = waste + many * (capacity - sum(n * k for n, k in pattern))
-        if wasted > (fewest - 1) * capacity - total:
+        waste = wasted[-1] + many * (capacity - sum(n * k for n, k in pattern))
+        if waste > (fewest - 1) * capacity - total:
             continue
-        after = dict(now)
-        for n, k in pattern:
-            after[n] -= many * k
-            if not after[n]:
-                del after[n]
-        path = [*chosen, way]
-        if after:
-            stack.append((after, path, wasted, iter(options(after))))
-        else:
-            incumbent, fewest = path, sum(m for _, m in path)
+        take(way, 1)
+        chosen.append(way)
+        wasted.append(waste)
+        if now.any():
+            stack.append(options())
+            continue
+        incumbent, fewest = list(chosen), sum(m for _, m in chosen)
+        take(chosen.pop(), -1)
+        wasted.pop()
     return incumbent
 
 
