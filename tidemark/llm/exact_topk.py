@@ -1,13 +1,16 @@
 """Exact top-k by integer inner product over an impact-ordered index, score at a time.
 
-Vectors are dealt into blocks of bounded size. In a block, the index holds for each dimension its values
-cut into posting segments of equal quantised value. For a query, a segment's impact is the most it can
-add: the product with the query's component, over the least that the dimension can add. Segments of all
-dimensions are processed by descending impact. Every posting adds its segment's least and most to its
-vector's bounds; what is not processed can add no more than the impact that comes next. Processing stops
-only when the bounds prove that few vectors can be among the best k; these are scored exactly.
-
-Queries go to the blocks in blocks, as one row each, so a task holds one block of either kind at a time.
+Vectors are dealt into blocks of bounded size. In a block, the index has for each dimension posting segments
+of equal quantised value: the vectors whose component lies between the segment's least and most. For a
+query, a segment's impact is the most it can add: the product with the query's component, over the least
+that the dimension can add. Segments of all dimensions are processed by descending impact, in rounds that
+each reach a given share of them. A processed posting adds its segment's least and most to its vector's bounds; what
+is not processed can add no more than the impact that comes next. A query stops only when the bounds prove
+that few vectors can be among its best k, or after the last segment; those vectors are scored exactly.
+
+Queries go to the blocks in blocks, as one row each, so a task holds one block of either kind at a time. A
+vector has one posting per dimension, so the postings of a block are kept as a table of segment numbers, and
+the bounds after a round are sums of what it looks up there.
 
 Defined results: vectors that are NULL or hold NULL or non-finite components, and rows without an id, take no
 part; equal ids with equal vectors count once, equal ids with different vectors are candidates each and one
@@ -31,9 +34,12 @@ from tidemark.session import settle
 #: Vectors and queries in a block, on average.
 BLOCK, QUERIES = 4096, 64
 #: Posting segments of a dimension.
-SEGMENTS = 8
-#: Segments processed between two looks at the bounds, and the share of a block that is scored exactly.
-STEP, RESCORED = 32, 16
+SEGMENTS = 32
+#: Share of the segments processed after each round, and the share of a block that may be scored exactly.
+ROUNDS, RESCORED = (1 / 3, 1), 16
+#: Whole numbers up to this size are exact as doubles.
+_EXACT = 1 << 52
+_EMPTY = np.int64(1 << 62)
 
 
 def integers(vector: Column, scale: int = 256) -> Column:
@@ -49,24 +55,18 @@ def _packed(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _index(part: pd.DataFrame) -> pd.DataFrame:
-    """The rows of one block -> its index, one row: ids, vectors, per dimension the postings by value and the
-    segments' bounds and values."""
+    """The rows of one block -> its index, one row: ids, vectors, each component's segment, and the segments'
+    least and most values."""
     ids, rows = _packed(part)
-    n, width = rows.shape
-    order = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32)
     low, high = rows.min(axis=0), rows.max(axis=0)
-    step = (high - low) // SEGMENTS + 1
-    ends = np.zeros((width, SEGMENTS + 1), np.int32)
-    least, most = np.zeros((width, SEGMENTS), np.int64), np.zeros((width, SEGMENTS), np.int64)
-    for d in range(width):
-        values = rows[order[d], d]
-        ends[d] = np.searchsorted((values - low[d]) // step[d], np.arange(SEGMENTS + 1))
-        for s in range(SEGMENTS):
-            if ends[d, s] < ends[d, s + 1]:
-                least[d, s], most[d, s] = values[ends[d, s]], values[ends[d, s + 1] - 1]
+    segment = ((rows - low) // ((high - low) // SEGMENTS + 1)).astype(np.uint8)
+    least, most = np.full((rows.shape[1], SEGMENTS), _EMPTY), np.full((rows.shape[1], SEGMENTS), -_EMPTY)
+    dims = np.broadcast_to(np.arange(rows.shape[1]), rows.shape)
+    np.minimum.at(least, (dims, segment), rows)
+    np.maximum.at(most, (dims, segment), rows)
     return pd.DataFrame({
-        "block": [part["block"].iloc[0]], "width": [width], "ids": [ids.tobytes()], "rows": [rows.tobytes()], "order": [order.tobytes()],
-        "ends": [ends.tobytes()], "least": [least.tobytes()], "most": [most.tobytes()],
+        "block": [part["block"].iloc[0]], "width": [rows.shape[1]], "ids": [ids.tobytes()], "rows": [rows.tobytes()],
+        "segment": [segment.tobytes()], "least": [least.tobytes()], "most": [most.tobytes()],
     })
 
 
@@ -78,49 +78,51 @@ def _queries(part: pd.DataFrame) -> pd.DataFrame:
 class BlockIndex:
     """The index of one block, as a task sees it."""
 
-    def __init__(self, width: int, ids: bytes, rows: bytes, order: bytes, ends: bytes, least: bytes, most: bytes) -> None:
+    def __init__(self, width: int, ids: bytes, rows: bytes, segment: bytes, least: bytes, most: bytes) -> None:
         self.ids = np.frombuffer(ids, np.int64)
         self.rows = np.frombuffer(rows, np.int64).reshape(len(self.ids), width)
-        self.order = np.frombuffer(order, np.int32).reshape(width, len(self.ids))
-        self.ends = np.frombuffer(ends, np.int32).reshape(width, SEGMENTS + 1)
-        self.least = np.frombuffer(least, np.int64).reshape(width, SEGMENTS)
-        self.most = np.frombuffer(most, np.int64).reshape(width, SEGMENTS)
+        self.segment = np.frombuffer(segment, np.uint8).reshape(len(self.ids), width)
+        self.least, self.most = (np.frombuffer(x, np.int64).reshape(width, SEGMENTS) for x in (least, most))
+        self.filled = self.least <= self.most
 
-    def possible(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Vectors that may be among the best k; all others are proved not to be."""
+    def possible(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """For each query the vectors that may be among its best k; all others are proved not to be."""
         n, width = self.rows.shape
-        at_ends = np.stack([self.least * query[:, None], self.most * query[:, None]])
-        down, up = at_ends.min(axis=0), at_ends.max(axis=0)
-        filled = self.ends[:, 1:] > self.ends[:, :-1]
-        floor = np.where(filled, down, np.iinfo(np.int64).max).min(axis=1)  # least that a dimension adds
-        impact = up - floor[:, None]
-        where, segment = np.nonzero(filled)
-        by_impact = np.argsort(-impact[where, segment], kind="stable")
-        where, segment = where[by_impact], segment[by_impact]
-        low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        open_dims = np.full(n, width, np.int64)
-        few = max(k, n // RESCORED)
-        for i, (d, s) in enumerate(zip(where.tolist(), segment.tolist())):
-            postings = self.order[d, self.ends[d, s] : self.ends[d, s + 1]]
-            low[postings] += down[d, s] - floor[d]
-            high[postings] += impact[d, s]
-            open_dims[postings] -= 1
-            if i % STEP == STEP - 1 and i + 1 < len(where):
-                least = np.partition(low, n - k)[n - k]
-                may = high + open_dims * impact[where[i + 1], segment[i + 1]] >= least
-                if np.count_nonzero(may) <= few:
-                    return np.flatnonzero(may)
-        return np.flatnonzero(high >= np.partition(low, n - k)[n - k])
-
-    def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k of the block, in order; rows with the query's id do not count."""
-        own = np.searchsorted(self.ids, [query_id, query_id + 1])
-        asked = k + int(own[1] - own[0])
-        rows = self.possible(query, asked) if asked < len(self.ids) else np.arange(len(self.ids))
-        rows = rows[self.ids[rows] != query_id]
-        scores = self.rows[rows] @ query
-        first = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows[first]], scores[first]
+        large = float(np.abs(queries).max()) * float(max(np.abs(self.rows).max(), 1)) * width * 4
+        if k >= n or large >= _EXACT:
+            return np.ones((len(queries), n), bool)
+        postings = np.ascontiguousarray((self.segment + np.arange(width) * SEGMENTS).T.astype(np.intp))
+        least, most = np.where(self.filled, self.least, 0), np.where(self.filled, self.most, 0)
+        return np.array([self._possible(q, k, postings, least, most) for q in queries])
+
+    def _possible(self, query: np.ndarray, k: int, postings: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        n = len(self.ids)
+        ends = np.stack([query[:, None] * least, query[:, None] * most])
+        down, up = ends.min(axis=0), ends.max(axis=0)
+        floor = np.where(self.filled, down, _EMPTY).min(axis=1, keepdims=True)  # least that a dimension adds
+        gain = np.where(self.filled, down - floor, 0).ravel().astype(np.float64)
+        impact = np.where(self.filled, up - floor, 0).ravel().astype(np.float64)
+        descending = -np.sort(-impact)
+        for share in ROUNDS:
+            done = impact >= descending[int(len(impact) * share) - 1]
+            ahead = 0.0 if done.all() else impact[~done].max()  # the impact that comes next
+            low = np.take(np.where(done, gain, 0.0), postings).sum(axis=0)
+            high = np.take(np.where(done, impact, ahead), postings).sum(axis=0)
+            may = high >= np.partition(low, n - k)[n - k]
+            if np.count_nonzero(may) <= max(k, n // RESCORED):
+                break
+        return may
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of the best k, in order; rows with its own id do not count."""
+        own = np.searchsorted(self.ids, query_ids, "right") - np.searchsorted(self.ids, query_ids, "left")
+        found = []
+        for query_id, query, may in zip(query_ids, queries, self.possible(queries, k + int(own.max()))):
+            rows = np.flatnonzero(may & (self.ids != query_id))
+            scores = self.rows[rows] @ query
+            first = np.lexsort((self.ids[rows], -scores))[:k]
+            found.append((self.ids[rows[first]], scores[first]))
+        return found
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -131,7 +133,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id
     asking = max(1, -(-rows.where("asks").count() // QUERIES))
     width, near = F.size("vector").alias("width"), F.xxhash64("id", "vector")
     index = rows.select("id", "vector", width, F.pmod(near, F.lit(blocks)).alias("block")).groupBy("block", "width").applyInPandas(
-        _index, "block bigint, width int, ids binary, rows binary, order binary, ends binary, least binary, most binary")
+        _index, "block bigint, width int, ids binary, rows binary, segment binary, least binary, most binary")
     asked = rows.where("asks").select("id", "vector", width, F.pmod(near, F.lit(asking)).alias("part")).groupBy("part", "width").applyInPandas(
         _queries, "width int, query_ids binary, query_rows binary")
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -141,10 +143,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id
         for batch in batches:
             for row in range(batch.num_rows):
                 r = {name: batch.column(i)[row].as_py() for i, name in enumerate(batch.schema.names)}
-                block = BlockIndex(*[r[c] for c in ("width", "ids", "rows", "order", "ends", "least", "most")])
+                block = BlockIndex(*[r[c] for c in ("width", "ids", "rows", "segment", "least", "most")])
                 asking_ids = np.frombuffer(r["query_ids"], np.int64)
                 asking_rows = np.frombuffer(r["query_rows"], np.int64).reshape(len(asking_ids), r["width"])
-                found = [block.best(int(q), v, k) for q, v in zip(asking_ids, asking_rows)]
+                found = block.best(asking_ids, asking_rows, k)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(asking_ids, [len(i) for i, _ in found])), pa.array(np.concatenate([i for i, _ in found])),
