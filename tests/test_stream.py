@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 from datetime import timedelta
 
@@ -7,7 +8,8 @@ from brute import features as brute_features
 from pyspark.sql import functions as F
 
 from tidemark.functions.identity import utc_text
-from tidemark.operators.contracts import expected_envelope_id
+from tidemark.operators.contracts import TEXT_WORDS, expected_envelope_id
+from tidemark.settings import DOCUMENT_FLAGS
 from tidemark.sources.topics import RAW_SCHEMA, as_messages, read_events, source_topics
 from tidemark.streaming import state
 from tidemark.streaming.flow import parity, parse_events
@@ -70,16 +72,54 @@ def test_stream_in_batches_equals_the_definition(spark, tmp_path, credit_rows):
     report = parity(want_rows(spark, want).where("feature_value is not null or feature_id like 'app.%'"),
                     latest.where("feature_value is not null or feature_id like 'app.%'"), [], 1e-7)
     assert all((r.different, r.missing, r.extra) == (0, 0, 0) for r in report.collect()), report.collect()
-    assert spark.read.parquet(tables.path("commits")).count() == 2
+    assert state._map(spark, tables, state.UPDATES)[0] == 1
 
     before = sorted(latest.select("entity_id", "feature_id", "feature_value").collect(), key=repr)
     state.process_batch(read_events(spark, source, stream=False), 1, tables)
     assert sorted(state.latest_values(spark, tables).select("entity_id", "feature_id", "feature_value").collect(), key=repr) == before
 
-    smaller = state.StreamTables(str(tmp_path / "compacted"), shards=4)
-    state.compact(spark, tables, smaller, 0)
-    assert spark.read.parquet(smaller.path(state.ROWS)).count() == len(rows)
-    assert sorted(state.latest_values(spark, smaller).select("entity_id", "feature_id", "feature_value").collect(), key=repr) == before
+    _, versions = state._map(spark, tables, state.ROWS)
+    assert state._versions(spark, tables, state.ROWS, versions).count() == len(rows)
+
+
+def test_a_batch_reads_no_history(spark, tmp_path):
+    """The same keys are written again and again: what is stored and read stays as it is."""
+    tables = state.StreamTables(str(tmp_path / "state"), shards=2)
+    stored = []
+    for batch in range(6):
+        rows = [("bureau_upsert", pk, pk % 3, {"SK_ID_CURR": pk % 3, "SK_ID_BUREAU": pk, "DAYS_CREDIT": -1}, f"2024-01-0{batch + 1}T00:00:00Z") for pk in range(9)]
+        state.process_batch(envelopes(spark, rows), batch, tables)
+        stored.append((spark.read.parquet(tables.path("rows")).count(), len(state._children(spark, tables.path("rows-map")))))
+    assert stored[0][0] == 9 and stored[-3:] == [stored[-1]] * 3 and stored[-1] == (18, 2)
+    assert {r.event_time.day for r in state.latest_values(spark, tables).collect()} == {6}
+
+
+def test_topics_and_words(spark, tmp_path):
+    """Dead letters and updates are sent once; a wider word list accepts what else is a dead letter."""
+    rows = [("bureau_upsert", 1, 7, {"SK_ID_CURR": 7, "SK_ID_BUREAU": 1, "CREDIT_ACTIVE": "Sold", "DAYS_CREDIT": -1}, "2024-01-01T00:00:00Z"),
+            ("bureau_upsert", 2, 8, {"SK_ID_CURR": 8, "SK_ID_BUREAU": 2, "DAYS_CREDIT": -1}, "2024-01-01T00:00:00Z")]
+    for i, words in enumerate((TEXT_WORDS, {**TEXT_WORDS, "CREDIT_ACTIVE": ["Active", "Closed", "Sold"]})):
+        tables, outbox = state.StreamTables(str(tmp_path / f"s{i}"), shards=2), str(tmp_path / f"o{i}")
+        for _ in range(2):  # the second call is a replay
+            state.process_batch(envelopes(spark, rows).union(envelopes(spark, rows)), 0, tables, words=words, outbox=outbox)
+        sent = read_events(spark, outbox, stream=False).collect()
+        found = sorted(r.topic.split(".")[1] for r in sent)
+        assert found == (["dlq"] * 2 + ["feature_updates"] * 8 if i == 0 else ["feature_updates"] * 16)
+
+
+def test_ids_escape_what_is_not_ascii(spark):
+    """Ids by the rule in plain Python: compact JSON with ASCII escapes, hashed."""
+    cases = [("bureau_upsert", "é𝒳1", {"SK_ID_BUREAU": 1, "SK_ID_CURR": 7}), ("bureau_upsert", "2", {"AMT_CREDIT_SUM": 5, "CREDIT_ACTIVE": "ü", "SK_ID_CURR": 7}),
+             ("bureau_balance_upsert", "3:-1", {"MONTHS_BALANCE": -1, "SK_ID_BUREAU": 3, "SK_ID_CURR": 7, "STATUS": "é"}),
+             ("application_upsert", "\u007f", {"SK_ID_CURR": 7})]
+    df = spark.createDataFrame([(i, k, NAMES[k], pk, "UPSERT", json.dumps(p, ensure_ascii=False)) for i, (k, pk, p) in enumerate(cases)],
+                               "i int, event_type string, source_table string, source_pk string, op string, payload string")
+    df = df.withColumn("event_time", F.expr("timestamp'2024-01-01T00:00:00Z'"))
+    got = {r.i: r.id for r in df.select("i", expected_envelope_id().alias("id")).collect()}
+    for i, (k, pk, p) in enumerate(cases):
+        p = {f: float(v) if f == "AMT_CREDIT_SUM" else v for f, v in p.items()} | ({f: 0 for f in DOCUMENT_FLAGS} if k == "application_upsert" else {})
+        text = json.dumps([NAMES[k], pk, "2024-01-01T00:00:00+00:00", "UPSERT", json.dumps(p, sort_keys=True, separators=(",", ":"))], separators=(",", ":"))
+        assert got[i] == "sha256:" + hashlib.sha256(text.encode()).hexdigest(), cases[i]
 
 
 def test_dead_letters(spark):

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tidemark.functions import checks
 from tidemark.functions.canonical import payload_text, value_text
 from tidemark.functions.checks import blank, rule
-from tidemark.functions.identity import canonical_json, event_id, iso_text
+from tidemark.functions.identity import ascii_escaped, canonical_json, event_id, iso_text
 from tidemark.operators.catalog import FEATURE_IDS
 from tidemark.settings import (
     BALANCE_STATUSES,
@@ -320,31 +320,48 @@ def validate_payloads(df: DataFrame, kind: str, payload: str = "payload", words:
 # A balance payload holds whole numbers and a word only, so its canonical text needs no Python. Its
 # fields in the order of their names, fixed values.
 BALANCE_FIELDS = "MONTHS_BALANCE bigint, SK_ID_BUREAU bigint, SK_ID_CURR bigint, STATUS string"
+BALANCE_KIND = "bureau_balance_upsert"
 
 
-def canonical_payload() -> Column:
-    """Canonical text of ``payload``. Balances, by far the most rows, stay in the JVM."""
-    balance = F.col("event_type") == "bureau_balance_upsert"
-    other = payload_text("event_type", F.when(~balance, F.col("payload")))
-    return F.when(balance, F.to_json(F.from_json("payload", BALANCE_FIELDS))).otherwise(other)
+def canonical_payload(balance: bool | None = None) -> Column:
+    """Canonical text of ``payload``; where all rows are balances, or none is, say so.
+
+    Balances, by far the most rows, then never meet Python.
+    """
+    own, other = F.to_json(F.from_json("payload", BALANCE_FIELDS)), payload_text("event_type", "payload")
+    if balance is not None:
+        return own if balance else other
+    is_balance = F.col("event_type") == BALANCE_KIND
+    return F.when(is_balance, own).otherwise(payload_text("event_type", F.when(~is_balance, F.col("payload"))))
 
 
-def expected_envelope_id() -> Column:
+def expected_envelope_id(balance: bool | None = None) -> Column:
     """``sha256:`` id of table, key, time, operation and the canonical payload."""
     parts = canonical_json(
-        F.col("source_table"), F.col("source_pk"), iso_text(F.col("event_time")), F.col("op"), canonical_payload()
+        F.col("source_table"), F.col("source_pk"), iso_text(F.col("event_time")), F.col("op"),
+        ascii_escaped(canonical_payload(balance)),
     )
-    return F.concat(F.lit("sha256:"), F.sha2(parts, 256))
+    return F.concat(F.lit("sha256:"), F.sha2(ascii_escaped(parts), 256))
+
+
+def mark_envelopes(df: DataFrame, words: dict[str, list[str]] = TEXT_WORDS) -> DataFrame:
+    """Stream envelopes with their ``errors``. The payload is JSON text and must fit the event type.
+
+    ``words`` widens or narrows the accepted words of text fields. Balances are judged apart from the
+    rest, so each side parses its payloads once, for its own fields.
+    """
+    is_balance = F.coalesce(F.col("event_type") == BALANCE_KIND, F.lit(False))
+    others = [k for k in STREAM_TABLES if k != BALANCE_KIND]
+    return _marked(df.where(is_balance), [BALANCE_KIND], words).unionByName(_marked(df.where(~is_balance), others, words))
 
 
-def mark_envelopes(df: DataFrame) -> DataFrame:
-    """Stream envelopes with their ``errors``. The payload is JSON text and must fit the event type."""
-    df = with_times(df, ["event_time", "produced_at"]).withColumn("_expected_id", expected_envelope_id())
-    df = with_payload_fields(df, list(STREAM_TABLES), kind="event_type")
+def _marked(df: DataFrame, kinds: list[str], words: dict[str, list[str]]) -> DataFrame:
+    df = with_times(df, ["event_time", "produced_at"]).withColumn("_expected_id", expected_envelope_id(kinds == [BALANCE_KIND]))
+    df = with_payload_fields(df, kinds, kind="event_type" if len(kinds) > 1 else None)
     table_of = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(t)) for k, t in STREAM_TABLES.items()])
     bad_payload = F.lit(False)
-    for kind in STREAM_TABLES:
-        broken = F.size(payload_errors(kind)) > 0
+    for kind in kinds:
+        broken = F.size(payload_errors(kind, words=words)) > 0
         bad_payload = F.when(F.col("event_type") == kind, broken).otherwise(bad_payload)
     rules = [
         rule(~F.coalesce(F.col("event_id").rlike(checks.PREFIXED_SHA_PATTERN), F.lit(False)), "event_id",
@@ -364,13 +381,13 @@ def mark_envelopes(df: DataFrame) -> DataFrame:
     return without_payload_fields(checks.with_errors(df, rules)).drop("_expected_id")
 
 
-def validate_envelopes(df: DataFrame) -> Routed:
-    return checks.split(mark_envelopes(df))
+def validate_envelopes(df: DataFrame, words: dict[str, list[str]] = TEXT_WORDS) -> Routed:
+    return checks.split(mark_envelopes(df, words))
 
 
 def feature_update_id(entity: Column, feature: Column, version: Column, time: Column, value: Column) -> Column:
     parts = canonical_json(entity, feature, version.cast("string"), iso_text(time), value_text(value))
-    return F.concat(F.lit("sha256:"), F.sha2(parts, 256))
+    return F.concat(F.lit("sha256:"), F.sha2(ascii_escaped(parts), 256))
 
 
 def validate_updates(df: DataFrame, topics: list[str], features: list[str] = FEATURE_IDS) -> Routed:

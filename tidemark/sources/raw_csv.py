@@ -47,6 +47,7 @@ def scan_raw_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFram
 
 def _cells(header: bytes) -> list[str]:
     """Column names of a header line, quotes and all, as CSV has them."""
+    csv.field_size_limit(max(csv.field_size_limit(), len(header) + 1))
     return next(csv.reader([header.decode("utf-8").removesuffix("\r")]), [])
 
 

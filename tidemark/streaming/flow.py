@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import checks
-from tidemark.operators.contracts import feature_update_id, mark_envelopes
+from tidemark.operators.contracts import TEXT_WORDS, feature_update_id, mark_envelopes
 from tidemark.session import broadcast_if_small
 from tidemark.settings import FEATURES_VERSION
 
@@ -21,10 +21,10 @@ ENVELOPE_FIELDS = (
 )
 
 
-def mark_messages(raw: DataFrame) -> DataFrame:
+def mark_messages(raw: DataFrame, words: dict[str, list[str]] = TEXT_WORDS) -> DataFrame:
     """Messages as envelopes, with the errors of each."""
     return mark_envelopes(
-        raw.select("topic", "value", F.from_json("value", ENVELOPE_FIELDS).alias("e")).select("topic", "value", "e.*")
+        raw.select("topic", "value", F.from_json("value", ENVELOPE_FIELDS).alias("e")).select("topic", "value", "e.*"), words
     )
 
 
@@ -36,9 +36,9 @@ def split_messages(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid.drop("value"), dead
 
 
-def parse_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_events(raw: DataFrame, words: dict[str, list[str]] = TEXT_WORDS) -> tuple[DataFrame, DataFrame]:
     """Messages to envelopes; what breaks a rule becomes a dead letter."""
-    return split_messages(mark_messages(raw))
+    return split_messages(mark_messages(raw, words))
 
 
 def with_event_time(df: DataFrame, delay: str = WATERMARK_DELAY, column: str = "event_time") -> DataFrame:

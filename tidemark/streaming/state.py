@@ -1,8 +1,10 @@
-"""Feature state of a stream: change logs of the newest source rows, and the updates they cause.
+"""Feature state of a stream: the newest source rows and the newest feature values, by shard.
 
-A log is a parquet folder partitioned by shard (a hash of the entity) and micro-batch. Writing a
-batch replaces its own partitions, so a replayed batch leaves the same rows. The newest row per key
-is chosen when the log is read; ``compact`` writes it out.
+Both are tables of the newest row per key, dealt over shards by a hash of the entity. A micro-batch reads
+the shards that it touches, merges its rows into them and writes these shards anew; a map says which
+version of each shard holds. So a batch costs what its shards hold now, however long the stream has run.
+The map of a batch is written last: a batch without one did not happen and is done again, with the same
+result. Versions that neither the last map nor the one before it names are deleted.
 """
 
 from __future__ import annotations
@@ -15,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.catalog import FEATURES
+from tidemark.operators.contracts import TEXT_WORDS
 from tidemark.operators.features import run_specs, to_long
+from tidemark.session import settle
 from tidemark.settings import DOCUMENT_FLAGS, MANIFEST, STREAM_TABLES
-from tidemark.streaming.flow import boundary_gate, feature_updates, mark_messages, route_late, split_messages
+from tidemark.sources.topics import topics, write_updates
+from tidemark.streaming.flow import boundary_gate, dedupe, feature_updates, mark_messages, route_late, split_messages
 
 PAYLOAD_SCHEMAS = {
     "application_train": T.StructType(
@@ -40,47 +45,45 @@ PAYLOAD_SCHEMAS = {
     ]),
 }
 
-LOG_COLUMNS = (
+ROW_COLUMNS = (
     "source_pk string, entity_id string, event_id string, topic string, event_time timestamp, payload string, "
     "source_table string"
 )
 UPDATE_COLUMNS = (
     "feature_update_id string, entity_id string, feature_id string, feature_value double, "
     "feature_version int, event_time timestamp, computed_at timestamp, source_event_id string, "
-    "source_topic string, computation_mode string, feature_catalog_version string, quality_status string"
+    "source_topic string, computation_mode string, feature_catalog_version string, quality_status string, merged bigint"
 )
-_PARTS = ", shard int, batch bigint"
-ROWS, UPDATES = "rows", "updates"
 
 
 class StreamTables(NamedTuple):
-    """Where a stream keeps its state, below one shared folder."""
+    """Where a stream keeps its state, below one shared folder.
+
+    ``shards`` is fixed for the life of the state; take it from the number of entities, so that a shard
+    is a task's work. ``writers`` tasks may write one shard, so that a hot entity is split.
+    """
 
     root: str
     shards: int = 16
-    writers: int = 4  # tasks that may write one shard, so that a hot entity is split
+    writers: int = 4
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
 
-def _write_log(
-    rows: DataFrame, tables: StreamTables, name: str, batch_id: int, salt: str, within: tuple[str, ...] = ()
-) -> None:
-    shard = F.pmod(F.xxhash64("entity_id"), F.lit(tables.shards)).cast("int")
-    spread = F.pmod(F.xxhash64(salt), F.lit(tables.writers))
-    parts = [*within, "shard", "batch"]
-    (
-        rows.withColumn("shard", shard).withColumn("batch", F.lit(batch_id).cast("bigint"))
-        .repartition(*within, "shard", spread)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*parts).parquet(tables.path(name))
-    )
+class NewestRows(NamedTuple):
+    """A table of the newest row per key."""
 
+    name: str
+    columns: str
+    keys: tuple[str, ...]
+    order: tuple[str, ...]
+    salt: str
 
-def _write_rows(rows: DataFrame, tables: StreamTables, batch_id: int) -> None:
-    columns = ["source_table", "source_pk", "entity_id", "event_id", "topic", "event_time", "payload"]
-    _write_log(rows.select(*columns), tables, ROWS, batch_id, "source_pk", ("source_table",))
+
+ROWS = NewestRows("rows", ROW_COLUMNS, ("source_table", "entity_id", "source_pk"), ("event_time", "event_id"), "source_pk")
+UPDATES = NewestRows("updates", UPDATE_COLUMNS, ("entity_id", "feature_id"), ("event_time", "merged"), "feature_id")
+_MAP = "shard int, version bigint, batch bigint"
 
 
 def _append_rows(rows: DataFrame, tables: StreamTables, name: str, batch_id: int) -> None:
@@ -97,18 +100,75 @@ def _read(spark: SparkSession, path: str, schema: str, parts: list[str] | None =
     return spark.read.schema(schema).parquet(path)
 
 
-def _log(spark: SparkSession, tables: StreamTables) -> DataFrame:
-    return _read(spark, tables.path(ROWS), LOG_COLUMNS + _PARTS, ["source_table", "shard", "batch"])
+def _children(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(name, path) of what lies directly in a folder, on whatever file system it is."""
+    jvm, target = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        return []
+    return [(s.getPath().getName(), s.getPath().toString()) for s in system.listStatus(jvm.org.apache.hadoop.fs.Path(path))]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
 
+def _map(spark: SparkSession, tables: StreamTables, table: NewestRows, before: int | None = None) -> tuple[int | None, dict[int, int]]:
+    """The newest map (of the batches before one): its batch, and the version of every shard."""
+    found = [int(n.split("=")[1]) for n, _ in _children(spark, tables.path(f"{table.name}-map")) if n.startswith("batch=")]
+    found = [b for b in found if before is None or b < before]
+    if not found:
+        return None, {}
+    rows = spark.read.schema("shard int, version bigint").parquet(tables.path(f"{table.name}-map/batch={max(found)}")).collect()
+    return max(found), {r.shard: r.version for r in rows}
 
-def newest(log: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
+
+def _versions(spark: SparkSession, tables: StreamTables, table: NewestRows, versions: dict[int, int]) -> DataFrame:
+    """The rows of the named shards, each in its version; only their folders are listed and read."""
+    schema = f"{table.columns}, shard int"
+    paths = [tables.path(f"{table.name}/version={v}/shard={s}") for s, v in versions.items()]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", tables.path(table.name)).parquet(*paths).drop("version")
+
+
+def newest(rows: DataFrame, table: NewestRows) -> DataFrame:
     """Newest row per key; partial aggregation keeps one row per key and task."""
-    columns = [c for c in log.columns if c not in {*keys, "shard", "batch"}]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(time, tie)).alias("_row")).select(
-        *keys, "_row.*"
+    columns = [c for c in rows.columns if c not in table.keys]
+    return rows.groupBy(*table.keys).agg(F.max_by(F.struct(*columns), F.struct(*table.order)).alias("_row")).select(
+        *table.keys, "_row.*"
     )
 
 
+def merge(spark: SparkSession, rows: DataFrame, batch_id: int, tables: StreamTables, table: NewestRows) -> DataFrame:
+    """Merge a batch into the shards it touches; returns the newest rows of these shards."""
+    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("entity_id"), F.lit(tables.shards)).cast("int"))
+    sharded = settle(sharded, f"{table.name}-batch")
+    touched = [r.shard for r in sharded.select("shard").distinct().collect()]  # at most `shards` numbers
+    _, before = _map(spark, tables, table, batch_id)
+    old = _versions(spark, tables, table, {s: v for s, v in before.items() if s in touched})
+    merged = newest(old.unionByName(sharded.select(*old.columns)), table)
+    path = tables.path(f"{table.name}/version={batch_id}")
+    spread = F.pmod(F.xxhash64(table.salt), F.lit(tables.writers))
+    merged.repartition("shard", spread).write.mode("overwrite").partitionBy("shard").parquet(path)
+    after = before | dict.fromkeys(touched, batch_id)
+    spark.createDataFrame(sorted(after.items()), "shard int, version bigint").coalesce(1).write.mode("overwrite").parquet(
+        tables.path(f"{table.name}-map/batch={batch_id}"))
+    _forget(spark, tables, table, batch_id, set(after.values()) | set(before.values()))
+    return _versions(spark, tables, table, dict.fromkeys(touched, batch_id))
+
+
+def _forget(spark: SparkSession, tables: StreamTables, table: NewestRows, batch_id: int, used: set[int]) -> None:
+    """Delete versions that no map in use names, and maps before the last two."""
+    for name, path in _children(spark, tables.path(table.name)):
+        if name.startswith("version=") and int(name.split("=")[1]) not in used:
+            _delete(spark, path)
+    maps = sorted((int(n.split("=")[1]), p) for n, p in _children(spark, tables.path(f"{table.name}-map")) if n.startswith("batch="))
+    for _, path in [m for m in maps if m[0] <= batch_id][:-2]:
+        _delete(spark, path)
+
+
 def _source_features(state: DataFrame, source: str) -> DataFrame:
     """Long features of one source from the newest rows of the entities at hand."""
     own = state.where(F.col("source_table") == source)
@@ -133,56 +193,42 @@ def _source_features(state: DataFrame, source: str) -> DataFrame:
     return to_long(entities.join(keyed, "entity_id", "left"), ids, [f.feature_id for f in members])
 
 
-def recompute(spark: SparkSession, batch_id: int, tables: StreamTables) -> DataFrame:
-    """Features of the sources and entities a logged batch touched, from their newest rows."""
-    log = _log(spark, tables)
-    touched = log.where(F.col("batch") == batch_id).select("source_table", "shard", "entity_id").distinct()
-    # At most three tables times `shards` pairs reach the driver; with them the scan prunes partitions.
-    found = touched.select("source_table", "shard").distinct().collect()
-    known = log.where(F.col("batch") <= batch_id)
-    known = known.where(F.col("shard").isin({r.shard for r in found}))
-    known = known.where(F.col("source_table").isin({r.source_table for r in found}))
-    state = newest(known.join(touched, ["source_table", "shard", "entity_id"], "left_semi"),
-                   ["source_table", "entity_id", "source_pk"], "event_time", "event_id")
-    parts = [_source_features(state, source) for source in STREAM_TABLES.values()]
+def recompute(state: DataFrame, touched: DataFrame) -> DataFrame:
+    """Features of the sources and entities that a batch touched, from their newest rows."""
+    own = state.join(touched, ["source_table", "entity_id"], "left_semi")
+    parts = [_source_features(own, source) for source in STREAM_TABLES.values()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def upsert_features(batch: DataFrame, batch_id: int, tables: StreamTables) -> None:
-    """Merge a batch of valid envelopes and write the feature updates it causes.
+def upsert_features(batch: DataFrame, batch_id: int, tables: StreamTables) -> DataFrame | None:
+    """Merge a batch of valid envelopes, record the feature updates it causes, and return them.
 
-    Use as the body of ``foreachBatch``. A batch that was completed before is skipped.
+    Use as the body of ``foreachBatch``. Of an event that arrives twice in the batch one row is used; one
+    that arrived in an earlier batch is the newest row already or older, and changes nothing. A batch that
+    was completed before is skipped, and nothing is returned.
     """
     spark = batch.sparkSession
-    done = _read(spark, tables.path("commits"), "batch bigint")
-    if not done.where(F.col("batch") == batch_id).isEmpty():
-        return
-    _write_rows(batch, tables, batch_id)
-    upsert_latest(feature_updates(recompute(spark, batch_id, tables)), batch_id, tables)
-    spark.createDataFrame([(batch_id,)], "batch bigint").coalesce(1).write.mode("append").parquet(
-        tables.path("commits")
-    )
+    done, _ = _map(spark, tables, UPDATES)
+    if done is not None and done >= batch_id:
+        return None
+    columns = [c.split(" ")[0] for c in ROW_COLUMNS.split(", ")]
+    rows = settle(dedupe(batch.select(*columns)), "events")
+    state = merge(spark, rows, batch_id, tables, ROWS)
+    touched = rows.select("source_table", "entity_id").distinct()
+    updates = settle(feature_updates(recompute(state, touched)), "updates")
+    upsert_latest(updates, batch_id, tables)
+    return updates
 
 
 def upsert_latest(updates: DataFrame, batch_id: int, tables: StreamTables) -> None:
-    """Record updates; ``latest_values`` then shows one only if its event time is the newest."""
-    _write_log(updates, tables, UPDATES, batch_id, "feature_id")
+    """Keep an update where its event time is the newest; of equal times that of the later batch stays."""
+    merge(updates.sparkSession, updates.withColumn("merged", F.lit(batch_id).cast("bigint")), batch_id, tables, UPDATES)
 
 
 def latest_values(spark: SparkSession, tables: StreamTables) -> DataFrame:
-    """The newest value per entity and feature; of equal times the later batch."""
-    log = _read(spark, tables.path(UPDATES), UPDATE_COLUMNS + _PARTS, ["shard", "batch"])
-    columns = [c for c in log.columns if c not in ("shard", "batch", "entity_id", "feature_id")]
-    return log.groupBy("entity_id", "feature_id").agg(
-        F.max_by(F.struct(*columns), F.struct("event_time", "batch")).alias("_row")
-    ).select("entity_id", "feature_id", "_row.*")
-
-
-def compact(spark: SparkSession, tables: StreamTables, target: StreamTables, batch_id: int) -> None:
-    """Write only the newest rows of both logs to a new root, as one batch."""
-    log = _log(spark, tables)
-    _write_rows(newest(log, ["source_table", "entity_id", "source_pk"], "event_time", "event_id"), target, batch_id)
-    upsert_latest(latest_values(spark, tables), batch_id, target)
+    """The newest value per entity and feature."""
+    _, versions = _map(spark, tables, UPDATES)
+    return _versions(spark, tables, UPDATES, versions).drop("shard", "merged")
 
 
 def _watermark(spark: SparkSession, tables: StreamTables, batch_id: int, delay: timedelta) -> datetime | None:
@@ -193,38 +239,42 @@ def _watermark(spark: SparkSession, tables: StreamTables, batch_id: int, delay:
 
 def process_batch(
     raw: DataFrame, batch_id: int, tables: StreamTables, points: DataFrame | None = None,
-    delay: timedelta = timedelta(minutes=5), lateness: timedelta | None = None,
+    delay: timedelta = timedelta(minutes=5), lateness: timedelta | None = None, words: dict[str, list[str]] = TEXT_WORDS,
+    outbox: str | None = None, fmt: str = "parquet",
 ) -> None:
-    """One micro-batch: parse, dead letters, late rows, boundary, features.
+    """One micro-batch: parse, dead letters, late rows, boundary, deduplication, features.
 
-    Without ``lateness`` every time is accepted, without ``points`` there is no boundary.
+    Without ``lateness`` every time is accepted, without ``points`` there is no boundary. Dead letters and
+    updates go to their topics at ``outbox``; a batch that fails after that sends them again, with the
+    same ids.
     """
     spark = raw.sparkSession
-    marked = mark_messages(raw).persist()  # one micro-batch, used by every branch, released at the end
-    try:
-        valid, dead = split_messages(marked)
-        _append_rows(dead, tables, "dead_letters", batch_id)
-        accepted = valid
-        if lateness is not None:
-            mark = _watermark(spark, tables, batch_id, delay)
-            on_time, corrections, too_late = route_late(valid, mark, lateness)
-            _append_rows(corrections, tables, "corrections", batch_id)
-            _append_rows(too_late, tables, "late_dead_letters", batch_id)
-            accepted = on_time.unionByName(corrections)
-            _append_rows(valid.agg(F.max("event_time").alias("newest")), tables, "progress", batch_id)
-        if points is not None:
-            accepted, violations = boundary_gate(accepted, points)
-            _append_rows(violations, tables, "violations", batch_id)
-        upsert_features(accepted, batch_id, tables)
-    finally:
-        marked.unpersist()
+    marked = settle(mark_messages(raw, words), "marked")  # one micro-batch, read by every branch
+    valid, dead = split_messages(marked)
+    _append_rows(dead, tables, "dead_letters", batch_id)
+    accepted = valid
+    if lateness is not None:
+        mark = _watermark(spark, tables, batch_id, delay)
+        on_time, corrections, too_late = route_late(valid, mark, lateness)
+        _append_rows(corrections, tables, "corrections", batch_id)
+        _append_rows(too_late, tables, "late_dead_letters", batch_id)
+        accepted = on_time.unionByName(corrections)
+        _append_rows(valid.agg(F.max("event_time").alias("newest")), tables, "progress", batch_id)
+    if points is not None:
+        accepted, violations = boundary_gate(accepted, points)
+        _append_rows(violations, tables, "violations", batch_id)
+    updates = upsert_features(accepted, batch_id, tables)
+    if outbox and updates is not None:
+        named = topics()
+        write_updates(dead.withColumn("entity_id", F.lit(None).cast("string")), outbox, named["dlq"].name, fmt)
+        write_updates(updates, outbox, named["feature_updates"].name, fmt)
 
 
 def start_feature_stream(raw: DataFrame, tables: StreamTables, points: DataFrame | None = None,
-                         lateness: timedelta | None = None, available_now: bool = True):
+                         lateness: timedelta | None = None, available_now: bool = True, **options):
     """Run ``process_batch`` over a stream of messages, with its checkpoint next to the tables."""
     writer = raw.writeStream.option("checkpointLocation", tables.path("checkpoint")).foreachBatch(
-        lambda df, batch_id: process_batch(df, batch_id, tables, points, lateness=lateness)
+        lambda df, batch_id: process_batch(df, batch_id, tables, points, lateness=lateness, **options)
     )
     if available_now:
         writer = writer.trigger(availableNow=True)
