@@ -15,8 +15,8 @@ from tidemark.session import settle
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules, or whose host does, go; repeated rows each keep their verdict."""
-    judged = host_rules.judge(docs, docs.columns)
-    return judged.where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), "text", "source")
+    return host_rules.judge(rows, ["_doc"]).where("kept").select("_doc.*")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
