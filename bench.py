@@ -17,7 +17,7 @@ HEADLINES = [
     "prediction_points", "bureau_history_features", "bureau_balance_features", "application_features", "feature_values_long",
     "training_view", "woe_rules", "applied_woe", "population_stability", "ranking_power", "newest_view_before_purchase",
     "content_fingerprint", "composite_key_check", "enriched_balance", "source_events", "valid_envelopes", "snapshot_overwrite",
-    "latest_line_per_order",
+    "latest_line_per_order", "stream_feature_values", "files_to_features",
 ]
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import silver
 from tidemark.operators.bronze import stamp_bronze
 from tidemark.operators import fingerprint as digests
+from tidemark.session import scratch_folder
 from tidemark.sources import raw_csv
 from tidemark.operators.fingerprint import fingerprint
 from tidemark.operators.monitor import document_features, latency, quality_profile
@@ -157,6 +159,18 @@ def test_snapshot_folder_overwrite(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(_source_manifest_sha256" in plan
 
 
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    def session(master, folder):
+        values = {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": "file:/warehouse"}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: values.get(k) or d), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_folder(session(master, None), "x")
+        assert scratch_folder(session(master, "hdfs://a/b/"), "x").startswith("hdfs://a/b/tidemark-")
+    assert scratch_folder(session("local[4]", None), "x").startswith("file:/warehouse/_scratch/")
+
+
 def test_commit_log(spark, tmp_path):
     log = str(tmp_path / "log")
     for rows in (1, 2, 3):
