@@ -6,23 +6,26 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import latest
 from tidemark.operators.latest import first_value_per_key, latest_per_key, pit_join
 from tidemark.operators.features import balance_features
+from tidemark.operators.ranks import in_order
 from tidemark.settings import MANIFEST
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
 @pytest.mark.parametrize("tolerance", [None, "3 days"])
-@pytest.mark.parametrize("slice_seconds", [3600, 86_400 * 30])
-def test_point_in_time_join_equals_search(spark, tolerance, slice_seconds):
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_point_in_time_join_equals_search(spark, tolerance, ranges, monkeypatch):
+    monkeypatch.setattr(latest, "in_order", lambda df, keys, order: in_order(df, keys, order, ranges))
     rng = random.Random(2)
     # One hot key, many equal times, points before any fact, keys without facts.
     points = [(i, "hot" if i % 3 else f"k{i % 9}", START + timedelta(hours=rng.randrange(0, 900))) for i in range(300)]
     facts = [(i, "hot" if i % 3 else f"k{i % 6}", START + timedelta(hours=rng.randrange(100, 800)), i * 1.5) for i in range(400)]
     p = spark.createDataFrame(points, "id int, k string, at timestamp").repartition(5)
     f = spark.createDataFrame(facts, "fact int, k string, known timestamp, v double").repartition(3)
-    got = {r.id: (r.fact, r.v) for r in pit_join(p, f, ["k"], "at", "known", ["fact", "v"], ["fact"], tolerance, slice_seconds).collect()}
+    got = {r.id: (r.fact, r.v) for r in pit_join(p, f, ["k"], "at", "known", ["fact", "v"], ["fact"], tolerance).collect()}
     assert len(got) == len(points)
     for i, key, at in points:
         fit = [x for x in facts if x[1] == key and x[2] <= at and (not tolerance or x[2] >= at - timedelta(days=3))]
@@ -30,6 +33,12 @@ def test_point_in_time_join_equals_search(spark, tolerance, slice_seconds):
         assert got[i] == ((best[0], best[3]) if best else (None, None))
 
 
+def test_a_hot_key_spans_ranges(spark):
+    """Most facts of one key within an hour: the order is dealt over several tasks all the same."""
+    facts = spark.range(20_000).select(F.lit("hot").alias("k"), F.timestamp_seconds(1_700_000_000 + F.col("id") % 3600).alias("t"), "id")
+    assert in_order(facts, ["k"], [F.col("t"), F.col("id")], 8).select("_slot").distinct().count() > 4
+
+
 def test_latest_per_key_prunes_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"), (F.col("id") % 7).alias("w"))
     newest = latest_per_key(df, ["k"], [F.desc("w"), F.asc("v")])

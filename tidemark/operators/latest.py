@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import in_order
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row of each key in ``order``.
@@ -28,16 +30,17 @@ def top_rows(df: DataFrame, order: list[Column], n: int = 1) -> DataFrame:
 
 def pit_join(
     points: DataFrame, facts: DataFrame, keys: list[str], point_time: str, fact_time: str,
-    values: list[str], tie: list[str], tolerance: str | None = None, slice_seconds: int = 86_400 * 30,
+    values: list[str], tie: list[str], tolerance: str | None = None,
 ) -> DataFrame:
     """For each point the newest fact of its keys at or before the point's time.
 
     Among facts of the same time the one with the greatest ``tie`` wins. ``tolerance`` (an interval,
     ``"90 days"``) drops older facts. Points without a fact keep NULLs.
 
-    Pairs of points and facts are never formed: both sides are merged into one sequence per key and
-    time slice, the last fact is carried forward inside the slice, and the last fact of earlier slices
-    comes from a table of one row per key and slice. A hot key is thus spread over its slices.
+    Pairs of points and facts are never formed: both sides are merged into one sequence in the order of
+    key and time, dealt over tasks by ranges of both. The last fact is carried forward inside a range, and
+    the last fact of the key's earlier ranges comes from a table of one row per key and range. So a hot key
+    is spread over tasks however close its times are.
     """
     payload = F.struct(fact_time, *values)
     order = F.struct(*tie) if tie else F.lit(1)
@@ -48,19 +51,18 @@ def pit_join(
     point_rows = points.where(F.col(point_time).isNotNull()).select(*keys, F.col(point_time).alias("_time")).distinct()
     merged = fact_rows.withColumn("_is_point", F.lit(0)).unionByName(
         point_rows.withColumn("_is_point", F.lit(1)), allowMissingColumns=True
-    ).withColumn("_slice", F.floor(F.unix_seconds("_time") / slice_seconds))
-
-    inside = Window.partitionBy(*keys, "_slice").orderBy("_time", "_is_point").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
     )
+    merged = in_order(merged, keys, [F.col("_time"), F.col("_is_point")])
+
+    inside = Window.partitionBy(*keys, "_slot").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = merged.withColumn("_last", F.last("_fact", ignorenulls=True).over(inside)).where("_is_point = 1")
 
-    per_slice = merged.groupBy(*keys, "_slice").agg(F.max_by("_fact", F.when(F.col("_is_point") == 0, F.col("_time")))
-                                                    .alias("_newest"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = per_slice.select(*keys, "_slice", F.last("_newest", ignorenulls=True).over(earlier).alias("_carry"))
+    per_slot = merged.groupBy(*keys, "_slot").agg(F.max_by("_fact", F.when(F.col("_is_point") == 0, F.col("_place")))
+                                                  .alias("_newest"))
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_slot.select(*keys, "_slot", F.last("_newest", ignorenulls=True).over(earlier).alias("_carry"))
 
-    found = carried.join(before, [*keys, "_slice"], "left").select(
+    found = carried.join(before, [*keys, "_slot"], "left").select(
         *keys, F.col("_time").alias(point_time), F.coalesce("_last", "_carry").alias("_hit")
     )
     if tolerance:

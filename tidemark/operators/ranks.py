@@ -15,11 +15,15 @@ from tidemark.session import broadcast_if_small, settle
 _SLOT_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
-def _in_order(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Sorted and written once, each row with its partition and its place in the whole order."""
+def in_order(df: DataFrame, keys: list[str], order: list[Column], ranges: int | None = None) -> DataFrame:
+    """Sorted and written once, each row with its partition and its place in the whole order.
+
+    ``ranges`` asks for a number of partitions; without it the session decides.
+    """
     by = [F.col(k) for k in keys] + order
     place = F.monotonically_increasing_id()
-    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", place)
+    dealt = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    ordered = dealt.sortWithinPartitions(*by).withColumn("_place", place)
     return settle(ordered.withColumn("_slot", F.shiftright("_place", _SLOT_BITS)), "ordered")
 
 
@@ -42,7 +46,7 @@ def global_ranks(df: DataFrame, keys: list[str], order: list[Column], counted: s
 
     With ``counted`` the group counts only rows where that column is not NULL.
     """
-    ordered = _in_order(df, keys, order)
+    ordered = in_order(df, keys, order)
     counted_rows = F.count(counted) if counted else F.count(F.lit(1))
     per_slot = ordered.groupBy(*keys, "_slot").agg(
         F.count(F.lit(1)).alias("n"), counted_rows.alias("c"), F.min("_place").alias("_first")
@@ -58,7 +62,7 @@ def global_ranks(df: DataFrame, keys: list[str], order: list[Column], counted: s
 
 def running_sums(df: DataFrame, keys: list[str], order: list[Column], sums: list[str]) -> DataFrame:
     """Add ``below_<s>`` (sum over earlier rows of the key) and ``total_<s>`` for each of ``sums``."""
-    ordered = _in_order(df, keys, order)
+    ordered = in_order(df, keys, order)
     per_slot = ordered.groupBy(*keys, "_slot").agg(*[F.sum(s).alias(s) for s in sums])
     slots = broadcast_if_small(settle(_before(per_slot, keys, sums), "slots"))
     # One window group is what one partition held, not what a key holds.

@@ -351,7 +351,6 @@ def _point_in_time(spark: SparkSession, folder: str, tolerance: str | None) -> D
     )
     return pit_join(
         purchases, views, ["user_id"], "prediction_time", "available_at", ["fact", "fact_value"], ["fact"], tolerance,
-        slice_seconds=86_400,
     ).select("point", "fact", "fact_value")
 
 
