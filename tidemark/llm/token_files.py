@@ -142,7 +142,9 @@ def write(docs: DataFrame, folder: str, id_column: str = "doc_id", text: str = "
             columns = [pa.array([m[k] for m in made], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["file", "documents", "ids"])
 
-    ordered = rows.repartitionByRange(F.asc_nulls_first("id"), "text").sortWithinPartitions(F.asc_nulls_first("id"), "text")
+    # The bounds are drawn from a sample of ids and hashes that reaches the driver, so no text is part of them.
+    order = [F.asc_nulls_first("id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     settle(ordered.mapInArrow(run, "file string, documents bigint, ids bigint"), "files")
     return dictionary
 
