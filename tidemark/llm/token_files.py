@@ -118,7 +118,10 @@ def write(docs: DataFrame, folder: str, id_column: str = "doc_id", text: str = "
     """Write all documents below ``folder``; returns the dictionary, which lies there too."""
     spark, tokenizer = docs.sparkSession, tokenizer or public_path()
     rows = docs.select(F.col(id_column).cast("long").alias("id"), whole(text).alias("text"))
-    some = rows.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("id"), "id", "text").limit(SAMPLE).select("text").collect()
+    # Hashes are compared first, so that tasks send texts of the chosen documents only.
+    fit, mark = F.length("text").between(1, SAMPLE_CHARS), F.xxhash64("id")
+    bound = rows.where(fit).select(mark.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    some = rows.where(fit & (mark <= F.lit(bound))).select("text").limit(SAMPLE).collect() if bound is not None else []
     dictionary = train_dictionary([ids.tobytes() for ids in encoder(tokenizer).documents(pa.array([r[0] for r in some], pa.string()))])
     _put(folder, "_dictionary", dictionary)
 
