@@ -121,7 +121,8 @@ def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "t
     counts = settle(text_counts(docs, [*kept, F.col(host).cast("string").alias("_host")], text), name)
     failures = counts.groupBy(F.col("_host").alias("host")).agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(_failed(r)).alias(r) for r in RULES])
-    hosts = failures.select("host", (F.greatest(*shrunk_rates(failures)) > HOST_LIMIT).alias("host_failed"))
+    # Written first, so that its size is known and documents are not dealt out by host where hosts are few.
+    hosts = settle(failures.select("host", (F.greatest(*shrunk_rates(failures)) > HOST_LIMIT).alias("host_failed")), "hosts")
     base = _failed("short") | _failed("repeats")
     rows = counts.join(hosts, counts["_host"].eqNullSafe(hosts["host"]))
     return rows.select(
