@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct words a worker remembers before it starts anew; about 300 MB.
-REMEMBERED = 1_500_000
+#: Distinct words a worker remembers before it starts anew; about 200 MB.
+REMEMBERED = 1_000_000
 #: Characters of text split at a time.
 SLICE = 4 << 20
 
