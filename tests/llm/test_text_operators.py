@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import random
 import zlib
 
@@ -155,6 +156,36 @@ def test_search_beats_best_fit():
     assert sum(m for _, m in packing.complete(counts, 61)) == -(-sum(n * c for n, c in counts.items()) // 61)
 
 
+def test_search_fills_bins_with_many_short_pieces():
+    """Five pieces and more fill a bin; best fit takes 1,095 bins where 1,000 are the bound."""
+    chance = random.Random(5)
+    counts = collections.Counter(chance.randint(350, 470) for _ in range(5000))
+    packed = packing.complete(counts)
+    used = collections.Counter()
+    for pattern, many in packed:
+        assert sum(n * k for n, k in pattern) <= packing.CAPACITY
+        used.update({n: k * many for n, k in pattern})
+    assert used == counts
+    assert sum(m for _, m in packed) <= packing.lower_bound(counts, packing.CAPACITY) * 1.01 < sum(m for _, m in packing.best_fit(counts, packing.CAPACITY))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_fillings_are_all_that_take_no_more(seed):
+    chance = random.Random(seed)
+    room, counts = chance.randint(0, 60), collections.Counter(chance.randint(1, 60) for _ in range(chance.randint(1, 9)))
+    now, lengths = np.zeros(61, np.int64), sorted(counts, reverse=True)
+    for n, k in counts.items():
+        now[n] = k
+    want = set()
+    for copies in itertools.product(*[range(counts[n] + 1) for n in lengths]):
+        left = room - sum(n * k for n, k in zip(lengths, copies))
+        if left >= 0 and not any(n <= left and k < counts[n] for n, k in zip(lengths, copies)):
+            want.add(tuple(n for n, k in zip(lengths, copies) for _ in range(k)))
+    got = list(packing.fillings(now, lengths, room))
+    assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True) and len(got) == len(set(got))
+    assert got == [(room,)] if now[room] else set(got) == want
+
+
 def check_packing(rows, texts, capacity=2048):
     made = tokens.Encoder(tokens.public_path())
     ids = [made.tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]

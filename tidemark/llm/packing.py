@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import collections
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -34,9 +35,9 @@ from tidemark.session import settle
 
 CAPACITY = 2048
 NODES = 5000
-#: Fillings tried at a step of the search; firsts of a triple that are tried; lengths or pieces left from
-#: which on all fillings are enumerated.
-FILLINGS, FIRSTS, FEW = 3, 24, 14
+#: Fillings tried at a step of the first search, each later one tries four times as many; firsts of a triple
+#: that are looked up before the table of sums is made, which has all fillings.
+FILLINGS, FIRSTS = 3, 24
 
 Counts = dict[int, int]
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
@@ -93,27 +94,6 @@ def best_fit(counts: Counts, capacity: int) -> list[tuple[Pattern, int]]:
     return [b for group in bins.values() for b in group]
 
 
-def _all_fillings(now: np.ndarray, lengths: list[int], room: int) -> list[tuple[int, ...]]:
-    """Every filling that can take no more piece, least waste first; for few lengths or pieces."""
-    found: dict[tuple[int, ...], int] = {}
-
-    def walk(rest: int, at: int, chosen: tuple[int, ...]) -> None:
-        grown = False
-        for i in range(at, len(lengths)):
-            n = lengths[i]
-            if n <= rest and now[n] > chosen.count(n):
-                grown = True
-                walk(rest - n, i, (*chosen, n))
-                if len(found) >= 400:
-                    return
-        # A shorter piece that was passed over may still fit; then the filling is dominated.
-        if not grown and not any(n <= rest and now[n] > chosen.count(n) for n in lengths):
-            found[chosen] = rest
-
-    walk(room, 0, ())
-    return sorted(found, key=lambda f: (found[f], len(f), [-n for n in f]))
-
-
 def _pairs(now: np.ndarray, total: int, most: int) -> list[tuple[int, int]]:
     """Up to ``FILLINGS`` pairs (a, b) of this sum with most >= a >= b, longest a first."""
     low, high = (total + 1) // 2, min(total - 1, most)
@@ -124,32 +104,76 @@ def _pairs(now: np.ndarray, total: int, most: int) -> list[tuple[int, int]]:
     return [(int(x), total - int(x)) for x in a[np.flatnonzero(fits)[:FILLINGS]]]
 
 
-def fillings(now: np.ndarray, lengths: list[int], room: int) -> list[tuple[int, ...]]:
-    """Sets of pieces for ``room``: least waste first, then fewest pieces, then the longest.
-
-    A single piece that leaves no waste dominates all else. Of many lengths pairs are looked up, then
-    triples that begin with one of the longest, for the least waste that any of them reaches; of few
-    everything is enumerated.
+def _exact(now: np.ndarray, fit: list[int], room: int) -> Iterator[tuple[int, ...]]:
+    """Some pairs and triples that leave no waste, looked up without a table."""
+    yield from _pairs(now, room, fit[0])
+    for a in fit[:FIRSTS] if room > fit[-1] else ():
+        now[a] -= 1
+        pairs = _pairs(now, room - a, a)
+        now[a] += 1
+        yield from ((a, *pair) for pair in pairs)
+
+
+def _sums(fit: list[int], copies: list[int], room: int) -> list[int]:
+    """Bit s of entry i tells whether pieces of the i longest lengths, as many as there are, sum to s."""
+    inside, reached = (1 << (room + 1)) - 1, [1]
+    for n, c in zip(fit, copies):
+        sums, c, k = reached[-1], min(c, room // n), 1
+        while c:
+            k = min(k, c)
+            sums |= sums << n * k
+            c -= k
+            k *= 2
+        reached.append(sums & inside)
+    return reached
+
+
+def fillings(now: np.ndarray, lengths: list[int], room: int) -> Iterator[tuple[int, ...]]:
+    """Every set of pieces for ``room`` that can take no more piece, least waste first, of any number of pieces.
+
+    A single piece that leaves no waste dominates all else. Some pairs and triples without waste come
+    first; all others are read back from a table of the sums that the pieces reach, for each waste those
+    that do without the short pieces first. A waste at which a piece still fits is only met by sets that
+    hold all pieces so short.
     """
     fit = lengths[bisect.bisect_left(lengths, -room, key=lambda n: -n) :]  # longest first
     if not fit:
-        return [()]
+        yield ()
+        return
     if now[room]:
-        return [(room,)]
-    if len(fit) <= FEW or int(now[fit].sum()) <= FEW:
-        return _all_fillings(now, fit, room)[: 4 * FILLINGS]
-    for total in range(room, fit[0] - 1, -1):
-        found: list[tuple[int, ...]] = [(total,)] if now[total] else []
-        found += _pairs(now, total, fit[0])
-        for a in fit[:FIRSTS] if len(found) < FILLINGS and total > fit[-1] else ():
-            now[a] -= 1
-            found += [(a, *pair) for pair in _pairs(now, total - a, a)]
-            now[a] += 1
-            if len(found) >= FILLINGS:
-                break
-        if found:
-            return found[:FILLINGS]
-    return [(fit[0],)]
+        yield (room,)
+        return
+    seen, copies = set(), now[fit].tolist()
+    for filling in _exact(now, fit, room):
+        if filling not in seen:
+            seen.add(filling)
+            yield filling
+    reached = _sums(fit, copies, room)
+    long, held = len(fit), 0  # lengths above the waste; sum of all pieces that are not
+    for waste in range(room + 1):
+        while long and fit[long - 1] <= waste:
+            long -= 1
+            held += fit[long] * copies[long]
+        rest = room - waste - held
+        if rest < 0:
+            return
+        if not reached[long] >> rest & 1:
+            continue
+        short = tuple(n for n, c in zip(fit[long:], copies[long:]) for _ in range(c))
+        todo = [(long, rest, short)]
+        while todo:
+            i, rest, chosen = todo.pop()
+            while rest and reached[i - 1] >> rest & 1 and not (fit[i - 1] <= rest and any(
+                    reached[i - 1] >> rest - k * fit[i - 1] & 1 for k in range(1, min(copies[i - 1], rest // fit[i - 1]) + 1))):
+                i -= 1
+            if not rest:
+                if chosen not in seen:
+                    yield chosen
+                continue
+            n = fit[i - 1]
+            for k in range(min(copies[i - 1], rest // n), -1, -1):
+                if reached[i - 1] >> rest - k * n & 1:
+                    todo.append((i - 1, rest - k * n, (n,) * k + chosen))
 
 
 def complete(counts: Counts, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
@@ -161,46 +185,61 @@ def complete(counts: Counts, capacity: int = CAPACITY, nodes: int = NODES) -> li
     for n, c in counts.items():
         now[n] = c
 
-    def options() -> Iterator[tuple[Pattern, int]]:
+    def options(width: int) -> Iterator[tuple[Pattern, int] | None]:
+        """Ways to fill the bin of the longest piece left, then None if there are more than ``width``.
+
+        Only called on while the counts are those of the first call. A table of sums is not kept in
+        between: the search is thousands of bins deep.
+        """
         lengths = np.flatnonzero(now)[::-1].tolist()
-        first = lengths[0]
-        now[first] -= 1
-        sets = fillings(now, lengths if now[first] else lengths[1:], capacity - first)
-        now[first] += 1
-        ways = []
-        for filling in sets:
-            need = collections.Counter((first, *filling))
-            ways.append((tuple(sorted(need.items(), reverse=True)), min(int(now[n]) // k for n, k in need.items())))
-        return iter(ways)
+        first, done, until = lengths[0], 0, FILLINGS
+        while True:
+            now[first] -= 1
+            sets = list(itertools.islice(fillings(now, lengths if now[first] else lengths[1:], capacity - first), done, until + 1))
+            now[first] += 1
+            for filling in sets[: until - done]:
+                need = collections.Counter((first, *filling))
+                yield tuple(sorted(need.items(), reverse=True)), min(int(now[n]) // k for n, k in need.items())
+            if len(sets) <= until - done:
+                return
+            if until == width:
+                yield None
+                return
+            done, until = until, min(2 * until, width)
 
     def take(way: tuple[Pattern, int], sign: int) -> None:
         for n, k in way[0]:
             now[n] -= sign * way[1] * k
 
-    steps, chosen, wasted = 0, [], [0]
-    stack = [options()] if counts and fewest > bound else []
-    while stack and steps < nodes and fewest > bound:
-        way = next(stack[-1], None)
-        if way is None:
-            stack.pop()
-            if chosen:
-                take(chosen.pop(), -1)
-                wasted.pop()
-            continue
-        steps += 1
-        pattern, many = way
-        waste = wasted[-1] + many * (capacity - sum(n * k for n, k in pattern))
-        if waste > (fewest - 1) * capacity - total:
-            continue
-        take(way, 1)
-        chosen.append(way)
-        wasted.append(waste)
-        if now.any():
-            stack.append(options())
-            continue
-        incumbent, fewest = list(chosen), sum(m for _, m in chosen)
-        take(chosen.pop(), -1)
-        wasted.pop()
+    steps, width, more = 0, FILLINGS, True
+    while more and counts and steps < nodes and fewest > bound:
+        more, chosen, wasted, stack = False, [], [0], [options(width)]
+        while stack and steps < nodes and fewest > bound:
+            way = next(stack[-1], ())
+            if way is None:
+                more = True
+                continue
+            if not way:
+                stack.pop()
+                if chosen:
+                    take(chosen.pop(), -1)
+                    wasted.pop()
+                continue
+            steps += 1
+            pattern, many = way
+            waste = wasted[-1] + many * (capacity - sum(n * k for n, k in pattern))
+            if waste > (fewest - 1) * capacity - total:
+                continue
+            take(way, 1)
+            chosen.append(way)
+            wasted.append(waste)
+            if now.any():
+                stack.append(options(width))
+                continue
+            incumbent, fewest = list(chosen), sum(m for _, m in chosen)
+            take(chosen.pop(), -1)
+            wasted.pop()
+        width *= 4
     return incumbent
 
 
