@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the row with the smallest doc_id stays; wordless documents all stay."""
-    found = settle(near_dup.classes(docs), "near-dup")
+    found = settle(near_dup.classes(docs, plain=near_dup.SIMILARITY), "near-dup")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_md5"))
     stays = found.where("class IS NOT NULL").groupBy("class").agg(first.alias("first")).select(
         F.col("first.id").alias("_stay_id"), F.col("first.text_md5").alias("_stay_text"))

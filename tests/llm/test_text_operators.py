@@ -7,6 +7,7 @@ import itertools
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -78,6 +79,37 @@ def test_big_buckets_are_dealt_over_blocks(spark, monkeypatch):
     assert got == plain.near_classes(list(range(60)), texts) and set(got.values()) == {0}
 
 
+def test_many_copies_do_not_part_each_other(spark):
+    """A third of all rows is one text with a word changed; by weight hardly any two of them reach 0.8."""
+    chance, base = random.Random(6), [f"b{i}" for i in range(100)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in chance.sample(range(100), 60)]
+    texts += [" ".join(f"r{chance.randrange(50_000)}" for _ in range(100)) for _ in range(120)]
+    assert len(set(plain.near_classes(list(range(180)), texts).values())) > 170
+    kept = corpus_pipeline.dedup(spark, documents(spark, texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(60, 180)]
+
+
+def test_plain_links_come_on_top_of_weighted_ones(spark):
+    texts = near_texts(3)
+    sets = [set(h.tolist()) for h in shingle_hashes(pa.array([t or "" for t in texts]))]
+    root = plain.near_classes(list(range(len(texts))), texts)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and len(a & b) / len(a | b) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {d: low if c == high else c for d, c in root.items()}
+    got = {r["id"]: r["class_id"] for r in near_dup.classes(documents(spark, texts), plain=0.8).collect()}
+    assert got == root != plain.near_classes(list(range(len(texts))), texts)
+
+
+def test_plain_samples_agree_as_often_as_sets_are_alike():
+    chance, agree = np.random.default_rng(5), []
+    for _ in range(60):
+        both, own = chance.integers(1, 1 << 63, 320, np.uint64), chance.integers(1, 1 << 63, (2, 40), np.uint64)
+        agree.append((near_dup.plain_signature(np.append(both, own[0])) == near_dup.plain_signature(np.append(both, own[1]))).mean())
+    assert abs(np.mean(agree) - 0.8**near_dup.ROWS) < 0.06
+
+
 def test_near_classes_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, "p q r s t u", None, None, None), (7, "p q r s t u", None, None, None), (7, "p q r s t u", None, None, None),
                                   (3, None, None, None, None), (3, "", None, None, None), (None, "lone words", None, None, None)], SCHEMA)

@@ -7,6 +7,10 @@ broadcast. The similarity of two texts is the weighted Jaccard measure of these
 ``BANDS * ROWS`` samples whose chance to agree between two texts is that similarity. Texts that agree
 in all rows of a band are candidates, and a pair is linked only if its similarity itself is high enough.
 
+Where a third of all documents are copies of one text, their common shingles weigh a quarter of an edit's,
+so that the weights part what is nearly equal. With ``plain`` a pair is also linked if the Jaccard measure of
+its sets of shingles is that high, and each text gets as many bands again, of minimum hashes of its set.
+
 Texts that are equal stand for one vertex. Every vertex is first compared with the one leader that it
 shares most bands with. Where a bucket of a band then still holds more than one component, its members
 of different components are compared too, in blocks, so no candidate pair that matters is left out and
@@ -48,6 +52,7 @@ _LOG_C = np.log(_rng.gamma(2.0, 1.0, 1 << _TABLE_BITS))
 _BETA = _rng.random(1 << _TABLE_BITS)
 _DRAWS = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _OVER_R = 1.0 / _R
+_PLAIN_DRAWS = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
@@ -138,8 +143,20 @@ def signature(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
         value, better = log_a[least, k], log_a[least, k] < best
         pair = mixed(h[least, 0] + t[least, k].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         sample[better], best[better] = pair[better], value[better]
+    return _banded(sample, 1)
+
+
+def plain_signature(found: np.ndarray) -> np.ndarray:
+    """The hash of each band of the minimum hashes of the text's set of shingles."""
+    sample = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 1 << 13):
+        np.minimum(sample, (_PLAIN_DRAWS[:, None] * found[None, at : at + (1 << 13)]).min(axis=1), out=sample)
+    return _banded(sample, BANDS + 1)
+
+
+def _banded(sample: np.ndarray, first: int) -> np.ndarray:
     rows = sample.reshape(BANDS, ROWS)
-    band = np.arange(1, BANDS + 1, dtype=np.uint64)
+    band = np.arange(first, first + BANDS, dtype=np.uint64)
     for i in range(ROWS):
         band = mixed(band * np.uint64(0xD6E8FEB86659FD93) + rows[:, i])
     return band.astype(np.int64)
@@ -153,6 +170,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return low / high if high else 0.0
 
 
+def _alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similar: float, plain: float | None) -> bool:
+    """Whether two texts are linked, by their sets if ``plain`` is given, or by their weights."""
+    if plain is not None and min(len(a[0]), len(b[0])) >= plain * max(len(a[0]), len(b[0])) - 1:
+        both = len(np.intersect1d(a[0], b[0], assume_unique=True))
+        if both / (len(a[0]) + len(b[0]) - both) >= plain:
+            return True
+    return similarity(a, b) >= similar
+
+
 def _with(docs: DataFrame, sketch, make: Callable, schema: str) -> DataFrame:
     """Apply ``make(found, weights)`` to the text (the last column) of each document; the other columns stay."""
 
@@ -175,6 +201,10 @@ def _bands(found: np.ndarray, weights: np.ndarray) -> list:
     return [signature(found, weights)]
 
 
+def _all_bands(found: np.ndarray, weights: np.ndarray) -> list:
+    return [np.concatenate([signature(found, weights), plain_signature(found)])]
+
+
 def _payload(found: np.ndarray, weights: np.ndarray) -> list:
     return [found.tobytes(), weights.tobytes()]
 
@@ -183,18 +213,18 @@ def _read(found: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(found, np.uint64), np.frombuffer(weights, np.float32)
 
 
-def _star_frames(similar: float) -> Callable:
+def _star_frames(similar: float, plain: float | None) -> Callable:
     """A leader and some of its members -> the links between them."""
 
     def run(leader: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         own = _read(leader["l_found"][0], leader["l_weights"][0])
-        linked = [similarity(own, _read(f, w)) >= similar for f, w in zip(members["found"], members["weights"])]
+        linked = [_alike(own, _read(f, w), similar, plain) for f, w in zip(members["found"], members["weights"])]
         return pd.DataFrame({"a": leader["l_leader"][0], "b": members["v"][linked]}).astype("int64")
 
     return run
 
 
-def _verify_block(similar: float) -> Callable:
+def _verify_block(similar: float, plain: float | None) -> Callable:
     """Members of different components in one bucket (or two blocks of it) -> links that join components."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -216,10 +246,12 @@ def _verify_block(similar: float) -> Callable:
             for j in range(i + 1, len(rows)):
                 if left == 1:
                     break
-                if two and side[i] == side[j] or min(total[i], total[j]) < similar * max(total[i], total[j]):
+                if two and side[i] == side[j]:
+                    continue
+                if plain is None and min(total[i], total[j]) < similar * max(total[i], total[j]):
                     continue
                 a, b = root(component[i]), root(component[j])
-                if a != b and similarity(rows[i], rows[j]) >= similar:
+                if a != b and _alike(rows[i], rows[j], similar, plain):
                     parent[max(a, b)] = min(a, b)
                     left -= 1
                     links.append((v[i], v[j]))
@@ -228,15 +260,15 @@ def _verify_block(similar: float) -> Callable:
     return run
 
 
-def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similar: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similar: float = SIMILARITY, plain: float | None = None) -> DataFrame:
     """One row per document: ``id``, ``text_md5`` (binary), ``wordless``, ``class`` and ``class_id``.
 
-    ``class`` is NULL for wordless documents.
+    ``class`` is NULL for wordless documents. Without ``plain`` only the weights count.
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_column).alias("id"), F.unhex(F.md5(whole(text).cast("binary"))).alias("text_md5"), whole(text).alias("text"))
     sketch = spark.sparkContext.broadcast(Sketch.of(docs, text))
-    signed = settle(_with(rows, sketch, _bands, "bands array<bigint>"), "bands")
+    signed = settle(_with(rows, sketch, _bands if plain is None else _all_bands, "bands array<bigint>"), "bands")
     worded = signed.where(F.col("bands").isNotNull())
     firsts = worded.groupBy("text_md5").agg(F.min("id").alias("first_id"), F.first("bands").alias("bands"))
     vertices = settle(firsts.withColumn("v", F.monotonically_increasing_id()), "vertices")
@@ -261,7 +293,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simi
     own = weighed.toDF("l_leader", "l_found", "l_weights")
     leaders = dealt.select(F.col("leader").alias("l_leader"), F.col("salt").alias("l_salt")).distinct().join(own, "l_leader")
     links = leaders.groupBy("l_leader", "l_salt").cogroup(members.groupBy("leader", "salt")).applyInPandas(
-        _star_frames(similar), "a bigint, b bigint")
+        _star_frames(similar, plain), "a bigint, b bigint")
     links = settle(links, "links")
     parts = components(links)
 
@@ -277,7 +309,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simi
     rest = placed.join(mixed_up, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     rest = rest.select("v", "bucket", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rest = rest.select("v", "bucket", "component", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), F.col("own").alias("side"))
-    more = rest.join(weighed, "v").groupBy("bucket", "one", "two").applyInPandas(_verify_block(similar), "a bigint, b bigint")
+    more = rest.join(weighed, "v").groupBy("bucket", "one", "two").applyInPandas(_verify_block(similar, plain), "a bigint, b bigint")
     parts = components(settle(links.union(more), "all-links"))
 
     named = vertices.select("v", "text_md5").join(parts, "v", "left").select("text_md5", F.coalesce("component", "v").alias("class"))
