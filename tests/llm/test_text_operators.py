@@ -7,7 +7,6 @@ import itertools
 import random
 import zlib
 
-import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -85,8 +84,8 @@ def test_many_copies_do_not_part_each_other(spark):
     texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in chance.sample(range(100), 60)]
     texts += [" ".join(f"r{chance.randrange(50_000)}" for _ in range(100)) for _ in range(120)]
     assert len(set(plain.near_classes(list(range(180)), texts).values())) > 170
-    kept = corpus_pipeline.dedup(spark, documents(spark, texts), "")
-    assert sorted(r["doc_id"] for r in kept.collect()) == [0, *range(60, 180)]
+    got = {r["id"]: r["class_id"] for r in near_dup.classes(documents(spark, texts), plain=0.8).collect()}
+    assert sorted(set(got.values())) == [0, *range(60, 180)]
 
 
 def test_plain_links_come_on_top_of_weighted_ones(spark):
