@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    exact_topk, host_rules, language_id, mixing, near_dup, packing, secret_scan, sharding, token_files, url_filter,
+    chat_format, exact_topk, host_rules, language_id, lexical, mixing, near_dup, packing, secret_scan, sharding, token_files,
+    turn_repair, url_filter,
 )
 from tidemark.llm.common import table
 from tidemark.plans.registry import Entry
@@ -185,3 +186,59 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = host_rules.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_OP11_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    length(regexp_replace(replace(role, '\', '\\'), '<s>|</s>|<<SYS>>|<</SYS>>|<\|(?:turn|say|end|im_start|im_end|endoftext)\|>|\[/?INST\]', '\0+', 'g'))
+    + length(regexp_replace(replace(text, '\', '\\'), '<s>|</s>|<<SYS>>|<</SYS>>|<\|(?:turn|say|end|im_start|im_end|endoftext)\|>|\[/?INST\]', '\0+', 'g')) + 22 AS size
+  FROM r
+), s AS (
+  SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS size_until, i = max(i) OVER (PARTITION BY conv_id) AS final FROM e
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(coalesce(sum(size_until) FILTER (role = 'assistant' OR final), 0) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+
+@_query(_OP11_SQL)
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.read_back(chat_format.examples(chat_format.planted(table(spark, sf_dir, "conversations"))))
+
+
+_OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), c AS (SELECT count(*) AS docs, sum(len(t)) AS length FROM d WHERE len(t) > 0),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) AS x GROUP BY doc_id, n, term),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM p GROUP BY term) AS y, c),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN f USING (term), c GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0
+) AS r WHERE rank <= 20
+"""
+
+
+@_query(_OP12_SQL)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+@_query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")))
