@@ -28,16 +28,18 @@ class Feature(NamedTuple):
 
 SCORES = ["EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3"]
 _PRESENT = " + ".join(f"int({s} IS NOT NULL)" for s in SCORES)
-_DELINQUENT = "STATUS IN ('1', '2', '3', '4', '5')"
+DELINQUENT = "STATUS IN ('1', '2', '3', '4', '5')"
 # Newest month first, then the smallest bureau id; should one record have several rows for a month, a
 # delinquent one wins. Month (INT), id (BIGINT) and the delinquency bit fit one DECIMAL(38), whatever their
 # values, so the newest status is a plain maximum with a fixed-width buffer.
-_NEWEST = (
-    "max(CASE WHEN MONTHS_BALANCE IS NOT NULL AND SK_ID_BUREAU IS NOT NULL THEN "
+NEWEST_STATUS = (
+    "CASE WHEN MONTHS_BALANCE IS NOT NULL AND SK_ID_BUREAU IS NOT NULL THEN "
     "CAST(MONTHS_BALANCE AS DECIMAL(10,0)) * 100000000000000000000BD "
     "+ (9223372036854775807BD - CAST(SK_ID_BUREAU AS DECIMAL(19,0))) * 2BD "
-    f"+ CAST(int(coalesce({_DELINQUENT}, false)) AS DECIMAL(1,0)) END)"
+    f"+ CAST(int(coalesce({DELINQUENT}, false)) AS DECIMAL(1,0)) END"
 )
+# C and X count as level 0; any other text is no level.
+LEVEL = f"CASE WHEN STATUS IN ('0', 'C', 'X') THEN 0 WHEN {DELINQUENT} THEN int(STATUS) END"
 
 
 def _name(feature_id: str) -> str:
@@ -88,11 +90,9 @@ FEATURES = [
     _bureau("days_credit_mean", "avg(DAYS_CREDIT)"),
     _bureau("recent_12m_count", "double(count_if(DAYS_CREDIT BETWEEN -365 AND 0))"),
     _balance("month_count", "double(count(1))"),
-    _balance("delinquent_month_count", f"double(count_if({_DELINQUENT}))"),
-    # C and X count as level 0; any other text is no level.
-    _balance("max_delinquency_level", "double(max(CASE WHEN STATUS IN ('0', 'C', 'X') THEN 0 "
-             f"WHEN {_DELINQUENT} THEN int(STATUS) END))"),
-    _balance("latest_status_delinquent", f"double(pmod({_NEWEST}, 2BD))", "LATEST"),
+    _balance("delinquent_month_count", f"double(count_if({DELINQUENT}))"),
+    _balance("max_delinquency_level", f"double(max({LEVEL}))"),
+    _balance("latest_status_delinquent", f"double(pmod(max({NEWEST_STATUS}), 2BD))", "LATEST"),
 ]
 
 FEATURE_IDS = [f.feature_id for f in FEATURES]

@@ -31,6 +31,8 @@ from tidemark.operators.features import (
 from tidemark.operators.latest import first_value_per_key, latest_per_key, pit_join, top_rows
 from tidemark.operators.quality import as_of, set_diff
 from tidemark.operators.ranks import equal_count_bins
+from tidemark.operators.salted import salted_join
+from tidemark.operators.states import balance_features_as_of, bureau_features_as_of, finish, merge_states, partial_states
 from tidemark.operators.woe import apply_woe, check_training_closure, entropy, fit_mean_split, fit_woe, woe_summary
 from tidemark.plans import credit_sql as sql
 from tidemark.plans import credit_tables as credit
@@ -392,3 +394,73 @@ def rejected_source_rows(spark: SparkSession, folder: str) -> DataFrame:
     return rejects.select("source_table", F.explode("errors.field").alias("field")).groupBy("source_table", "field").agg(
         F.count(F.lit(1)).alias("rows")
     )
+
+
+# Two predictions per applicant: at the anchor of the offsets, and one to four years before it.
+_TIMES_SQL = """times AS (SELECT c_custkey AS curr, DATE '1999-01-01' AS day FROM customer
+    UNION ALL SELECT c_custkey, DATE '1997-12-31' - (c_custkey * 37 % 1000)::INT FROM customer)"""
+
+
+def _times(spark: SparkSession, folder: str) -> DataFrame:
+    key, anchor = F.col("c_custkey").alias("SK_ID_CURR"), F.expr("timestamp'1999-01-01T00:00:00Z'")
+    customer = credit.table(spark, folder, "customer")
+    early = shift_days(F.expr("timestamp'1997-12-31T00:00:00Z'"), -(F.col("c_custkey") * 37 % 1000))
+    return customer.select(key, anchor.alias("prediction_time")).unionByName(customer.select(key, early.alias("prediction_time")))
+
+
+def _as_of_sql(expressions: dict[str, str], view: str, known: str) -> str:
+    columns = ", ".join(f"CASE WHEN count(h.curr) > 0 THEN round(({e})::DOUBLE, 4) END AS {sql.short(f)}" for f, e in expressions.items())
+    return f"""SELECT t.curr AS "SK_ID_CURR", strftime(day, '%Y-%m-%d') AS predicted_on, {columns}
+  FROM times t LEFT JOIN (SELECT * FROM {view}) h ON h.curr = t.curr AND {known} GROUP BY t.curr, day"""
+
+
+def _predicted(df: DataFrame, source: str) -> DataFrame:
+    day = utc_text(F.col("prediction_time"), "yyyy-MM-dd").alias("predicted_on")
+    return df.select("SK_ID_CURR", day, *[F.round(f"`{f.feature_id}`", 4).alias(sql.short(f.feature_id)) for f in FEATURES if f.source == source])
+
+
+_BUREAU_AS_OF = {
+    **sql.BUREAU_SQL, "bureau.days_credit_mean": "avg(days - (day - DATE '1999-01-01'))",
+    "bureau.recent_12m_count": "count(*) FILTER (days - (day - DATE '1999-01-01') BETWEEN -365 AND 0)",
+}
+
+
+@query(f"""WITH {sql.BUREAU}, {_TIMES_SQL} {_as_of_sql(_BUREAU_AS_OF, 'bureau', "DATE '1999-01-01' + days::INT <= day")}""")
+def bureau_features_at_each_prediction(spark: SparkSession, folder: str) -> DataFrame:
+    """Each of an applicant's predictions sees the records known by then, counted from its own time."""
+    found = bureau_features_as_of(_times(spark, folder), credit.bureau(spark, folder), F.expr("timestamp'1999-01-01T00:00:00Z'"))
+    return _predicted(found, "bureau")
+
+
+@query(f"""WITH {sql.BALANCE}, {_TIMES_SQL}
+  {_as_of_sql(sql.BALANCE_SQL, 'balance', "months <= (year(day) - 1999) * 12 + month(day) - 1")}""")
+def balance_features_at_each_prediction(spark: SparkSession, folder: str) -> DataFrame:
+    found = balance_features_as_of(_times(spark, folder), credit.balance(spark, folder), F.expr("timestamp'1999-01-01T00:00:00Z'"))
+    return _predicted(found, "bureau_balance")
+
+
+def _in_two_snapshots(spark: SparkSession, rows: DataFrame, source: str, late) -> DataFrame:
+    """The features of all rows from the states of an old snapshot and of what came with the next one."""
+    old = settle(partial_states(rows.where(~late), source), "old-states")
+    delta = settle(partial_states(rows.where(late), source), "delta-states")
+    return finish(merge_states(old, delta, source), source)
+
+
+@query(f"WITH {sql.BUREAU}, {sql.BUREAU_FEATURES} {_wide_sql('bureau_f', sql.BUREAU_SQL)}")
+def bureau_features_in_two_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    rows = credit.bureau(spark, folder)
+    return _short(_in_two_snapshots(spark, rows, "bureau", F.col("SK_ID_BUREAU") % 5 == 0), "bureau")
+
+
+@query(f"WITH {sql.BALANCE}, {sql.BALANCE_FEATURES} {_wide_sql('balance_f', sql.BALANCE_SQL)}")
+def balance_features_in_two_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    rows = credit.balance(spark, folder)
+    return _short(_in_two_snapshots(spark, rows, "bureau_balance", F.col("MONTHS_BALANCE") >= -6), "bureau_balance")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, o_custkey, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def lines_with_orders_salted(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines joined with their orders; an order that holds more than a ten-thousandth of all lines is split."""
+    lines = credit.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    orders = credit.table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderpriority")
+    return salted_join(lines, orders, ["l_orderkey"], share=1e-4)
