@@ -268,16 +268,3 @@ def test_search_of_nothing(spark):
     some, items = spark.createDataFrame([(1, "a b")], schema), spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert lexical.search(lexical.build(spark.createDataFrame([], schema)), items).count() == 0
     assert lexical.search(lexical.build(some), items.where("false")).count() == 0
-
-
-@pytest.mark.parametrize("name", ["op11_chat_formatting", "op12_lexical_search"])
-def test_query_is_its_sql(spark, name):
-    import duckdb
-
-    db = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
-        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
-    entry = queries.ENTRIES[name]
-    df, want = entry.run(spark, SMALL), db.sql(entry.sql)
-    assert df.columns == want.columns
-    assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())

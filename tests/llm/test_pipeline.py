@@ -112,7 +112,7 @@ def test_query(spark, name):
     if entry.sql is None:
         return
     db = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "benchmark", "conversations"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{os.path.join(SMALL, table)}.parquet'")
     result = db.sql(f"SELECT {', '.join(df.columns)} FROM ({entry.sql})")
     assert sorted(map(repr, got)) == sorted(map(repr, result.fetchall()))

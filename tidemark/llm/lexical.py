@@ -35,10 +35,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import whole
-from tidemark.session import settle
+from tidemark.session import broadcast_if_small, settle
 
 TOP = 20
-BLOCK_DOCS, BLOCK_POSTINGS = 8192, 1 << 20
+BLOCK_DOCS, BLOCK_POSTINGS = 8192, 1 << 19
 #: Blocks that an item visits in the first round, how many times more in each later one, and items that are scored together.
 VISITS, WIDER, ITEMS = 16, 16, 256
 #: Query terms that are sent to all tasks; with more the join on terms shuffles.
@@ -76,10 +76,10 @@ def _forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Block:
-    """Documents of one stratum until they become a block."""
+    """Documents of one share of a stratum until they become a block."""
 
-    def __init__(self, m: int) -> None:
-        self.m, self.ids, self.terms, self.tfs, self.postings = m, [], [], [], 0
+    def __init__(self, m: int, share: int) -> None:
+        self.m, self.share, self.ids, self.terms, self.tfs, self.postings = m, [], [], [], 0
 
     def add(self, doc_id: int | None, words: str, tfs: bytes) -> None:
         self.ids.append(doc_id)
@@ -122,12 +122,11 @@ def _blocks(block_docs: int, block_postings: int):
                 ["block", "m", "ids", "term", "tf", "docs", "n"])
 
         for batch in batches:
-            columns = [batch.column(i) for i in range(4)]
-            for m, doc_id, words, tfs in zip(*(c.to_pylist() for c in columns)):
-                if now is not None and (now.m != m or len(now.ids) == block_docs or now.postings >= block_postings):
+            for m, share, doc_id, words, tfs in zip(*(c.to_pylist() for c in batch.columns)):
+                if now is not None and ((now.m, now.share) != (m, share) or len(now.ids) == block_docs or now.postings >= block_postings):
                     yield flush()
                     now = None
-                now = now or _Block(m)
+                now = now or _Block(m, share)
                 now.add(doc_id, words, tfs)
         if now is not None:
             yield flush()
@@ -144,8 +143,12 @@ def build(docs: DataFrame, id_column: str = "doc_id", text: str = "text", block_
     forward = settle(made.withColumn("_row", F.monotonically_increasing_id()), "terms")
     size = forward.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("length")).first()
     m = F.lit(75) + F.expr(f"(25 * n * {size.docs}L) div {max(size.length, 1)}L")
-    # Rows of one stratum may span partitions, equal rows too.
-    ordered = forward.select(m.alias("m"), "id", "terms", "tfs", "_row").repartitionByRange("m", "_row").sortWithinPartitions("m", "_row")
+    rows = forward.select(m.alias("m"), "id", "terms", "tfs", "held", "_row")
+    # A stratum is dealt over shares of about a block each, so a task's work follows what it holds, not its length.
+    shares = F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("held") / block_postings))
+    strata = broadcast_if_small(settle(rows.groupBy("m").agg(shares.alias("shares")), "strata"))
+    dealt = rows.join(strata, "m").select("m", F.pmod(F.xxhash64("_row"), F.col("shares")).alias("share"), "id", "terms", "tfs", "_row")
+    ordered = dealt.repartition("m", "share").sortWithinPartitions("m", "share", "_row")
     schema = "block bigint, m bigint, ids array<bigint>, term string, tf bigint, docs binary, n bigint"
     index = settle(ordered.drop("_row").mapInArrow(_blocks(block_docs, block_postings), schema), "lexical-index")
     return Index(

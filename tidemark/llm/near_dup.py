@@ -8,17 +8,18 @@ broadcast. The similarity of two texts is the weighted Jaccard measure of these
 in all rows of a band are candidates, and a pair is linked only if its similarity itself is high enough.
 
 Where a third of all documents are copies of one text, their common shingles weigh a quarter of an edit's,
-so that the weights part what is nearly equal. With ``plain`` a pair is also linked if the Jaccard measure of
+so that the weights part what is nearly equal. On request (``plain``) a pair is also linked if the Jaccard measure of
 its sets of shingles is that high, and each text gets as many bands again, of minimum hashes of its set.
 
 Texts that are equal stand for one vertex. Every vertex is first compared with the one leader that it
 shares most bands with. Where a bucket of a band then still holds more than one component, its members
 of different components are compared too, in blocks, so no candidate pair that matters is left out and
-none is written out; pairs inside a component need no comparison, for the classes are the components.
+none is written out; pairs inside a component need no comparison, for the classes are the components, and
+the blocks of a bucket's largest component are not put against each other.
 
 Defined results: a document without words (NULL or empty text too) is in a class of its own; a class is
 named by its smallest doc_id, NULL if none of its documents has one; repeated rows are equal texts; an
-empty table gives an empty result; columns that are not named stay unread.
+empty table gives an empty result; very long texts are read whole; columns that are not named stay unread.
 """
 
 from __future__ import annotations
@@ -275,7 +276,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simi
 
     entries = vertices.select("v", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.min("v").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = settle(entries.join(buckets, "bucket").select("v", "bucket", "leader", "n"), "shared")
+    shared = settle(entries.join(buckets, "bucket").select("v", "bucket", "leader"), "shared")
     led = shared.where("v <> leader").groupBy("v", "leader").agg(F.count(F.lit(1)).alias("bands"))
     star = led.groupBy("v").agg(F.max_by("leader", F.struct("bands", -F.col("leader"))).alias("leader"))
     star = settle(star, "star")
@@ -298,23 +299,40 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simi
     parts = components(links)
 
     # Buckets that still hold several components; the same members in another band are the same work.
-    placed = shared.join(parts, "v", "left").select("v", "bucket", "n", F.coalesce("component", "v").alias("component"))
-    mixed_up = placed.groupBy("bucket", "n").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min("v").alias("first"), F.max("v").alias("last"),
-        F.bit_xor(F.xxhash64("v")).alias("mark")).where("low < high")
+    placed = shared.join(parts, "v", "left").select("v", "bucket", F.coalesce("component", "v").alias("component"))
+    placed = settle(placed, "placed")
+    held = placed.groupBy("bucket", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("first"), F.max("v").alias("last"), F.bit_xor(F.xxhash64("v")).alias("mark"))
+    mixed_up = held.groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.max("n").alias("n_main"), F.max_by("component", F.struct("n", "component")).alias("main"),
+        F.min("first").alias("first"), F.max("last").alias("last"), F.bit_xor("mark").alias("mark")).where("n > n_main")
     tried = star.select(F.col("leader").alias("first"), F.col("v").alias("last"), F.lit(2).cast("long").alias("n"))
     mixed_up = mixed_up.join(tried, ["first", "last", "n"], "left_anti")
-    mixed_up = mixed_up.groupBy("n", "first", "last", "mark").agg(F.min("bucket").alias("bucket")).select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = placed.join(mixed_up, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    rest = rest.select("v", "bucket", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rest = rest.select("v", "bucket", "component", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), F.col("own").alias("side"))
+    mixed_up = settle(mixed_up.groupBy("n", "first", "last", "mark").agg(F.min(F.struct("bucket", "main", "n_main")).alias("b")).select("b.*", "n"), "mixed-up")
+    # The members of the largest component meet those outside it only, and these each other too. So a member is
+    # copied once for each block of those outside, and the few outside once for each block of the rest.
+    mains, others = F.ceil(F.col("n_main") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int")
+    rest = placed.join(mixed_up, "bucket").select(
+        "v", "bucket", "component", (F.col("component") == F.col("main")).alias("inside"), mains.alias("mains"), others.alias("others"))
+    rest = rest.withColumn("own", F.pmod(F.xxhash64("v"), F.when(F.col("inside"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    outer, own = F.sequence(F.lit(0), F.col("others") - 1), F.col("mains") + F.col("own")
+
+    def meets(one, two, side):
+        return F.struct(one.alias("one"), two.alias("two"), side.cast("int").alias("side"))
+
+    with_outer = F.transform(outer, lambda j: meets(F.col("own"), F.col("mains") + j, F.lit(0)))
+    with_main = F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: meets(i, own, F.lit(1)))
+    with_each = F.transform(outer, lambda j: meets(F.col("mains") + F.least("own", j), F.col("mains") + F.greatest("own", j), F.col("own")))
+    rest = rest.select("v", "bucket", "component", F.inline(F.when(F.col("inside"), with_outer).otherwise(F.concat(with_main, with_each))))
     more = rest.join(weighed, "v").groupBy("bucket", "one", "two").applyInPandas(_verify_block(similar, plain), "a bigint, b bigint")
     parts = components(settle(links.union(more), "all-links"))
 
-    named = vertices.select("v", "text_md5").join(parts, "v", "left").select("text_md5", F.coalesce("component", "v").alias("class"))
+    # A class is named from its distinct texts. Both sides of each join are written tables, so a class or a text that
+    # many rows share can be split.
+    named = vertices.select("v", "text_md5", "first_id").join(parts, "v", "left").select("text_md5", "first_id", F.coalesce("component", "v").alias("class"))
+    named = settle(named, "named")
+    ids = settle(named.groupBy("class").agg(F.min("first_id").alias("class_id")), "class-ids")
+    named = settle(named.join(ids, "class").select("text_md5", "class", "class_id"), "classes")
     marked = signed.select("id", "text_md5", F.col("bands").isNull().alias("wordless"))
-    marked = settle(marked.join(named, "text_md5", "left"), "classes")
-    ids = marked.where(~F.col("wordless")).groupBy("class").agg(F.min("id").alias("class_id"))
-    return marked.join(ids, "class", "left").select(
+    return marked.join(named, "text_md5", "left").select(
         "id", "text_md5", "wordless", "class", F.when(F.col("wordless"), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))

@@ -12,7 +12,7 @@ or after ``NODES`` steps.
 
 Defined results: a NULL text is empty, one piece of the end token; repeated rows are packed each; documents
 without an id are packed like others; an empty table gives an empty result; columns that are not named
-stay unread.
+stay unread; a very long text is many pieces.
 """
 
 from __future__ import annotations
@@ -301,7 +301,8 @@ def pack(
     plan = spark.createDataFrame(table, "p_length bigint, low bigint, high bigint, copies bigint, sequence bigint, at bigint")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select(F.col("part").alias("o_part"), F.col("length").alias("o_length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = rows.join(offsets, (F.col("part") == F.col("o_part")) & (F.col("length") == F.col("o_length")))
+    # A row per partition and length: no bound on its size, so it is not broadcast however small its files are.
+    ranked = rows.join(offsets.hint("merge"), (F.col("part") == F.col("o_part")) & (F.col("length") == F.col("o_length")))
     rank = F.col("before") + F.col("nth")
     placed = ranked.withColumn("rank", rank).join(
         F.broadcast(plan), (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))

@@ -132,7 +132,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_dup.classes(table(spark, sf_dir, "documents"), plain=near_dup.SIMILARITY)
+    """By weights alone, the same call as the pipeline's stage."""
+    found = near_dup.classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id")
 
 

@@ -13,7 +13,7 @@ the files. Where training is not possible (too few documents) it is empty.
 A file is written under a temporary name and then renamed, so a task that runs again leaves one file.
 
 Defined results: a NULL text is empty and holds the end id only; repeated rows are written each; an empty
-table gives no file and an empty result; columns that are not named stay unread.
+table gives no file and an empty result; a very long text is one frame; columns that are not named stay unread.
 """
 
 from __future__ import annotations
@@ -26,14 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import whole
 from tidemark.llm.tokens import encoder, public_path
+from tidemark.operators.ranks import running_sums
 from tidemark.session import scratch_folder, settle
+from tidemark.sources.files import locate
 
 MAGIC = b"IDFILE01"
 SAMPLE, SAMPLE_CHARS = 400, 20_000
@@ -106,7 +107,7 @@ class Reader:
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
-    where, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    where, path = locate(folder)
     where.create_dir(path, recursive=True)
     draft = f"{path}/_{uuid.uuid4().hex}"
     with where.open_output_stream(draft) as out:
@@ -170,11 +171,9 @@ def read(spark: SparkSession, folder: str, dictionary: bytes) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder).select("path", "content")
     rows = settle(files.mapInArrow(run, "file string, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint"), "read-back")
-    # One row per file: the files before it hold what its first document starts at.
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select(
-        F.col("file").alias("_file"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(totals, F.col("file") == F.col("_file")).select(
+    per_file = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("all", F.lit(0))
+    before = running_sums(per_file, ["all"], [F.col("file")], ["n"]).select(F.col("file").alias("_file"), F.col("below_n").alias("before"))
+    return rows.join(before, F.col("file") == F.col("_file")).select(
         "doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
