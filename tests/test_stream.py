@@ -4,6 +4,7 @@ import hashlib
 import json
 from datetime import timedelta
 
+import pytest
 from brute import features as brute_features
 from pyspark.sql import functions as F
 
@@ -64,49 +65,81 @@ def test_stream_in_batches_equals_the_definition(spark, tmp_path, credit_rows):
     # Even rows: the newest version comes first, odd rows: last. Some arrive twice.
     first = [r for i, r in enumerate(rows) if i % 2 == 0] + [r for i, r in enumerate(early) if i % 2]
     second = [r for i, r in enumerate(early) if i % 2 == 0] + [r for i, r in enumerate(rows) if i % 2] + rows[:20]
-    tables = state.StreamTables(str(tmp_path / "state"), shards=4)
-    for batch in (first, second):
+    tables = state.StreamTables(str(tmp_path / "state"))
+    for batch in (first, second, first):
         envelopes(spark, batch).coalesce(1).write.mode("append").parquet(source)
-        state.start_feature_stream(read_events(spark, source), tables).awaitTermination()
+        state.run_feature_stream(read_events(spark, source), tables)
     latest = state.latest_values(spark, tables)
     report = parity(want_rows(spark, want).where("feature_value is not null or feature_id like 'app.%'"),
                     latest.where("feature_value is not null or feature_id like 'app.%'"), [], 1e-7)
     assert all((r.different, r.missing, r.extra) == (0, 0, 0) for r in report.collect()), report.collect()
-    assert state._map(spark, tables, state.UPDATES)[0] == 1
+    updates = state.read_batches(spark, tables, "updates", state.UPDATE_COLUMNS)
+    assert {r.batch for r in updates.select("batch").distinct().collect()} == {0, 1}  # the third batch repeats ids only
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(state.latest_values(spark, state.compact_updates(spark, tables))) == key(latest)
 
-    before = sorted(latest.select("entity_id", "feature_id", "feature_value").collect(), key=repr)
-    state.process_batch(read_events(spark, source, stream=False), 1, tables)
-    assert sorted(state.latest_values(spark, tables).select("entity_id", "feature_id", "feature_value").collect(), key=repr) == before
 
-    _, versions = state._map(spark, tables, state.ROWS)
-    assert state._versions(spark, tables, state.ROWS, versions).count() == len(rows)
+def loan(pk, entity, time, **more):
+    return ("bureau_upsert", pk, entity, {"SK_ID_CURR": entity, "SK_ID_BUREAU": pk, "DAYS_CREDIT": -1} | more, time)
 
 
-def test_a_batch_reads_no_history(spark, tmp_path):
-    """The same keys are written again and again: what is stored and read stays as it is."""
-    tables = state.StreamTables(str(tmp_path / "state"), shards=2)
-    stored = []
-    for batch in range(6):
-        rows = [("bureau_upsert", pk, pk % 3, {"SK_ID_CURR": pk % 3, "SK_ID_BUREAU": pk, "DAYS_CREDIT": -1}, f"2024-01-0{batch + 1}T00:00:00Z") for pk in range(9)]
-        state.process_batch(envelopes(spark, rows), batch, tables)
-        stored.append((spark.read.parquet(tables.path("rows")).count(), len(state._children(spark, tables.path("rows-map")))))
-    assert stored[0][0] == 9 and stored[-3:] == [stored[-1]] * 3 and stored[-1] == (18, 2)
-    assert {r.event_time.day for r in state.latest_values(spark, tables).collect()} == {6}
+def test_a_batch_hands_on_the_entities_it_changes(spark, tmp_path, monkeypatch):
+    """What a batch works on does not grow with the other entities or with the batches before."""
+    handed, source = [], str(tmp_path / "topic")
+    work = state.process_touched
+    monkeypatch.setattr(state, "process_touched", lambda df, n, *args: (handed.append(df.count()), work(df, n, *args)))
+    tables = state.StreamTables(str(tmp_path / "state"))
+    batches = [[loan(pk, pk % 3, "2024-01-01T00:00:00Z") for pk in range(9)]]
+    batches += [[loan(0, 0, f"2024-01-0{day}T00:00:00Z")] for day in range(2, 5)] + [[loan(0, 0, "2024-01-04T00:00:00Z")]]
+    for rows in batches:
+        envelopes(spark, rows).coalesce(1).write.mode("append").parquet(source)
+        state.run_feature_stream(read_events(spark, source), tables)
+    # Three rows of entity 0 and the version that a new one replaces; a repeated event changes nothing.
+    assert handed == [9, 4, 4, 4, 0]
+    newest = state.latest_values(spark, tables).where("entity_id = 'SK_ID_CURR:0'").select("event_time").distinct().collect()
+    assert [r.event_time.day for r in newest] == [4]
 
 
 def test_topics_and_words(spark, tmp_path):
     """Dead letters and updates are sent once; a wider word list accepts what else is a dead letter."""
-    rows = [("bureau_upsert", 1, 7, {"SK_ID_CURR": 7, "SK_ID_BUREAU": 1, "CREDIT_ACTIVE": "Sold", "DAYS_CREDIT": -1}, "2024-01-01T00:00:00Z"),
-            ("bureau_upsert", 2, 8, {"SK_ID_CURR": 8, "SK_ID_BUREAU": 2, "DAYS_CREDIT": -1}, "2024-01-01T00:00:00Z")]
+    rows = [loan(1, 7, "2024-01-01T00:00:00Z", CREDIT_ACTIVE="Sold"), loan(2, 8, "2024-01-01T00:00:00Z")]
     for i, words in enumerate((TEXT_WORDS, {**TEXT_WORDS, "CREDIT_ACTIVE": ["Active", "Closed", "Sold"]})):
-        tables, outbox = state.StreamTables(str(tmp_path / f"s{i}"), shards=2), str(tmp_path / f"o{i}")
-        for _ in range(2):  # the second call is a replay
-            state.process_batch(envelopes(spark, rows).union(envelopes(spark, rows)), 0, tables, words=words, outbox=outbox)
-        sent = read_events(spark, outbox, stream=False).collect()
-        found = sorted(r.topic.split(".")[1] for r in sent)
+        source, outbox = str(tmp_path / f"in{i}"), str(tmp_path / f"out{i}")
+        envelopes(spark, rows + rows).write.parquet(source)
+        for _ in range(2):  # nothing new the second time
+            state.run_feature_stream(read_events(spark, source), state.StreamTables(str(tmp_path / f"s{i}")), words=words, outbox=outbox)
+        found = sorted(r.topic.split(".")[1] for r in read_events(spark, outbox, stream=False).collect())
         assert found == (["dlq"] * 2 + ["feature_updates"] * 8 if i == 0 else ["feature_updates"] * 16)
 
 
+def test_what_was_not_sent_is_sent_again(spark, tmp_path, monkeypatch):
+    """The first send of each topic fails; a restart delivers each letter and update, with the ids written before."""
+    source, outbox, tables = str(tmp_path / "in"), str(tmp_path / "out"), state.StreamTables(str(tmp_path / "s"))
+    envelopes(spark, [loan(1, 7, "2024-01-01T00:00:00Z", CREDIT_ACTIVE="Sold"), loan(2, 8, "2024-01-01T00:00:00Z")]).write.parquet(source)
+    send, failed = state.write_updates, set()
+
+    def once_down(df, location, topic, fmt="parquet"):
+        if topic not in failed:
+            failed.add(topic)
+            raise OSError("the broker is away")
+        send(df, location, topic, fmt)
+
+    monkeypatch.setattr(state, "write_updates", once_down)
+    ids = None
+    for attempt in range(3):
+        if attempt < 2:
+            with pytest.raises(Exception, match="the broker is away"):
+                state.run_feature_stream(read_events(spark, source), tables, outbox=outbox)
+        else:
+            state.run_feature_stream(read_events(spark, source), tables, outbox=outbox)
+        written = {r.feature_update_id for r in state.latest_values(spark, tables).collect()}
+        assert len(written) == 8 and ids in (None, written)
+        ids = written
+    sent = read_events(spark, outbox, stream=False).select("topic", F.from_json("value", "feature_update_id string, code string").alias("m")).collect()
+    assert {r.m.feature_update_id for r in sent if r.topic.endswith("feature_updates.v1")} == ids and len(sent) == 9
+    assert [r.m.code for r in sent if r.topic.endswith("dlq.v1")] == ["contract"]
+
+
 def test_ids_escape_what_is_not_ascii(spark):
     """Ids by the rule in plain Python: compact JSON with ASCII escapes, hashed."""
     cases = [("bureau_upsert", "é𝒳1", {"SK_ID_BUREAU": 1, "SK_ID_CURR": 7}), ("bureau_upsert", "2", {"AMT_CREDIT_SUM": 5, "CREDIT_ACTIVE": "ü", "SK_ID_CURR": 7}),
@@ -134,17 +167,24 @@ def test_dead_letters(spark):
 
 
 def test_late_rows_and_boundary(spark, tmp_path):
-    tables = state.StreamTables(str(tmp_path / "state"), shards=2)
-    loan = lambda pk, entity, time: ("bureau_upsert", pk, entity, {"SK_ID_CURR": entity, "SK_ID_BUREAU": pk, "DAYS_CREDIT": -1}, time)
+    """The watermark outlives a restart; late rows within the lateness give old and new values, with their predictions."""
+    source, tables = str(tmp_path / "in"), state.StreamTables(str(tmp_path / "state"))
     points = spark.sql("select 'SK_ID_CURR:2' as entity_id, timestamp'2024-01-01T12:00:00Z' as prediction_time")
-    lateness = timedelta(hours=2)
-    state.process_batch(envelopes(spark, [loan(1, 1, "2024-01-02T00:00:00Z"), loan(2, 2, "2024-01-01T11:00:00Z")]), 0, tables, points, lateness=lateness)
-    late = [loan(3, 1, "2024-01-01T23:57:00Z"), loan(4, 1, "2024-01-01T23:00:00Z"), loan(5, 1, "2024-01-01T20:00:00Z"), loan(6, 2, "2024-01-02T01:00:00Z")]
-    state.process_batch(envelopes(spark, late), 1, tables, points, lateness=lateness)
-    read = lambda name: {r.source_pk for r in spark.read.parquet(tables.path(name)).where("batch = 1").collect()}
-    assert (read("corrections"), read("late_dead_letters"), read("violations")) == ({"4"}, {"5"}, {"6"})
+    batches = [[loan(1, 1, "2024-01-02T00:00:00Z", AMT_CREDIT_SUM=5.0), loan(2, 2, "2024-01-01T11:00:00Z")],
+               [loan(3, 1, "2024-01-01T23:57:00Z"), loan(6, 2, "2024-01-02T01:00:00Z")],
+               [loan(4, 1, "2024-01-01T23:00:00Z", AMT_CREDIT_SUM=2.0), loan(5, 1, "2024-01-01T20:00:00Z")]]
+    for rows in batches:
+        envelopes(spark, rows).write.mode("append").parquet(source)
+        state.run_feature_stream(read_events(spark, source), tables, points=points, lateness=timedelta(hours=2))
+    read = lambda name: {(r.source_pk, r.batch) for r in spark.read.parquet(tables.path(name)).collect()}
+    assert (read("late_dead_letters"), read("violations")) == ({("5", 2)}, {("6", 1)})
     counts = state.latest_values(spark, tables).where("feature_id = 'bureau.record_count'").collect()
     assert {r.entity_id: r.feature_value for r in counts} == {"SK_ID_CURR:1": 3.0, "SK_ID_CURR:2": 1.0}
+    predictions = spark.sql("select 'p' || i as prediction_id, 'SK_ID_CURR:1' as entity_id, timestamp'2024-01-01T22:30:00Z' + make_dt_interval(0, i) as prediction_time from range(3) as t(i)")
+    found = state.corrected_predictions(spark, tables, predictions).collect()
+    assert {(r.feature_id.split(".")[1], r.old_value, r.new_value, r.batch) for r in found} == {
+        ("record_count", 2.0, 3.0, 2), ("recent_12m_count", 2.0, 3.0, 2), ("credit_sum_total", 5.0, 7.0, 2)}
+    assert {r.prediction_id for r in found} == {"p1", "p2"}
 
 
 def test_parity_states(spark):

@@ -19,7 +19,10 @@ from tidemark.session import scratch_folder
 from tidemark.settings import DOCUMENT_FLAGS
 from tidemark.sources.topics import as_messages, read_events, topics
 from tidemark.streaming.flow import boundary_gate, dedupe, feature_updates, parity, route_late, windowed, with_event_time
-from tidemark.streaming.state import StreamTables, latest_values, start_feature_stream, upsert_latest
+from tidemark.streaming.state import (
+    StreamTables, compact_updates, corrected_predictions, dead_letters, latest_values, run_feature_stream, start_features, start_intake,
+    upsert_latest,
+)
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,11 +126,22 @@ def _payload_as_json(df: DataFrame) -> DataFrame:
     return df.withColumns(times)
 
 
-def run_features(spark: SparkSession, folder: str) -> StreamTables:
+#: Micro-batches that the messages of a query are dealt over, at least.
+BATCHES = 6
+
+
+def _intake(spark: SparkSession, folder: str) -> StreamTables:
     path = scratch_folder(spark, "stream")
-    messages(spark, folder).write.parquet(f"{path}/messages")
+    messages(spark, folder).repartition(2 * BATCHES).write.parquet(f"{path}/messages")
     tables = StreamTables(f"{path}/state")
-    start_feature_stream(read_events(spark, f"{path}/messages"), tables).awaitTermination()
+    start_intake(read_events(spark, f"{path}/messages"), tables).awaitTermination()
+    return tables
+
+
+def run_features(spark: SparkSession, folder: str) -> StreamTables:
+    tables = _intake(spark, folder)
+    accepted = [f for f in spark.read.parquet(tables.path("marked")).inputFiles() if "accepted=true" in f]
+    start_features(spark, tables, files=max(1, len(accepted) // BATCHES)).awaitTermination()
     return tables
 
 
@@ -177,13 +191,76 @@ def stream_batch_parity(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT 'contract' AS code, 'credit.bureau.v1' AS origin, 'payload' AS field, 'does not fit the event type' AS message,
     count(*) AS rows FROM orders WHERE o_orderstatus = 'P'""")
 def stream_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
-    tables = run_features(spark, folder)
-    dead = spark.read.parquet(tables.path("dead_letters"))
+    dead = dead_letters(spark, _intake(spark, folder))
     return dead.select("code", "origin", F.explode("errors").alias("e")).groupBy(
         "code", "origin", F.col("e.field").alias("field"), F.col("e.message").alias("message")
     ).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _records(spark: SparkSession, folder: str, days: Column) -> DataFrame:
+    """Records as messages of the time that ``days`` after the start of 2024 gives."""
+    loans = credit.bureau(spark, folder)
+    fields = ["SK_ID_CURR", "SK_ID_BUREAU", "DAYS_CREDIT", "CREDIT_ACTIVE", "AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_SUM_OVERDUE"]
+    rows = _envelope(loans, "bureau_upsert", "bureau", F.col("SK_ID_BUREAU"), F.to_json(F.struct(*fields)), days)
+    return as_messages(_payload_as_json(rows), topics()["bureau"].name).withColumn("SK_ID_BUREAU", F.get_json_object("value", "$.source_pk").cast("long"))
+
+
+def _parts_sql(name: str, parts: str) -> str:
+    columns = ", ".join(f"({e})::DOUBLE AS {sql.short(f)}" for f, e in sql.BUREAU_SQL.items())
+    names, values = (", ".join(t) for t in ([f"'{f}'" for f in sql.BUREAU_SQL], [sql.short(f) for f in sql.BUREAU_SQL]))
+    return f"""{name} AS (SELECT curr, unnest([{names}]) AS feature_id, unnest([{values}]) AS v FROM (
+      SELECT curr, {columns} FROM parts WHERE days <= 0 AND part IN ({parts}) GROUP BY curr))"""
+
+
+@query(f"""WITH {sql.BUREAU}, parts AS (SELECT *, CASE WHEN id % 4 <> 0 THEN 'first' WHEN id % 8 <> 0 THEN 'late' ELSE 'lost' END AS part
+    FROM bureau WHERE active <> 'Sold'), {_parts_sql('old', "'first'")}, {_parts_sql('new', "'first', 'late'")}
+  SELECT 'SK_ID_CURR:' || new.curr AS entity_id, feature_id, round(old.v, 4) AS old_value, round(new.v, 4) AS new_value, 'late-' || new.curr AS prediction_id
+  FROM new LEFT JOIN old USING (curr, feature_id) WHERE new.curr IN (SELECT curr FROM parts WHERE part = 'late')
+    AND old.v IS DISTINCT FROM new.v AND coalesce(abs(old.v - new.v) > greatest(1, abs(old.v)) * 1e-9, true)""")
+def stream_corrections(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter of the records comes after a restart: half of it late, half too late. What the late ones correct,
+    and the predictions that had used the old values: of an applicant's two, the one made after the late rows."""
+    path, key = scratch_folder(spark, "late"), F.col("SK_ID_BUREAU")
+    records = _records(spark, folder, F.when(key % 4 != 0, 19).when(key % 8 != 0, 7).otherwise(-200))
+    late = F.col("SK_ID_BUREAU") % 4 == 0
+    tables = StreamTables(f"{path}/state")
+    for part in (~late, late):
+        records.where(part).drop("SK_ID_BUREAU").write.mode("append").parquet(f"{path}/messages")
+        run_feature_stream(read_events(spark, f"{path}/messages"), tables, lateness=timedelta(days=30))
+    entity = F.concat(F.lit("SK_ID_CURR:"), F.col("c_custkey").cast("string")).alias("entity_id")
+    customer = credit.table(spark, folder, "customer")
+    predictions = [
+        customer.select(entity, F.concat(F.lit(name), F.col("c_custkey").cast("string")).alias("prediction_id"), F.expr(f"timestamp'{time}'").alias("prediction_time"))
+        for name, time in (("early-", "2024-01-02T00:00:00Z"), ("late-", "2024-01-25T00:00:00Z"))
+    ]
+    found = corrected_predictions(spark, tables, predictions[0].unionByName(predictions[1]))
+    return found.select("entity_id", "feature_id", F.round("old_value", 4).alias("old_value"), F.round("new_value", 4).alias("new_value"), "prediction_id")
+
+
+_COUNTED = ["bureau.record_count", "bureau.active_count", "bureau.closed_count", "bureau.recent_12m_count"]
+
+
+@query(f"""WITH {sql.BUREAU}, counted AS (SELECT curr, {sql._columns({f: sql.BUREAU_SQL[f] for f in _COUNTED})} FROM bureau WHERE days <= 0 AND active <> 'Sold' GROUP BY curr),
+    named AS (SELECT curr, unnest([{', '.join(f"'{f}'" for f in _COUNTED)}]) AS feature_id, unnest([{', '.join(map(sql.short, _COUNTED))}]) AS v
+      FROM (SELECT DISTINCT curr FROM bureau WHERE active <> 'Sold') LEFT JOIN counted USING (curr))
+  SELECT 'credit.feature_updates.v1' AS topic, feature_id AS detail, 1::BIGINT AS sent, 'sha256:' || sha256('["SK_ID_CURR:' || curr || '","' || feature_id
+    || '","1","2024-01-11T00:00:00+00:00","' || coalesce(v::BIGINT::VARCHAR, 'null') || '"]') AS id FROM named
+  UNION ALL SELECT 'credit.dlq.v1', 'contract', 2 * count(*), NULL FROM orders WHERE o_orderstatus = 'P' HAVING count(*) > 0""")
+def stream_outgoing_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """All messages come again after a restart: each update is sent once, each refused message has its letter."""
+    path = scratch_folder(spark, "outgoing")
+    records = _records(spark, folder, F.lit(10)).drop("SK_ID_BUREAU")
+    tables, outbox = StreamTables(f"{path}/state"), f"{path}/outbox"
+    for _ in range(2):
+        records.write.mode("append").parquet(f"{path}/messages")
+        run_feature_stream(read_events(spark, f"{path}/messages"), tables, outbox=outbox)
+    sent = read_events(spark, outbox, stream=False).select(
+        "topic", F.from_json("value", "feature_update_id string, feature_id string, code string").alias("m"))
+    of_interest = F.col("m.code").isNotNull() | F.col("m.feature_id").isin(_COUNTED)
+    return sent.where(of_interest).groupBy(
+        "topic", F.col("m.feature_update_id").alias("id"), F.coalesce("m.code", "m.feature_id").alias("detail")).agg(F.count(F.lit(1)).alias("sent"))
+
+
 @query("""SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN 'on_time' WHEN ts >= TIMESTAMP '2024-01-10' THEN 'correction'
     ELSE 'too_late' END AS route FROM events""")
 def late_routing(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,4 +303,4 @@ def latest_value_upsert(spark: SparkSession, folder: str) -> DataFrame:
     tables = StreamTables(scratch_folder(spark, "upsert"))
     for batch_id, rows in ((0, events), (1, second), (1, second)):
         upsert_latest(feature_updates(rows), batch_id, tables)
-    return latest_values(spark, tables).select("entity_id", "feature_id", "feature_value")
+    return latest_values(spark, compact_updates(spark, tables)).select("entity_id", "feature_id", "feature_value")

@@ -17,8 +17,8 @@ class Topic(NamedTuple):
 
 
 def topics(prefix: str = "credit") -> dict[str, Topic]:
-    """The five topics of a deployment: three sources, feature updates, dead letters."""
-    named = {k: Topic(f"{prefix}.{k}.v1") for k in ("application", "bureau", "bureau_balance", "dlq")}
+    """The topics of a deployment: three sources, feature updates, corrections, dead letters."""
+    named = {k: Topic(f"{prefix}.{k}.v1") for k in ("application", "bureau", "bureau_balance", "corrections", "dlq")}
     return named | {"feature_updates": Topic(f"{prefix}.feature_updates.v1", cleanup=("compact", "delete"))}
 
 

@@ -90,10 +90,20 @@ def boundary_gate(
     earliest prediction of their entity, since they would feed that one too. ``unknown`` says whether a
     row without a point passes. ``points`` is static.
     """
+    marked = past_boundary(df, points, available, keys, unknown, keep_time=True)
+    return marked.where("NOT blocked").drop("prediction_time", "blocked"), marked.where("blocked").drop("blocked")
+
+
+def past_boundary(
+    df: DataFrame, points: DataFrame, available: str = "event_time", keys: tuple[str, ...] = ("entity_id",), unknown: bool = True,
+    keep_time: bool = False,
+) -> DataFrame:
+    """Rows with ``blocked``: whether they were not known by the prediction they feed (see ``boundary_gate``)."""
     times = points.groupBy(*keys).agg(F.min("prediction_time").alias("prediction_time"))
     timed = df.join(broadcast_if_small(times), list(keys), "left")
     late = F.coalesce(F.col(available) > F.col("prediction_time"), F.lit(not unknown))
-    return timed.where(~late).drop("prediction_time"), timed.where(late)
+    marked = timed.withColumn("blocked", late)
+    return marked if keep_time else marked.drop("prediction_time")
 
 
 def feature_updates(features: DataFrame, version: int = 1) -> DataFrame:

@@ -1,20 +1,32 @@
-"""Feature state of a stream: the newest source rows and the newest feature values, by shard.
+"""Feature state of a stream: the newest source rows of every entity, in Spark's own state store.
 
-Both are tables of the newest row per key, dealt over shards by a hash of the entity. A micro-batch reads
-the shards that it touches, merges its rows into them and writes these shards anew; a map says which
-version of each shard holds. So a batch costs what its shards hold now, however long the stream has run.
-The map of a batch is written last: a batch without one did not happen and is done again, with the same
-result. Versions that neither the last map nor the one before it names are deleted.
+Two queries, each with its checkpoint. The first one parses and judges messages once and writes all of them,
+accepted or not. The second one reads what was accepted. It keeps the newest row per source key, grouped by
+entity; a micro-batch hands on the rows of the entities that it changed, and their features are computed
+with the batch definitions. So a batch costs what its entities hold, however long the stream has run.
+
+The watermark is the query's own, of the largest event time seen so far. State is told it, and late rows are
+not dropped before it: within ``lateness`` they are merged and what they change is a correction, beyond it they
+are letters of their own. An event that arrives again, in whatever batch, is not newer than the row that it
+gave, so it changes nothing and nothing is sent for it.
+
+What a batch gives is written under its number, then sent. A batch that fails, in a send as well, is done again
+by Spark from the same rows and the same state, so it is written over and sent with the same ids.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+import json
+from collections.abc import Iterable, Iterator
+from datetime import timedelta
+from functools import reduce
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.catalog import FEATURES
 from tidemark.operators.contracts import TEXT_WORDS
@@ -22,7 +34,7 @@ from tidemark.operators.features import run_specs, to_long
 from tidemark.session import settle
 from tidemark.settings import DOCUMENT_FLAGS, MANIFEST, STREAM_TABLES
 from tidemark.sources.topics import topics, write_updates
-from tidemark.streaming.flow import boundary_gate, dedupe, feature_updates, mark_messages, route_late, split_messages
+from tidemark.streaming.flow import WATERMARK_DELAY, feature_updates, mark_messages, past_boundary, split_messages
 
 PAYLOAD_SCHEMAS = {
     "application_train": T.StructType(
@@ -45,128 +57,105 @@ PAYLOAD_SCHEMAS = {
     ]),
 }
 
-ROW_COLUMNS = (
-    "source_pk string, entity_id string, event_id string, topic string, event_time timestamp, payload string, "
-    "source_table string"
-)
 UPDATE_COLUMNS = (
     "feature_update_id string, entity_id string, feature_id string, feature_value double, "
     "feature_version int, event_time timestamp, computed_at timestamp, source_event_id string, "
-    "source_topic string, computation_mode string, feature_catalog_version string, quality_status string, merged bigint"
+    "source_topic string, computation_mode string, feature_catalog_version string, quality_status string, batch bigint"
+)
+#: What the keyed state hands on: a source row, how it came, and whether it counted before the batch and counts now.
+TOUCHED_COLUMNS = (
+    "entity_id string, source_table string, source_pk string, event_id string, topic string, at bigint, payload string, "
+    "route string, was boolean, now boolean"
 )
+CORRECTION_COLUMNS = (
+    "entity_id string, feature_id string, old_value double, new_value double, late_event_id string, late_time timestamp, "
+    "feature_update_id string, batch bigint"
+)
+#: Rows that the state hands on at a time.
+_SLICE = 10_000
 
 
 class StreamTables(NamedTuple):
-    """Where a stream keeps its state, below one shared folder.
-
-    ``shards`` is fixed for the life of the state; take it from the number of entities, so that a shard
-    is a task's work. ``writers`` tasks may write one shard, so that a hot entity is split.
-    """
+    """Where a stream keeps its tables and checkpoints, below one shared folder."""
 
     root: str
-    shards: int = 16
-    writers: int = 4
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
 
-class NewestRows(NamedTuple):
-    """A table of the newest row per key."""
-
-    name: str
-    columns: str
-    keys: tuple[str, ...]
-    order: tuple[str, ...]
-    salt: str
-
-
-ROWS = NewestRows("rows", ROW_COLUMNS, ("source_table", "entity_id", "source_pk"), ("event_time", "event_id"), "source_pk")
-UPDATES = NewestRows("updates", UPDATE_COLUMNS, ("entity_id", "feature_id"), ("event_time", "merged"), "feature_id")
-_MAP = "shard int, version bigint, batch bigint"
-
-
-def _append_rows(rows: DataFrame, tables: StreamTables, name: str, batch_id: int) -> None:
+def _write_batch(rows: DataFrame, tables: StreamTables, name: str, batch_id: int) -> None:
+    """Write the rows of a micro-batch under its number; a batch that is done again replaces them."""
     (
         rows.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(tables.path(name))
     )
 
 
-def _read(spark: SparkSession, path: str, schema: str, parts: list[str] | None = None) -> DataFrame:
-    """Read a table of the stream; before the first write it is an empty folder."""
-    writer = spark.createDataFrame([], schema).write.mode("ignore")
-    (writer.partitionBy(*parts) if parts else writer).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def read_batches(spark: SparkSession, tables: StreamTables, name: str, schema: str) -> DataFrame:
+    """A table of the stream; before the first write it is an empty folder."""
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("batch").parquet(tables.path(name))
+    return spark.read.schema(schema).parquet(tables.path(name))
 
 
-def _children(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(name, path) of what lies directly in a folder, on whatever file system it is."""
-    jvm, target = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(target):
-        return []
-    return [(s.getPath().getName(), s.getPath().toString()) for s in system.listStatus(jvm.org.apache.hadoop.fs.Path(path))]
+def start_intake(raw: DataFrame, tables: StreamTables, words: dict[str, list[str]] = TEXT_WORDS, **trigger):
+    """Parse and judge a stream of messages, each once, into the table ``marked``."""
+    marked = mark_messages(raw, words).withColumn("accepted", F.size("errors") == 0)
+    return marked.writeStream.option("checkpointLocation", tables.path("intake-checkpoint")).partitionBy("accepted").trigger(
+        **(trigger or {"availableNow": True})).start(tables.path("marked"), format="parquet")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def _marked_schema(spark: SparkSession) -> T.StructType:
+    nothing = spark.createDataFrame([], "topic string, key string, value string")
+    return mark_messages(nothing).withColumn("accepted", F.lit(True)).schema
 
 
-def _map(spark: SparkSession, tables: StreamTables, table: NewestRows, before: int | None = None) -> tuple[int | None, dict[int, int]]:
-    """The newest map (of the batches before one): its batch, and the version of every shard."""
-    found = [int(n.split("=")[1]) for n, _ in _children(spark, tables.path(f"{table.name}-map")) if n.startswith("batch=")]
-    found = [b for b in found if before is None or b < before]
-    if not found:
-        return None, {}
-    rows = spark.read.schema("shard int, version bigint").parquet(tables.path(f"{table.name}-map/batch={max(found)}")).collect()
-    return max(found), {r.shard: r.version for r in rows}
+def dead_letters(spark: SparkSession, tables: StreamTables) -> DataFrame:
+    """What the intake refused, with code, errors, origin and payload."""
+    return split_messages(spark.read.schema(_marked_schema(spark)).parquet(tables.path("marked")).where("NOT accepted"))[1]
 
 
-def _versions(spark: SparkSession, tables: StreamTables, table: NewestRows, versions: dict[int, int]) -> DataFrame:
-    """The rows of the named shards, each in its version; only their folders are listed and read."""
-    schema = f"{table.columns}, shard int"
-    paths = [tables.path(f"{table.name}/version={v}/shard={s}") for s, v in versions.items()]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", tables.path(table.name)).parquet(*paths).drop("version")
-
-
-def newest(rows: DataFrame, table: NewestRows) -> DataFrame:
-    """Newest row per key; partial aggregation keeps one row per key and task."""
-    columns = [c for c in rows.columns if c not in table.keys]
-    return rows.groupBy(*table.keys).agg(F.max_by(F.struct(*columns), F.struct(*table.order)).alias("_row")).select(
-        *table.keys, "_row.*"
-    )
-
+def keep_newest(events: DataFrame, lateness: timedelta | None = None) -> DataFrame:
+    """A stream of events with a watermark on ``event_time`` -> the source rows of the entities that each batch changes.
 
-def merge(spark: SparkSession, rows: DataFrame, batch_id: int, tables: StreamTables, table: NewestRows) -> DataFrame:
-    """Merge a batch into the shards it touches; returns the newest rows of these shards."""
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("entity_id"), F.lit(tables.shards)).cast("int"))
-    sharded = settle(sharded, f"{table.name}-batch")
-    touched = [r.shard for r in sharded.select("shard").distinct().collect()]  # at most `shards` numbers
-    _, before = _map(spark, tables, table, batch_id)
-    old = _versions(spark, tables, table, {s: v for s, v in before.items() if s in touched})
-    merged = newest(old.unionByName(sharded.select(*old.columns)), table)
-    path = tables.path(f"{table.name}/version={batch_id}")
-    spread = F.pmod(F.xxhash64(table.salt), F.lit(tables.writers))
-    merged.repartition("shard", spread).write.mode("overwrite").partitionBy("shard").parquet(path)
-    after = before | dict.fromkeys(touched, batch_id)
-    spark.createDataFrame(sorted(after.items()), "shard int, version bigint").coalesce(1).write.mode("overwrite").parquet(
-        tables.path(f"{table.name}-map/batch={batch_id}"))
-    _forget(spark, tables, table, batch_id, set(after.values()) | set(before.values()))
-    return _versions(spark, tables, table, dict.fromkeys(touched, batch_id))
-
-
-def _forget(spark: SparkSession, tables: StreamTables, table: NewestRows, batch_id: int, used: set[int]) -> None:
-    """Delete versions that no map in use names, and maps before the last two."""
-    for name, path in _children(spark, tables.path(table.name)):
-        if name.startswith("version=") and int(name.split("=")[1]) not in used:
-            _delete(spark, path)
-    maps = sorted((int(n.split("=")[1]), p) for n, p in _children(spark, tables.path(f"{table.name}-map")) if n.startswith("batch="))
-    for _, path in [m for m in maps if m[0] <= batch_id][:-2]:
-        _delete(spark, path)
+    ``events`` has entity_id, source_table, source_pk, event_id, topic, event_time, payload and ``blocked`` (not to
+    be merged). The state of an entity is the newest row per table and key, by event time and id; its size is that
+    of the entity, so one entity should not hold more rows than fit a task.
+    """
+    allowed = None if lateness is None else lateness // timedelta(microseconds=1)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark, held = state.getCurrentWatermarkMs() * 1000, json.loads(state.get[0]) if state.exists else {}
+        before, routes, out = dict(held), {}, []
+        for frame in frames:
+            for table, pk, event, topic, at, payload, blocked in frame[_EVENT].itertuples(index=False, name=None):
+                if blocked or (allowed is not None and at < mark - allowed):
+                    out.append((key[0], table, pk, event, topic, at, payload, "violation" if blocked else "too_late", False, False))
+                    continue
+                name = json.dumps([table, pk])
+                if name not in held or (at, event) > tuple(held[name][:2]):
+                    held[name] = [at, event, topic, payload]
+                    routes[name] = "correction" if at < mark else "on_time"
+        if routes:
+            state.update((json.dumps(held),))
+            changed = {json.loads(n)[0] for n in routes}
+            for name, row in held.items():
+                table, pk = json.loads(name)
+                old = before.get(name)
+                if table not in changed:
+                    continue
+                out.append((key[0], table, pk, row[1], row[2], row[0], row[3], routes.get(name, "state"), old == row, True))
+                if old is not None and old != row:
+                    out.append((key[0], table, pk, old[1], old[2], old[0], old[3], "state", True, False))
+        for i in range(0, len(out), _SLICE):
+            yield pd.DataFrame(out[i : i + _SLICE], columns=_TOUCHED)
+
+    rows = events.select("entity_id", "source_table", "source_pk", "event_id", "topic", F.unix_micros("event_time").alias("at"), "payload", "blocked", "event_time")
+    return rows.groupBy("entity_id").applyInPandasWithState(run, TOUCHED_COLUMNS, "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+_EVENT = ["source_table", "source_pk", "event_id", "topic", "at", "payload", "blocked"]
+_TOUCHED = [c.split(" ")[0] for c in TOUCHED_COLUMNS.split(", ")]
 
 
 def _source_features(state: DataFrame, source: str) -> DataFrame:
@@ -193,89 +182,123 @@ def _source_features(state: DataFrame, source: str) -> DataFrame:
     return to_long(entities.join(keyed, "entity_id", "left"), ids, [f.feature_id for f in members])
 
 
-def recompute(state: DataFrame, touched: DataFrame) -> DataFrame:
-    """Features of the sources and entities that a batch touched, from their newest rows."""
-    own = state.join(touched, ["source_table", "entity_id"], "left_semi")
-    parts = [_source_features(own, source) for source in STREAM_TABLES.values()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def recompute(rows: DataFrame, sources: Iterable[str] = tuple(STREAM_TABLES.values())) -> DataFrame:
+    """Features of the sources and entities in ``rows``, from all their newest rows."""
+    return reduce(DataFrame.unionByName, [_source_features(rows, source) for source in sources])
 
 
-def upsert_features(batch: DataFrame, batch_id: int, tables: StreamTables) -> DataFrame | None:
-    """Merge a batch of valid envelopes, record the feature updates it causes, and return them.
+def corrections_of(rows: DataFrame, updates: DataFrame, sources: Iterable[str] = tuple(STREAM_TABLES.values()), tolerance: float = 1e-9) -> DataFrame:
+    """The values that late rows change: old and new value, the late event, and the update that asserts the new one.
 
-    Use as the body of ``foreachBatch``. Of an event that arrives twice in the batch one row is used; one
-    that arrived in an earlier batch is the newest row already or older, and changes nothing. A batch that
-    was completed before is skipped, and nothing is returned.
+    ``rows`` is what the state handed on. Values are compared for the entities and tables with a late row only;
+    sums may differ by ``tolerance`` relative to the value, for they depend on the order of rows.
+    """
+    late = rows.where("route = 'correction'").groupBy("source_table", "entity_id").agg(
+        F.min_by("event_id", F.struct("event_time", "event_id")).alias("late_event_id"), F.min("event_time").alias("late_time"))
+    was = recompute(rows.where("was").join(late, ["source_table", "entity_id"], "left_semi"), sources).select(
+        "entity_id", "feature_id", F.col("feature_value").alias("old_value"))
+    source_of = F.create_map(*[F.lit(x) for f in FEATURES for x in (f.feature_id, f.source)])
+    now = updates.withColumn("source_table", source_of[F.col("feature_id")]).join(late, ["source_table", "entity_id"])
+    old, new = F.col("old_value"), F.col("feature_value")
+    same = old.eqNullSafe(new) | F.coalesce(F.abs(old - new) <= F.greatest(F.lit(1.0), F.abs(old)) * tolerance, F.lit(False))
+    both = now.join(was, ["entity_id", "feature_id"], "left").where(~same)
+    return both.select("entity_id", "feature_id", "old_value", F.col("feature_value").alias("new_value"), "late_event_id", "late_time", "feature_update_id")
+
+
+def process_touched(
+    rows: DataFrame, batch_id: int, tables: StreamTables, outbox: str | None = None, fmt: str = "parquet", topic_prefix: str = "credit",
+) -> None:
+    """What one micro-batch changed: updates, corrections, violations, letters of rows that came too late."""
+    rows = settle(rows.withColumn("event_time", F.timestamp_micros("at")), "touched")  # read by every branch
+    kinds = rows.select("route", "source_table", "now").distinct().collect()  # five routes, three tables
+    routes, named = {k.route for k in kinds}, topics(topic_prefix)
+    for route, name in (("too_late", "late_dead_letters"), ("violation", "violations")):
+        if route in routes:
+            _write_batch(rows.where(F.col("route") == route).drop("was", "now", "at"), tables, name, batch_id)
+    sources = sorted({k.source_table for k in kinds if k.now})
+    if not sources:
+        return
+    updates = settle(feature_updates(recompute(rows.where("now"), sources)), "updates")
+    _write_batch(updates, tables, "updates", batch_id)
+    sent = [(updates, "feature_updates")]
+    if "correction" in routes:
+        late = sorted({k.source_table for k in kinds if k.route == "correction"})
+        corrections = settle(corrections_of(rows, updates, late), "corrections")
+        _write_batch(corrections, tables, "corrections", batch_id)
+        sent.append((corrections, "corrections"))
+    for messages, topic in sent if outbox else []:
+        write_updates(messages, outbox, named[topic].name, fmt)
+
+
+def start_features(
+    spark: SparkSession, tables: StreamTables, points: DataFrame | None = None, lateness: timedelta | None = None,
+    delay: str = WATERMARK_DELAY, files: int | None = None, outbox: str | None = None, fmt: str = "parquet", topic_prefix: str = "credit", **trigger,
+):
+    """Keep features up to date from what the intake accepted, at most ``files`` files of it per micro-batch.
+
+    Without ``lateness`` every time is accepted, without ``points`` there is no boundary.
     """
-    spark = batch.sparkSession
-    done, _ = _map(spark, tables, UPDATES)
-    if done is not None and done >= batch_id:
-        return None
-    columns = [c.split(" ")[0] for c in ROW_COLUMNS.split(", ")]
-    rows = settle(dedupe(batch.select(*columns)), "events")
-    state = merge(spark, rows, batch_id, tables, ROWS)
-    touched = rows.select("source_table", "entity_id").distinct()
-    updates = settle(feature_updates(recompute(state, touched)), "updates")
-    upsert_latest(updates, batch_id, tables)
-    return updates
+    reader = spark.readStream.schema(_marked_schema(spark))
+    accepted = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(tables.path("marked")).where("accepted")
+    accepted = past_boundary(accepted, points) if points is not None else accepted.withColumn("blocked", F.lit(False))
+    touched = keep_newest(accepted.withWatermark("event_time", delay), lateness)
+    return touched.writeStream.option("checkpointLocation", tables.path("features-checkpoint")).foreachBatch(
+        lambda df, batch_id: process_touched(df, batch_id, tables, outbox, fmt, topic_prefix)).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def start_letters(spark: SparkSession, tables: StreamTables, outbox: str, fmt: str = "parquet", topic_prefix: str = "credit", **trigger):
+    """Send what the intake refused to the topic of dead letters; a batch whose send fails is sent again."""
+    refused = spark.readStream.schema(_marked_schema(spark)).parquet(tables.path("marked")).where("NOT accepted")
+
+    def send(df: DataFrame, _: int) -> None:
+        letters = split_messages(df)[1].withColumn("entity_id", F.lit(None).cast("string"))
+        identity = F.sha2(F.concat_ws("\n", "origin", "payload"), 256)
+        write_updates(letters.withColumn("letter_id", F.concat(F.lit("sha256:"), identity)), outbox, topics(topic_prefix)["dlq"].name, fmt)
+
+    return refused.writeStream.option("checkpointLocation", tables.path("letters-checkpoint")).foreachBatch(send).trigger(
+        **(trigger or {"availableNow": True})).start()
+
+
+def run_feature_stream(raw: DataFrame, tables: StreamTables, words: dict[str, list[str]] = TEXT_WORDS, outbox: str | None = None, **options) -> None:
+    """All that is there now, through intake, features and letters."""
+    spark = raw.sparkSession
+    start_intake(raw, tables, words).awaitTermination()
+    start_features(spark, tables, outbox=outbox, **options).awaitTermination()
+    if outbox:
+        start_letters(spark, tables, outbox).awaitTermination()
 
 
 def upsert_latest(updates: DataFrame, batch_id: int, tables: StreamTables) -> None:
-    """Keep an update where its event time is the newest; of equal times that of the later batch stays."""
-    merge(updates.sparkSession, updates.withColumn("merged", F.lit(batch_id).cast("bigint")), batch_id, tables, UPDATES)
+    """Add a batch of updates; done again it replaces itself."""
+    _write_batch(updates, tables, "updates", batch_id)
 
 
 def latest_values(spark: SparkSession, tables: StreamTables) -> DataFrame:
-    """The newest value per entity and feature."""
-    _, versions = _map(spark, tables, UPDATES)
-    return _versions(spark, tables, UPDATES, versions).drop("shard", "merged")
+    """The newest update per entity and feature; of equal event times that of the later batch.
 
+    Partial aggregation keeps one row per key and task.
+    """
+    updates = read_batches(spark, tables, "updates", UPDATE_COLUMNS)
+    keys = ["entity_id", "feature_id"]
+    row = F.struct(*[c for c in updates.columns if c not in keys])
+    newest = updates.groupBy(*keys).agg(F.max_by(row, F.struct("event_time", "batch")).alias("_row"))
+    return newest.select(*keys, "_row.*").drop("batch")
 
-def _watermark(spark: SparkSession, tables: StreamTables, batch_id: int, delay: timedelta) -> datetime | None:
-    seen = _read(spark, tables.path("progress"), "newest timestamp, batch bigint", ["batch"]).where(F.col("batch") < batch_id)
-    newest_time = seen.agg(F.max("newest")).first()[0]
-    return newest_time - delay if newest_time else None
 
+def compact_updates(spark: SparkSession, tables: StreamTables) -> StreamTables:
+    """Only the newest update per entity and feature, as a new set of tables beside these, for those who read them."""
+    compacted = StreamTables(tables.path("compacted"))
+    _write_batch(latest_values(spark, tables), compacted, "updates", 0)
+    return compacted
 
-def process_batch(
-    raw: DataFrame, batch_id: int, tables: StreamTables, points: DataFrame | None = None,
-    delay: timedelta = timedelta(minutes=5), lateness: timedelta | None = None, words: dict[str, list[str]] = TEXT_WORDS,
-    outbox: str | None = None, fmt: str = "parquet",
-) -> None:
-    """One micro-batch: parse, dead letters, late rows, boundary, deduplication, features.
 
-    Without ``lateness`` every time is accepted, without ``points`` there is no boundary. Dead letters and
-    updates go to their topics at ``outbox``; a batch that fails after that sends them again, with the
-    same ids.
+def corrected_predictions(spark: SparkSession, tables: StreamTables, predictions: DataFrame) -> DataFrame:
+    """Corrections with the predictions that had used the old value, one row each; the predictions stay as they are.
+
+    ``predictions`` has prediction_id, entity_id and prediction_time. One made at or after the late row's time
+    would have seen that row; one made before does not depend on it.
     """
-    spark = raw.sparkSession
-    marked = settle(mark_messages(raw, words), "marked")  # one micro-batch, read by every branch
-    valid, dead = split_messages(marked)
-    _append_rows(dead, tables, "dead_letters", batch_id)
-    accepted = valid
-    if lateness is not None:
-        mark = _watermark(spark, tables, batch_id, delay)
-        on_time, corrections, too_late = route_late(valid, mark, lateness)
-        _append_rows(corrections, tables, "corrections", batch_id)
-        _append_rows(too_late, tables, "late_dead_letters", batch_id)
-        accepted = on_time.unionByName(corrections)
-        _append_rows(valid.agg(F.max("event_time").alias("newest")), tables, "progress", batch_id)
-    if points is not None:
-        accepted, violations = boundary_gate(accepted, points)
-        _append_rows(violations, tables, "violations", batch_id)
-    updates = upsert_features(accepted, batch_id, tables)
-    if outbox and updates is not None:
-        named = topics()
-        write_updates(dead.withColumn("entity_id", F.lit(None).cast("string")), outbox, named["dlq"].name, fmt)
-        write_updates(updates, outbox, named["feature_updates"].name, fmt)
-
-
-def start_feature_stream(raw: DataFrame, tables: StreamTables, points: DataFrame | None = None,
-                         lateness: timedelta | None = None, available_now: bool = True, **options):
-    """Run ``process_batch`` over a stream of messages, with its checkpoint next to the tables."""
-    writer = raw.writeStream.option("checkpointLocation", tables.path("checkpoint")).foreachBatch(
-        lambda df, batch_id: process_batch(df, batch_id, tables, points, lateness=lateness, **options)
-    )
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+    corrections = read_batches(spark, tables, "corrections", CORRECTION_COLUMNS)
+    made = predictions.select("prediction_id", F.col("entity_id").alias("_entity"), "prediction_time")
+    on = (F.col("entity_id") == F.col("_entity")) & (F.col("prediction_time") >= F.col("late_time"))
+    return corrections.join(made, on, "left").drop("_entity")
