@@ -44,15 +44,21 @@ DEPTH, WIDTH_BITS = 4, 18
 _CELLS, _PIECE = DEPTH << WIDTH_BITS, 1 << 14
 #: Members of a bucket that one task compares with each other or with another block.
 BLOCK = 256
+#: Members that one task compares with their leader.
+STAR = 64
 
 _rng = np.random.default_rng(20240807)
 _SEEDS = _rng.integers(1, 1 << 63, DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
 _TABLE_BITS = 16
-_R = _rng.gamma(2.0, 1.0, 1 << _TABLE_BITS)
-_LOG_C = np.log(_rng.gamma(2.0, 1.0, 1 << _TABLE_BITS))
-_BETA = _rng.random(1 << _TABLE_BITS)
+_R = _rng.gamma(2.0, 1.0, 1 << _TABLE_BITS).astype(np.float32)
+_LOG_C = np.log(_rng.gamma(2.0, 1.0, 1 << _TABLE_BITS)).astype(np.float32)
+_BETA = _rng.random(1 << _TABLE_BITS).astype(np.float32)
 _DRAWS = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_OVER_R = 1.0 / _R
+_OVER_R = 1 / _R
+#: Shingles that a signature looks at together, so that what it computes stays near the processor.
+_TOGETHER = 1 << 11
+#: Parts that the shingles of a text are summed in, for a bound of how alike two texts can be.
+_PARTS = 10
 _PLAIN_DRAWS = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -131,18 +137,25 @@ class Sketch:
 
 def signature(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The hash of each band of the text's weighted samples."""
-    log_w = np.log(weights.astype(np.float64))[:, None]
-    best = np.full(BANDS * ROWS, np.inf)
+    log_w, k = np.log(weights), np.arange(BANDS * ROWS)
+    best = np.full(BANDS * ROWS, np.inf, np.float32)
     sample = np.zeros(BANDS * ROWS, np.uint64)
-    for at in range(0, len(found), 1 << 13):
-        h, lw = found[at : at + (1 << 13), None], log_w[at : at + (1 << 13)]
-        draw = ((h * _DRAWS[None, :]) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
-        t = np.floor(lw * _OVER_R[draw] + _BETA[draw])
-        log_a = _LOG_C[draw] - _R[draw] * (t - _BETA[draw] + 1.0)
-        least = log_a.argmin(axis=0)
-        k = np.arange(BANDS * ROWS)
-        value, better = log_a[least, k], log_a[least, k] < best
-        pair = mixed(h[least, 0] + t[least, k].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for at in range(0, len(found), _TOGETHER):
+        h, lw = found[at : at + _TOGETHER], log_w[at : at + _TOGETHER]
+        draw = ((h[None, :] * _DRAWS[:, None]) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        offset = _BETA.take(draw)
+        t = lw * _OVER_R.take(draw)
+        t += offset
+        np.floor(t, out=t)
+        steps = t - offset
+        steps += 1
+        steps *= _R.take(draw)
+        log_a = _LOG_C.take(draw)
+        log_a -= steps
+        least = log_a.argmin(axis=1)
+        value = log_a[k, least]
+        better = value < best
+        pair = mixed(h[least] + t[k, least].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         sample[better], best[better] = pair[better], value[better]
     return _banded(sample, 1)
 
@@ -163,21 +176,36 @@ def _banded(sample: np.ndarray, first: int) -> np.ndarray:
     return band.astype(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two texts' sorted shingles and weights."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64)
-    high = a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64) - low
-    return low / high if high else 0.0
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], both: float | None = None) -> float:
+    """Weighted Jaccard similarity of two texts' sorted shingles and weights; ``both`` is the sum of all their weights."""
+    if both is None:
+        both = a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64)
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
+        return 0.0
+    at = np.searchsorted(b[0], a[0])
+    at[at == len(b[0])] = 0
+    hit = b[0][at] == a[0]
+    low = np.minimum(a[1][hit], b[1][at[hit]]).sum(dtype=np.float64)
+    return low / (both - low) if both > low else 0.0
+
+
+def _in_parts(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The weights of each text summed by the first bits of their shingles. Two texts share at most what the lesser sums say."""
+    parts = np.zeros((len(rows), 1 << _PARTS), np.float32)
+    for own, (found, weights) in zip(parts, rows):
+        own += np.bincount((found >> np.uint64(64 - _PARTS)).astype(np.int64), weights, 1 << _PARTS)
+    return parts
 
 
-def _alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similar: float, plain: float | None) -> bool:
+def _alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similar: float, plain: float | None, both: float | None = None) -> bool:
     """Whether two texts are linked, by their sets if ``plain`` is given, or by their weights."""
     if plain is not None and min(len(a[0]), len(b[0])) >= plain * max(len(a[0]), len(b[0])) - 1:
         both = len(np.intersect1d(a[0], b[0], assume_unique=True))
         if both / (len(a[0]) + len(b[0]) - both) >= plain:
             return True
-    return similarity(a, b) >= similar
+    return similarity(a, b, both) >= similar
 
 
 def _with(docs: DataFrame, sketch, make: Callable, schema: str) -> DataFrame:
@@ -231,8 +259,10 @@ def _verify_block(similar: float, plain: float | None) -> Callable:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["side", "v"]).reset_index(drop=True)
         rows = [_read(f, w) for f, w in zip(part["found"], part["weights"])]
-        total = [w.sum(dtype=np.float64) for _, w in rows]
-        parent = {c: c for c in part["component"]}
+        total = np.array([w.sum(dtype=np.float64) for _, w in rows])
+        component, v, side = part["component"].tolist(), part["v"].to_numpy(), part["side"].to_numpy()
+        before = part["component"].to_numpy()
+        parent = {c: c for c in component}
 
         def root(c: int) -> int:
             while parent[c] != c:
@@ -240,19 +270,21 @@ def _verify_block(similar: float, plain: float | None) -> Callable:
                 c = parent[c]
             return c
 
-        links, side, component, v = [], part["side"].to_numpy(), part["component"].to_numpy(), part["v"].to_numpy()
-        two = len(set(side)) > 1
-        left = len(parent)
+        parts = _in_parts(rows) if plain is None else None
+        links, left, two = [], len(parent), len(set(side)) > 1
         for i in range(len(rows)):
-            for j in range(i + 1, len(rows)):
-                if left == 1:
-                    break
-                if two and side[i] == side[j]:
-                    continue
-                if plain is None and min(total[i], total[j]) < similar * max(total[i], total[j]):
-                    continue
+            if left == 1:
+                break
+            later = np.arange(i + 1, len(rows))
+            later = later[(before[later] != before[i]) & ((side[later] != side[i]) | (not two))]
+            if plain is None:
+                # Of the others only those whose bound allows the similarity, with room for rounding.
+                later = later[np.minimum(total[i], total[later]) >= similar * np.maximum(total[i], total[later]) * 0.999]
+                most = np.minimum(parts[i], parts[later]).sum(axis=1, dtype=np.float64)
+                later = later[most >= similar * (total[i] + total[later] - most) * 0.999]
+            for j in later.tolist():
                 a, b = root(component[i]), root(component[j])
-                if a != b and _alike(rows[i], rows[j], similar, plain):
+                if a != b and _alike(rows[i], rows[j], similar, plain, total[i] + total[j]):
                     parent[max(a, b)] = min(a, b)
                     left -= 1
                     links.append((v[i], v[j]))
@@ -288,7 +320,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", simi
     weighed = settle(weighed.dropDuplicates(["v"]), "weighed")
 
     # A leader of many members would be one group: its members are dealt over groups of bounded size.
-    sizes = star.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("groups"))
+    sizes = star.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("groups"))
     dealt = settle(star.join(sizes, "leader").select("leader", "v", F.pmod(F.xxhash64("v"), F.col("groups")).alias("salt")), "dealt")
     members = dealt.join(weighed, "v").select("leader", "salt", "v", "found", "weights")
     own = weighed.toDF("l_leader", "l_found", "l_weights")
