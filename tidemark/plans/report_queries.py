@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import monitor
+from tidemark.operators import monitor, scorecard
 from tidemark.operators.catalog import feature_catalog
 from tidemark.plans import credit_sql as sql
 from tidemark.plans import credit_tables as credit
 from tidemark.plans.feature_queries import rounded, rules, values
 from tidemark.plans.registry import query
+from tidemark.session import scratch_folder, settle
 
 _APPLIED = f"WITH {sql.FITTED}, {sql.APPLIED}"
 _SCORED = f"""{_APPLIED}, scored AS (
@@ -98,6 +99,19 @@ def ks_inflation_by_split(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(monitor.ks_inflation(full, strict, ["split"]), ["ks_full", "ks_strict", "ks_inflation"])
 
 
+@query()
+def scorecard_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every prediction of the snapshot scored by a stored logistic model on weights, which the training split alone fitted."""
+    found, points, fitted = rules(spark, folder)
+    features = sorted(r.feature_id for r in fitted.select("feature_id").distinct().collect())  # those of the catalog that have rules
+    labelled = points.select("prediction_id", "split", "label")
+    wide = settle(scorecard.woe_wide(found, fitted, features).join(labelled, "prediction_id"), "weights")
+    path = scratch_folder(spark, "model")
+    scorecard.fit_scorecard(wide.where("split = 'train'"), features).write().save(path)
+    scored = scorecard.score_snapshot(wide, path, credit.SNAPSHOT)
+    return scored.select("prediction_id", "split", "label", F.round("score", 6).alias("score"), "snapshot_id")
+
+
 @query("""SELECT l_orderkey, count(*) AS rows, round(count(*) / (SELECT count(*) FROM lineitem), 9) AS share
   FROM lineitem GROUP BY l_orderkey ORDER BY rows DESC, l_orderkey LIMIT 20""")
 def heaviest_orders(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,6 +12,7 @@ from tidemark.operators import silver
 from tidemark.operators.bronze import stamp_bronze
 from tidemark.operators.fingerprint import fingerprint
 from tidemark.operators.quality import check_closure
+from tidemark.operators.snapshot_diff import snapshot_difference, store_snapshot
 from tidemark.plans import credit_sql as sql
 from tidemark.plans import credit_tables as credit
 from tidemark.plans import workflow
@@ -27,10 +28,12 @@ from tidemark.sources.raw_csv import (
     scan_raw_csv,
 )
 from tidemark.sources.tables import (
+    FAILURE_SCHEMA,
     RECEIPT_SCHEMA,
     append_commit,
     check_table_contract,
     ensure_table,
+    failure_row,
     latest_commit,
     published,
     read_snapshot,
@@ -260,6 +263,52 @@ def published_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     return readable.groupBy(F.col(MANIFEST).alias("manifest")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("""SELECT 'm1' AS manifest, count(*) AS rows FROM orders UNION ALL SELECT 'm3', count(*) FROM orders""")
+def published_after_reruns(spark: SparkSession, folder: str) -> DataFrame:
+    """Four snapshots of two tables: a rerun of the second one failed, of the fourth one table never came; the third
+    one failed first and completed later."""
+    target, receipts = scratch_folder(spark, "orders"), scratch_folder(spark, "receipts")
+    runs = [("m1", "a", "COMPLETE"), ("m1", "b", "COMPLETE"), ("m2", "a", "COMPLETE"), ("m2", "b", "COMPLETE"), ("m2", "b", "FAILED"),
+            ("m3", "a", "COMPLETE"), ("m3", "b", "FAILED"), ("m3", "b", "COMPLETE"), ("m4", "a", "COMPLETE"), ("m4", "b", "RUNNING")]
+    written = {m: write_snapshot(_snapshot(spark, folder, m, 1), target) for m in ("m1", "m2", "m3", "m4")}
+    for i, (manifest, table, status) in enumerate(runs):
+        receipt_row(spark, receipts, "silver", f"run-{i}", manifest, manifest, table, 0, written[manifest], status=status)
+    readable = published(spark.read.parquet(target), spark.read.schema(RECEIPT_SCHEMA).parquet(receipts), "silver")
+    return readable.groupBy(F.col(MANIFEST).alias("manifest")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("""SELECT 'bronze' AS stage, 'run-1' AS run_id, 'part' AS failed_table, 'orders,customer' AS completed_tables,
+    'part: ' || count(*) || ' rows' AS error FROM part
+  UNION ALL SELECT 'silver', 'run-2', NULL, '', 'orders: ' || count(*) || ' rows' FROM orders""")
+def stage_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """What failed stages leave behind: the tables that were done, the one that broke, and why."""
+    log = scratch_folder(spark, "failures")
+    for stage, run, done, table, failed in (("bronze", "run-1", ["orders", "customer"], "part", "part"), ("silver", "run-2", [], "orders", None)):
+        failure_row(spark, log, stage, run, done, failed, f"{table}: {credit.table(spark, folder, table).count()} rows")
+    return spark.read.schema(FAILURE_SCHEMA).parquet(log).select(
+        "stage", "run_id", "failed_table", F.array_join("completed_tables", ",").alias("completed_tables"), "error")
+
+
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_NEW_ORDERS = """SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 997 NOT IN (1, 2)
+  UNION ALL SELECT o_orderkey, o_totalprice + 1 FROM orders WHERE o_orderkey % 997 = 1
+  UNION ALL SELECT -o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 997 = 3"""
+
+
+@query(f"""SELECT o_orderkey, 'removed' AS change, count(*) AS rows FROM (SELECT o_orderkey, o_totalprice FROM orders EXCEPT ALL ({_NEW_ORDERS})) GROUP BY 1
+  UNION ALL SELECT o_orderkey, 'added', count(*) FROM (({_NEW_ORDERS}) EXCEPT ALL SELECT o_orderkey, o_totalprice FROM orders) GROUP BY 1""")
+def snapshot_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders against the same with some changed, removed and added rows, by descending two digest trees."""
+    orders, kind = credit.table(spark, folder, "orders").select(*_ORDER_COLUMNS), F.col("o_orderkey") % 997
+    changed = orders.where(kind != 2).withColumn("o_totalprice", F.when(kind == 1, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    new = changed.unionByName(orders.where(kind == 3).withColumn("o_orderkey", -F.col("o_orderkey")))
+    stored = [
+        store_snapshot(df.withColumn("_sha", row_hash(_ORDER_COLUMNS)), ["o_orderkey"], "_sha", scratch_folder(spark, name))
+        for df, name in ((orders, "old"), (new, "new"))
+    ]
+    return snapshot_difference(spark, stored[0], stored[1], ["o_orderkey"])
+
+
 @query("""SELECT l_returnflag, count(*) AS source_rows, count(*) FILTER (l_linestatus = 'O') AS written_rows,
     -count(*) FILTER (l_linestatus <> 'O') AS growth FROM lineitem GROUP BY l_returnflag""")
 def row_count_closure(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,11 @@ from tidemark.plans.registry import query
 from tidemark.session import scratch_folder
 from tidemark.settings import DOCUMENT_FLAGS
 from tidemark.sources.topics import as_messages, read_events, topics
-from tidemark.streaming.flow import boundary_gate, dedupe, feature_updates, parity, route_late, windowed, with_event_time
+from tidemark.streaming.audit import AuditListener, audit_rows, audited
+from tidemark.streaming.flow import (
+    boundary_gate, boundary_gate_between_streams, current_windows, dedupe, feature_updates, parity, route_late, upsert_windows, windowed,
+    with_event_time,
+)
 from tidemark.streaming.state import (
     StreamTables, compact_updates, corrected_predictions, dead_letters, latest_values, run_feature_stream, start_features, start_intake,
     upsert_latest,
@@ -91,6 +96,78 @@ def stream_session_windows(spark: SparkSession, folder: str) -> DataFrame:
     return _windows(spark, folder, "user_id", gap="6 hours")
 
 
+@query("""SELECT part + 1 AS batches, metric, value FROM (SELECT 3 AS part, count(*)::DOUBLE AS n, count(*) FILTER (value < 10)::DOUBLE AS small,
+    (count(*) - count(nullif(event_type, 'view')))::DOUBLE AS nulls FROM events),
+  LATERAL (SELECT unnest(['rows', 'null:event_type', 'null:value', 'breaks:small_value']) AS metric, unnest([n, nulls, 0, small]) AS value)""")
+def stream_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """NULLs, broken rules and row counts of each of four micro-batches, summed from the audit table. Views lose their type."""
+    path = scratch_folder(spark, "audit")
+    events = credit.table(spark, folder, "events").withColumn("event_type", F.nullif("event_type", F.lit("view")))
+    events.limit(0).write.parquet(f"{path}/events")
+    stream = audited(
+        spark.readStream.schema(events.schema).parquet(f"{path}/events"), "events", ["event_type", "value"], {"small_value": F.col("value") < 10})
+    listener = AuditListener(spark, f"{path}/log")
+    spark.streams.addListener(listener)
+    try:
+        for part in range(4):
+            events.where(F.pmod("event_id", F.lit(4)) == part).write.mode("append").parquet(f"{path}/events")
+            stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(
+                availableNow=True).start().awaitTermination()
+        rows = _heard(spark, f"{path}/log", 4)
+    finally:
+        spark.streams.removeListener(listener)
+    return rows.groupBy("metric").agg(F.countDistinct("batch").cast("int").alias("batches"), F.sum("value").alias("value"))
+
+
+def _heard(spark: SparkSession, path: str, batches: int, seconds: int = 60) -> DataFrame:
+    """The audit rows, once the listener, which hears of batches later than the query ends, has written all of them."""
+    until = time.monotonic() + seconds
+    while True:
+        rows = audit_rows(spark, path)
+        if rows.select("batch").distinct().count() >= batches or time.monotonic() > until:
+            return rows
+        time.sleep(0.2)
+
+
+def _open_windows(spark: SparkSession, folder: str, key: str, **frame: str) -> DataFrame:
+    """The same windows, open ones too, over four micro-batches in the order of time."""
+    path, sessions = scratch_folder(spark, "open-windows"), "gap" in frame
+    events = credit.table(spark, folder, "events").withColumn("event_time", F.col("ts").cast("timestamp"))
+    events.limit(0).write.parquet(f"{path}/events")
+    stream = with_event_time(spark.readStream.schema(events.schema).parquet(f"{path}/events"))
+    counted = windowed(stream, key, [F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total")], **frame)
+    for part in range(4):
+        events.where(F.floor((F.dayofmonth("event_time") - 1) / 8) == part).write.mode("append").parquet(f"{path}/events")
+        upsert_windows(counted, path, complete=sessions).awaitTermination()
+    return current_windows(spark, path, [key], complete=sessions).select(
+        utc_text(F.col("window_start"), SECONDS).alias("window_start"), utc_text(F.col("window_end"), SECONDS).alias("window_end"),
+        key, "rows", F.round("total", 2).alias("total"))
+
+
+@query("""SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+    event_type, count(*) AS rows, round(sum(value), 2) AS total
+  FROM (SELECT *, date_trunc('day', ts) AS s FROM events) GROUP BY s, event_type""")
+def stream_open_tumbling_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return _open_windows(spark, folder, "event_type", size="1 day")
+
+
+@query("""SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+    event_type, count(*) AS rows, round(sum(value), 2) AS total
+  FROM (SELECT *, unnest([date_trunc('day', ts + INTERVAL 12 HOUR) - INTERVAL 12 HOUR, date_trunc('day', ts)]) AS s FROM events)
+  GROUP BY s, event_type""")
+def stream_open_sliding_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return _open_windows(spark, folder, "event_type", size="1 day", slide="12 hours")
+
+
+@query("""SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+    strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, user_id, count(*) AS rows, round(sum(value), 2) AS total
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
+    SELECT *, (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 6 HOUR)::INT AS fresh FROM events))
+  GROUP BY user_id, coalesce(session, 0)""")
+def stream_open_session_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return _open_windows(spark, folder, "user_id", gap="6 hours")
+
+
 def _envelope(rows: DataFrame, kind: str, table: str, key: Column, payload: Column, days: Column) -> DataFrame:
     envelope = rows.select(
         F.lit(1).alias("schema_version"), F.lit(kind).alias("event_type"), F.lit(table).alias("source_table"),
@@ -285,6 +362,37 @@ def stream_boundary_gate(spark: SparkSession, folder: str) -> DataFrame:
     return passed.withColumn("violation", F.lit(False)).unionByName(violations.withColumn("violation", F.lit(True)))
 
 
+@query("""SELECT event_id, strftime(b.cut, '%Y-%m-%d %H:%M:%S') AS predicted_at, coalesce(ts > b.cut, false) AS violation FROM events LEFT JOIN (
+    SELECT o_custkey, TIMESTAMP '2024-01-01' + to_days((count(*) % 30)::INT) AS cut FROM orders GROUP BY o_custkey) b
+  ON o_custkey = user_id AND b.cut >= ts - INTERVAL 10 DAY AND b.cut <= ts + INTERVAL 10 DAY""")
+def stream_boundary_gate_between_streams(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions arrive as a stream, after the events that they judge; those further than ten days apart do not meet.
+
+    The last batch holds a far later row on both sides, which lets the watermarks pass and is left out.
+    """
+    path, start = scratch_folder(spark, "two-streams"), F.expr("timestamp'2024-01-01T00:00:00Z'")
+    points = credit.table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("entity_id")).agg(F.count(F.lit(1)).alias("n")).select(
+        "entity_id", shift_days(start, F.col("n") % 30).alias("prediction_time"))
+    events = credit.table(spark, folder, "events").select("event_id", F.col("user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("event_time"))
+    late = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("entity_id"), F.expr("timestamp'2030-01-01T00:00:00Z'").alias("event_time"))
+    last_point = late.select("entity_id", F.col("event_time").alias("prediction_time"))
+    last_point = last_point.select(*[F.col(c).cast(points.schema[c].dataType).alias(c) for c in points.columns])
+    last_event = late.select(*[F.col(c).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+    events.limit(0).write.parquet(f"{path}/events")
+    points.limit(0).write.parquet(f"{path}/points")
+    gated = boundary_gate_between_streams(
+        spark.readStream.schema(events.schema).parquet(f"{path}/events"), spark.readStream.schema(points.schema).parquet(f"{path}/points"), "10 days", "40 days")
+    # A restarted query knows the watermark of both sides together, so the last rows come on both sides at once.
+    last = {"events": last_event, "points": last_point}
+    for batch in ({"events": events}, {"points": points}, last, last):
+        for name, rows in batch.items():
+            rows.write.mode("append").parquet(f"{path}/{name}")
+        gated.writeStream.format("parquet").option("path", f"{path}/gated").option("checkpointLocation", f"{path}/checkpoint").trigger(
+            availableNow=True).start().awaitTermination()
+    return spark.read.schema(gated.schema).parquet(f"{path}/gated").where("event_id >= 0").select(
+        "event_id", utc_text(F.col("prediction_time"), SECONDS).alias("predicted_at"), "violation")
+
+
 @query("""SELECT 'SK_ID_CURR:' || user_id AS entity_id, event_type AS feature_id, arg_max(v, (ts, batch)) AS feature_value
   FROM (SELECT user_id, event_type, ts, value AS v, 0 AS batch FROM events
     UNION ALL SELECT user_id, event_type, ts - INTERVAL 1 DAY, value * 2, 1 FROM events WHERE value < 10

@@ -175,9 +175,14 @@ def require_complete(spark: SparkSession, log: str, stage: str, manifest_sha: st
         raise ContractError(f"{stage} is not COMPLETE for {sorted(open_tables)}")
 
 
-def published(df: DataFrame, receipts: DataFrame, stage: str, partition: str = MANIFEST) -> DataFrame:
-    """Rows of ``df`` whose snapshot has a COMPLETE receipt of ``stage``."""
-    complete = receipts.where((F.col("stage") == stage) & (F.col("status") == "COMPLETE")).select(
-        F.col("manifest_sha256").alias(partition)
-    ).distinct()
-    return df.join(complete, partition, "left_semi")
+def published(df: DataFrame, receipts: DataFrame, stage: str, partition: str = MANIFEST, table: str | None = None) -> DataFrame:
+    """Rows of ``df`` whose snapshot the stage has published: the newest receipt of each of its tables is COMPLETE.
+
+    A rerun that is running or failed takes the snapshot back until one completes. With ``table`` only the receipts of that
+    table count.
+    """
+    own = receipts.where(F.col("stage") == stage)
+    own = own.where(F.col("table") == table) if table else own
+    newest = own.groupBy("manifest_sha256", "table").agg(F.max_by("status", F.struct("created_at", "run_id")).alias("status"))
+    complete = newest.groupBy(F.col("manifest_sha256").alias(partition)).agg(F.every(F.col("status") == "COMPLETE").alias("complete"))
+    return df.join(complete.where("complete").select(partition), partition, "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import checks
@@ -65,6 +65,31 @@ def windowed(
     )
 
 
+def upsert_windows(aggregated: DataFrame, path: str, complete: bool = False, **trigger):
+    """Run windowed aggregates so that open windows are returned too, each time that they change.
+
+    Every micro-batch writes the windows it changed under its number (Spark has no such mode for sessions: with
+    ``complete`` a batch writes all windows). ``current_windows`` reads them; a batch that is done again replaces itself.
+    """
+    def put(rows: DataFrame, batch_id: int) -> None:
+        mode = rows.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+        mode.option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/windows")
+
+    writer = aggregated.writeStream.outputMode("complete" if complete else "update").foreachBatch(put)
+    return writer.option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def current_windows(spark: SparkSession, path: str, keys: list[str], complete: bool = False) -> DataFrame:
+    """The newest state of each window and key, closed or open."""
+    written = spark.read.parquet(f"{path}/windows")
+    if complete:
+        last = written.agg(F.max("batch").alias("batch"))
+        return written.join(F.broadcast(last), "batch", "left_semi").drop("batch")
+    keys = ["window_start", "window_end", *keys]
+    row = F.struct(*[c for c in written.columns if c not in keys])
+    return written.groupBy(*keys).agg(F.max_by(row, "batch").alias("_row")).select(*keys, "_row.*").drop("batch")
+
+
 def route_late(
     batch: DataFrame, watermark: datetime | None, lateness: timedelta
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -106,6 +131,23 @@ def past_boundary(
     return marked if keep_time else marked.drop("prediction_time")
 
 
+def boundary_gate_between_streams(
+    events: DataFrame, points: DataFrame, horizon: str, delay: str = WATERMARK_DELAY, key: str = "entity_id",
+) -> DataFrame:
+    """Events with ``prediction_time`` and ``violation``, where the predictions are a stream of their own.
+
+    An event meets the predictions of its entity within ``horizon`` of its time, on either side and whichever comes
+    first; there is one row for each. Both sides carry a watermark, so Spark drops an event or a prediction
+    from its state when no partner can come any more. An event without one passes when that is certain.
+    """
+    left = with_event_time(events, delay)
+    right = points.select(F.col(key).alias("_key"), "prediction_time").withWatermark("prediction_time", delay)
+    near = F.expr(
+        f"{key} = _key AND prediction_time >= event_time - interval {horizon} AND prediction_time <= event_time + interval {horizon}")
+    joined = left.join(right, near, "leftOuter").drop("_key")
+    return joined.withColumn("violation", F.coalesce(F.col("event_time") > F.col("prediction_time"), F.lit(False)))
+
+
 def feature_updates(features: DataFrame, version: int = 1) -> DataFrame:
     """Streamed feature values as updates.
 
