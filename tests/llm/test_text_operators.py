@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import itertools
+import math
 import random
 import zlib
 
@@ -380,7 +381,7 @@ def test_top_k_is_that_of_all_pairs(spark, monkeypatch):
     chance = np.random.default_rng(3)
     data = {i: chance.normal(0, 0.2, 16).astype(np.float32).tolist() for i in range(400)}
     data |= {i: data[7] for i in range(400, 460)}  # ties
-    rows = [(i, v, 1) for i, v in data.items()] + [(100, data[100], 2)]
+    rows = [(i, v, 1) for i, v in data.items()]
     bad = [(1000, None, 1), (1050, [1.0, None], 1), (1100, [float("nan")] * 16, 1), (1150, [float("inf")] * 16, 1), (None, data[1], 1), (1200, [], 1)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(1) for c in ("id", "block", "rank", "score")})
     got = {tuple(r) for r in exact_topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()}
@@ -395,14 +396,27 @@ def test_top_k_stops_before_the_end():
     chance = np.random.default_rng(5)
     rows = chance.integers(-5, 5, (2000, 32))
     rows[np.arange(2000), chance.integers(0, 32, 2000)] += chance.integers(100, 4000, 2000)
-    made = exact_topk._index(pd.DataFrame({"block": 0, "id": np.arange(2000), "vector": rows.tolist()})).iloc[0]
-    index = exact_topk.BlockIndex(*[made[c] for c in ("width", "ids", "rows", "segment", "least", "most")])
+    made = exact_topk._index(pd.DataFrame({"block": 0, "id": np.arange(2000), "times": 1, "vector": rows.tolist()})).iloc[0]
+    index = exact_topk.BlockIndex(*[made[c] for c in ("width", "ids", "times", "rows", "segment", "least", "most")])
     for q, possible in zip(range(0, 2000, 100), index.possible(rows[::100], 6)):
         scores = rows @ rows[q]
         assert possible[scores >= np.sort(scores)[-6]].all() and possible.sum() < 400
     assert index.possible(rows[:2] * (1 << 50), 6).all()  # beyond exact doubles everything is scored
 
 
+def test_every_repeated_row_is_a_candidate(spark):
+    chance = np.random.default_rng(6)
+    rows = [(i, chance.integers(-4, 4, 4).astype(float).tolist()) for i in range(101)]
+    rows += [rows[7]] * 2 + [rows[9]] * 3 + [rows[50]]
+    got = {tuple(r) for r in exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).collect()}
+    want = set()
+    for q in (0, 50, 100):
+        query = rows[q][1]
+        scored = sorted((-sum(math.floor(256 * x) * math.floor(256 * y) for x, y in zip(query, v)), i) for i, v in rows if i != q)
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])}
+    assert got == want
+
+
 def test_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(0, [1.0, -0.001]), (1, [0.5, 0.5]), (50, [2.0])], "vec_id long, embedding array<double>")
     assert {tuple(r) for r in exact_topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()} == {(0, 1, 1, 256 * 128 - 128)}

@@ -13,8 +13,8 @@ vector has one posting per dimension, so the postings of a block are kept as a t
 the bounds after a round are sums of what it looks up there.
 
 Defined results: vectors that are NULL or hold NULL or non-finite components, and rows without an id, take no
-part; equal ids with equal vectors count once, equal ids with different vectors are candidates each and one
-query, with the best rows of either; rows with the query's id are its own; only vectors of the query's dimension are candidates, and queries of no dimension have
+part; every row is a candidate, so rows equal in id and vector stand in the ranks as often as they occur; rows
+of one id ask as one query, with the best rows of either vector, and are its own; only vectors of the query's dimension are candidates, and queries of no dimension have
 none; sums are 64-bit; ties go to the smaller id; an empty table gives an empty result; columns that are
 not named stay unread.
 """
@@ -50,7 +50,7 @@ def integers(vector: Column, scale: int = 256) -> Column:
 
 
 def _packed(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    part = part.sort_values("id")
+    part = part.sort_values("id", kind="stable")
     return part["id"].to_numpy(np.int64), np.array(part["vector"].tolist(), np.int64)
 
 
@@ -65,7 +65,8 @@ def _index(part: pd.DataFrame) -> pd.DataFrame:
     np.minimum.at(least, (dims, segment), rows)
     np.maximum.at(most, (dims, segment), rows)
     return pd.DataFrame({
-        "block": [part["block"].iloc[0]], "width": [rows.shape[1]], "ids": [ids.tobytes()], "rows": [rows.tobytes()],
+        "block": [part["block"].iloc[0]], "width": [rows.shape[1]], "ids": [ids.tobytes()],
+        "times": [part.sort_values("id", kind="stable")["times"].to_numpy(np.int64).tobytes()], "rows": [rows.tobytes()],
         "segment": [segment.tobytes()], "least": [least.tobytes()], "most": [most.tobytes()],
     })
 
@@ -78,8 +79,8 @@ def _queries(part: pd.DataFrame) -> pd.DataFrame:
 class BlockIndex:
     """The index of one block, as a task sees it."""
 
-    def __init__(self, width: int, ids: bytes, rows: bytes, segment: bytes, least: bytes, most: bytes) -> None:
-        self.ids = np.frombuffer(ids, np.int64)
+    def __init__(self, width: int, ids: bytes, times: bytes, rows: bytes, segment: bytes, least: bytes, most: bytes) -> None:
+        self.ids, self.times = np.frombuffer(ids, np.int64), np.frombuffer(times, np.int64)
         self.rows = np.frombuffer(rows, np.int64).reshape(len(self.ids), width)
         self.segment = np.frombuffer(segment, np.uint8).reshape(len(self.ids), width)
         self.least, self.most = (np.frombuffer(x, np.int64).reshape(width, SEGMENTS) for x in (least, most))
@@ -113,27 +114,28 @@ class BlockIndex:
                 break
         return may
 
-    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the ids and scores of the best k, in order; rows with its own id do not count."""
+    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each query the ids, times and scores of the best k, in order; rows with its own id do not count."""
         own = np.searchsorted(self.ids, query_ids, "right") - np.searchsorted(self.ids, query_ids, "left")
         found = []
         for query_id, query, may in zip(query_ids, queries, self.possible(queries, k + int(own.max()))):
             rows = np.flatnonzero(may & (self.ids != query_id))
             scores = self.rows[rows] @ query
             first = np.lexsort((self.ids[rows], -scores))[:k]
-            found.append((self.ids[rows[first]], scores[first]))
+            found.append((self.ids[rows[first]], self.times[rows[first]], scores[first]))
         return found
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id and score: the best k candidates of every row where ``is_query`` holds."""
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), integers(F.col(vector), scale).alias("vector"), is_query.alias("asks"))
-    rows = settle(rows.where("id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0").distinct(), "vectors")
+    good = rows.where("id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0")
+    rows = settle(good.groupBy("id", "vector").agg(F.max("asks").alias("asks"), F.count(F.lit(1)).alias("times")), "vectors")
     blocks = max(1, -(-rows.count() // BLOCK))
     asking = max(1, -(-rows.where("asks").count() // QUERIES))
     width, near = F.size("vector").alias("width"), F.xxhash64("id", "vector")
-    index = rows.select("id", "vector", width, F.pmod(near, F.lit(blocks)).alias("block")).groupBy("block", "width").applyInPandas(
-        _index, "block bigint, width int, ids binary, rows binary, segment binary, least binary, most binary")
+    index = rows.select("id", "vector", "times", width, F.pmod(near, F.lit(blocks)).alias("block")).groupBy("block", "width").applyInPandas(
+        _index, "block bigint, width int, ids binary, times binary, rows binary, segment binary, least binary, most binary")
     asked = rows.where("asks").select("id", "vector", width, F.pmod(near, F.lit(asking)).alias("part")).groupBy("part", "width").applyInPandas(
         _queries, "width int, query_ids binary, query_rows binary")
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
@@ -143,18 +145,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id
         for batch in batches:
             for row in range(batch.num_rows):
                 r = {name: batch.column(i)[row].as_py() for i, name in enumerate(batch.schema.names)}
-                block = BlockIndex(*[r[c] for c in ("width", "ids", "rows", "segment", "least", "most")])
+                block = BlockIndex(*[r[c] for c in ("width", "ids", "times", "rows", "segment", "least", "most")])
                 asking_ids = np.frombuffer(r["query_ids"], np.int64)
                 asking_rows = np.frombuffer(r["query_rows"], np.int64).reshape(len(asking_ids), r["width"])
                 found = block.best(asking_ids, asking_rows, k)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(asking_ids, [len(i) for i, _ in found])), pa.array(np.concatenate([i for i, _ in found])),
-                        pa.array(np.concatenate([s for _, s in found])),
+                        pa.array(np.repeat(asking_ids, [len(f[0]) for f in found])),
+                        *[pa.array(np.concatenate([f[i] for f in found])) for i in range(3)],
                     ],
-                    ["query_id", "vec_id", "score"])
+                    ["query_id", "vec_id", "times", "score"])
 
-    # A query has at most k rows from each block.
-    hits = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    # A query has at most k rows from each block, of different vectors. Equal rows were indexed once.
+    hits = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, times bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+    hits = best.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k).cast("long")))))
     return hits.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
