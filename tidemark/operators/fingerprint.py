@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import settle
+
 # Rows per leaf the tree aims at, hex digits folded per level (16 ** 3 children) and levels. Fixed
 # values: they decide the digest. Four levels reach 16 ** 9 leaves.
 LEAF_LINES = 1024
@@ -27,9 +29,10 @@ def fingerprint(df: DataFrame, hash_column: str = "_raw_row_sha256") -> DataFram
     prefix, then prefixes are folded three digits at a time. The prefix length follows from the number
     of rows, so a leaf holds about a thousand lines at any scale. Counts travel up with the digests.
     """
-    leaves = F.greatest(F.count(F.lit(1)), F.lit(1)) / LEAF_LINES
-    depth = df.agg(F.greatest(F.lit(0), F.ceil(F.log(16.0, leaves) - 1e-9)).cast("int"))
-    parts = _counted(df, hash_column).withColumn("depth", depth.scalar()).select(
+    counted = settle(_counted(df, hash_column), "hashes")
+    leaves = F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1)) / LEAF_LINES
+    depth = counted.agg(F.greatest(F.lit(0), F.ceil(F.log(16.0, leaves) - 1e-9)).cast("int"))
+    parts = counted.withColumn("depth", depth.scalar()).select(
         F.expr("substring(h, 1, depth)").alias("prefix"), "depth",
         F.concat("h", F.lit(":"), F.col("n").cast("string"), F.lit("\n")).alias("part"),
         F.col("n").alias("rows"), F.lit(1).cast("bigint").alias("hashes"),

@@ -68,6 +68,15 @@ def batch_score(values: DataFrame, rules: DataFrame, features: list[str] | None
     )
 
 
+def batch_scores_by_view(values: DataFrame, rules: DataFrame, views: dict[str, list[str] | None]) -> DataFrame:
+    """prediction_id, view and score: several sets of features scored in one pass over the weights (None: all)."""
+    weighed = apply_woe(values, rules).where("woe is not null")
+    sums = [-F.sum(F.when(F.col("feature_id").isin(own), F.col("woe")) if own else F.col("woe")) for own in views.values()]
+    wide = weighed.groupBy("prediction_id").agg(*[s.alias(f"_{i}") for i, s in enumerate(sums)])
+    scores = F.array(*[F.struct(F.lit(view).alias("view"), F.col(f"_{i}").alias("score")) for i, view in enumerate(views)])
+    return wide.select("prediction_id", F.inline(scores)).where("score IS NOT NULL")
+
+
 def ks_auc_lift(scores: DataFrame, keys: list[str] | None = None, top: float = 0.1) -> DataFrame:
     """KS, AUC and lift of ``score`` against a 0/1 ``label``, per ``keys``. Exact, ties counted half.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.quality import split_rows
 from tidemark.operators.ranks import equal_count_bins
-from tidemark.session import broadcast_if_small
+from tidemark.session import broadcast_if_small, settle
 
 # Fixed values of the fit.
 MIN_VALUES = 8
@@ -29,7 +29,8 @@ def fit_woe(values: DataFrame, points: DataFrame, bins: int = 4, consistent_woe:
     takes its weight from smoothed counts, the others from distributions; ``consistent_woe`` uses
     distributions for all.
     """
-    binned = equal_count_bins(training_rows(values, points), ["feature_id"], "feature_value", "prediction_id", bins)
+    rows = settle(training_rows(values, points), "training")  # ordering reads its input twice
+    binned = equal_count_bins(rows, ["feature_id"], "feature_value", "prediction_id", bins)
     counted = binned.groupBy("feature_id", F.coalesce("bin", F.lit(MISSING_BIN)).alias("bin")).agg(
         F.min("feature_value").alias("lower"), F.max("feature_value").alias("upper"),
         F.count_if(F.col("label") == 0).alias("good"), F.count_if(F.col("label") == 1).alias("bad"),

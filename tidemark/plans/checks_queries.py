@@ -315,8 +315,11 @@ def application_payload_errors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def balance_envelopes(spark: SparkSession, folder: str) -> DataFrame:
-    """One envelope per order line, with a right id; times differ by line so that keys are updated."""
-    rows = credit.balance(spark, folder).where("SK_ID_CURR is not null").select(
+    """One envelope per order line, with a right id; times differ by line so that keys are updated.
+
+    A line without an applicant has an envelope too, which breaks the rules on entity and payload.
+    """
+    rows = credit.balance(spark, folder).select(
         F.col("SK_ID_CURR").cast("bigint").alias("curr"), "SK_ID_BUREAU", "MONTHS_BALANCE", "STATUS"
     )
     payload = F.to_json(F.struct(
@@ -346,12 +349,13 @@ def valid_envelopes(spark: SparkSession, folder: str) -> DataFrame:
     return contracts.validate_envelopes(balance_envelopes(spark, folder))[0].select("event_id", "source_pk")
 
 
-@query(f"""WITH {sql.BALANCE}, b AS (SELECT pmod, count(*) AS n FROM (SELECT ((months % 7) + 7) % 7 AS pmod FROM balance WHERE curr IS NOT NULL) GROUP BY 1)
-  SELECT field, message, sum(n)::BIGINT AS rows FROM b JOIN (VALUES (1, 'schema_version', 'unknown version'),
+@query(f"""WITH {sql.BALANCE}, b AS (SELECT pmod, lost, count(*) AS n FROM (SELECT ((months % 7) + 7) % 7 AS pmod, curr IS NULL AS lost FROM balance) GROUP BY 1, 2)
+  SELECT field, message, sum(n)::BIGINT AS rows FROM (SELECT DISTINCT pmod, lost, n, field, message FROM b JOIN (VALUES (-1, 'entity_id', 'must be SK_ID_CURR: and digits'),
+    (-1, 'payload', 'does not fit the event type'), (1, 'schema_version', 'unknown version'),
     (2, 'entity_id', 'must be SK_ID_CURR: and digits'), (3, 'event_type', 'does not fit the table'),
     (3, 'payload', 'does not fit the event type'), (4, 'event_id', 'does not follow from the content'),
     (5, 'event_id', 'must be sha256: and 64 hexadecimal characters'), (5, 'event_id', 'does not follow from the content'),
-    (6, 'payload', 'does not fit the event type'), (6, 'event_id', 'does not follow from the content')) AS e(k, field, message) ON pmod = k GROUP BY ALL""")
+    (6, 'payload', 'does not fit the event type'), (6, 'event_id', 'does not follow from the content')) AS e(k, field, message) ON pmod = k OR (k = -1 AND lost)) AS x GROUP BY ALL""")
 def envelope_errors(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.pmod("MONTHS_BALANCE", F.lit(7))
     rows = balance_envelopes(spark, folder)
@@ -380,6 +384,18 @@ def valid_feature_updates(spark: SparkSession, folder: str) -> DataFrame:
     return contracts.validate_updates(_updates(spark, folder), source_topics())[0].select("event_id", "entity_id")
 
 
+@query(f"""SELECT event_id, 'sha256:' || sha256('["SK_ID_CURR:' || user_id || '","{FEATURE_IDS[0]}","1","' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
+    || CASE WHEN microsecond(ts) % 1000000 <> 0 THEN strftime(ts, '.%f') ELSE '' END || '+00:00","' || CASE WHEN value IS NULL THEN 'null'
+    WHEN round(value * 2)::BIGINT % 2 = 0 THEN (round(value * 2)::BIGINT // 2)::VARCHAR ELSE (round(value * 2) / 2)::VARCHAR END || '"]') AS feature_update_id
+  FROM events""")
+def feature_update_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of updates whose values are whole or half numbers."""
+    c = F.col
+    entity = F.concat(F.lit("SK_ID_CURR:"), c("user_id").cast("string"))
+    identity = contracts.feature_update_id(entity, F.lit(FEATURE_IDS[0]), F.lit(1), c("ts").cast("timestamp"), F.round(c("value") * 2) / 2)
+    return credit.table(spark, folder, "events").select("event_id", identity.alias("feature_update_id"))
+
+
 def _updates(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.col("event_id") % 6
     events = credit.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -94,8 +94,9 @@ _STRICT = ", ".join(f"'{f}'" for f in _APP)
 def ks_inflation_by_split(spark: SparkSession, folder: str) -> DataFrame:
     """What the KS of all features gains over application features alone."""
     found, points, fitted = rules(spark, folder)
-    full = monitor.ks_auc_lift(_scored(found, points, fitted), ["split"])
-    strict = monitor.ks_auc_lift(_scored(found, points, fitted, _APP), ["split"])
+    scores = monitor.batch_scores_by_view(found, fitted, {"full": None, "strict": _APP}).join(points.select("prediction_id", "split", "label"), "prediction_id")
+    power = settle(monitor.ks_auc_lift(scores.withColumn("score", F.round("score", 9) + 0.0), ["split", "view"]), "power")
+    full, strict = [power.where(F.col("view") == view).drop("view") for view in ("full", "strict")]
     return rounded(monitor.ks_inflation(full, strict, ["split"]), ["ks_full", "ks_strict", "ks_inflation"])
 
 

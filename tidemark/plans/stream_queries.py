@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.identity import shift_days, utc_text
 from tidemark.operators.catalog import FEATURE_IDS
-from tidemark.operators.contracts import expected_envelope_id
+from tidemark.operators.contracts import expected_envelope_id, validate_envelopes
 from tidemark.plans import credit_sql as sql
 from tidemark.plans import credit_tables as credit
 from tidemark.plans.checks_queries import balance_envelopes
@@ -198,6 +198,19 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+@query(f"""WITH {sql.BUREAU}, written AS (SELECT id, '{{"AMT_CREDIT_SUM":' || amount || coalesce(',"AMT_CREDIT_SUM_DEBT":' || debt, '')
+    || ',"AMT_CREDIT_SUM_OVERDUE":' || overdue || ',"CREDIT_ACTIVE":"' || active || '","DAYS_CREDIT":' || days || ',"SK_ID_BUREAU":' || id
+    || ',"SK_ID_CURR":' || curr || '}}' AS payload, strftime(TIMESTAMP '2024-01-01' + to_days(days::INT), '%Y-%m-%dT%H:%M:%S+00:00') AS t
+    FROM (SELECT * REPLACE (amount::DOUBLE AS amount, debt::DOUBLE AS debt, overdue::DOUBLE AS overdue) FROM bureau WHERE active <> 'Sold'))
+  SELECT id::VARCHAR AS source_pk, 'sha256:' || sha256('["bureau","' || id || '","' || t || '","UPSERT",' || to_json(payload) || ']') AS event_id FROM written""")
+def record_envelopes(spark: SparkSession, folder: str) -> DataFrame:
+    """Valid envelopes of records: their ids hold amounts as fractions and leave out what is missing."""
+    loans = credit.bureau(spark, folder)
+    fields = ["SK_ID_CURR", "SK_ID_BUREAU", "DAYS_CREDIT", "CREDIT_ACTIVE", "AMT_CREDIT_SUM", "AMT_CREDIT_SUM_DEBT", "AMT_CREDIT_SUM_OVERDUE"]
+    rows = _envelope(loans, "bureau_upsert", "bureau", F.col("SK_ID_BUREAU"), F.to_json(F.struct(*fields)), F.col("DAYS_CREDIT"))
+    return validate_envelopes(rows)[0].select("source_pk", "event_id")
+
+
 def _payload_as_json(df: DataFrame) -> DataFrame:
     times = {c: utc_text(F.col(c)) for c in ("event_time", "produced_at")}
     return df.withColumns(times)
