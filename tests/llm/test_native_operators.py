@@ -163,3 +163,19 @@ def test_digest_columns(spark):
     row = secret_scan.scan(documents(spark, [text], extra=False), ["doc_id"]).select(secret_scan.written(F.col("spans")).alias("w")).first()
     assert row["w"] == "assign:0:40,hex:8:40"
     assert hashlib.sha256(b"assign:0:40,hex:8:40").hexdigest()
+
+
+def test_equal_rows_are_numbered_and_dealt_out(spark, monkeypatch):
+    """A third of all rows is one row: each is rounded on its own, and no group of the tree holds them all."""
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    monkeypatch.setattr(mixing, "GROUP", 8)
+    rows = [(i, "a b c " * (1 + i % 5), "en", f"s{i % 3}", 1) for i in range(200)] + [(7, "same row", "en", "s1", 1)] * 100
+    df = spark.createDataFrame(rows, SCHEMA)
+    numbered = mixing._numbered(mixing.sized(df, ["doc_id"]))
+    same = [r.number for r in numbered.where("size = 2").collect()]
+    assert sorted(same) == list(range(100)) and numbered.count() == 300
+    mixed = mixing.mix(mixing.sized(df, ["doc_id"]), group=8).collect()
+    assert len(mixed) == 300 and sorted(r.copies for r in mixed) == sorted(r.copies for r in mixing.mix(mixing.sized(df, ["doc_id"]), group=8).collect())
+    for source in ("s0", "s1", "s2"):
+        own = [r for r in mixed if r.source == source]
+        assert abs(sum(r.copies * r["size"] for r in own) - own[0].target) <= 8

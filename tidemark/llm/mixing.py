@@ -10,9 +10,9 @@ Of a pair the longer document tends to stay, so folds go from long to short: lon
 against many short ones, and a short one is left.
 
 Defined results: a NULL or wordless text has size 0 and takes no words; documents without a source are
-one source, ordered last; repeated rows are rounded each on its own; the random numbers come from a seed
-and the rows, so reruns agree; an empty table gives an empty result; columns that are not named stay
-unread.
+one source, ordered last; repeated rows are rounded each on its own, by their number among equal rows; the random
+numbers come from a seed and the rows, so reruns agree; an empty table gives an empty result; of a very long
+text only its words are counted; columns that are not named stay unread.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ SHARE = 1.5
 MOST_COPIES = 2.0
 #: Documents that one fold takes on average, and so the fan-in of the reduction tree.
 GROUP = 64
+#: Equal rows that one task deals out.
+CHUNK = 1 << 16
 
 
 def sized(docs: DataFrame, keep: list[str], source: str = "source", text: str = "text") -> DataFrame:
@@ -109,12 +111,28 @@ def _fold(rows: Column, seed: Column) -> Column:
     return bind(F.transform(F.array_sort(ordered), lambda s: s["x"]), run)
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """Each row with its ``number`` among wholly equal rows.
+
+    Equal rows are counted first, which partial counts keep cheap, and dealt out again in chunks, so rows that
+    are a third of all never meet in one task.
+    """
+    counted = sizes.groupBy(*sizes.columns).agg(F.count(F.lit(1)).alias("_n"))
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / CHUNK))))
+    chunks = settle(chunks, "sized")
+    many = chunks.where(F.col("_n") > CHUNK).repartition("mark", "_chunk")
+    spread = chunks.where(F.col("_n") <= CHUNK).unionByName(many)
+    first = F.col("_chunk") * CHUNK
+    numbers = F.sequence(first, F.least(F.col("_n"), first + CHUNK) - 1)
+    return spread.select(*sizes.columns, F.explode(numbers).alias("number"))
+
+
 def mix(
     sizes: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES,
     group: int = GROUP,
 ) -> DataFrame:
     """doc, source, size, mark (of ``sized``) -> doc, source, size, ``source_size``, ``target`` and ``copies`` for each row."""
-    rows = settle(sizes, "sized")
+    rows = settle(_numbered(sizes), "numbered")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n"))
     plan = settle(targets(per_source, weights, share, most), "targets")
     named = plan.withColumnRenamed("source", "_source")
@@ -123,7 +141,7 @@ def mix(
     rows = rows.withColumn("_wanted", wanted).withColumn("_base", F.floor("_wanted"))
     rows = rows.withColumn("_p", F.col("_wanted") - F.col("_base"))
     whole_part = rows.where(F.col("_p") <= 0).select("doc", "source", "size", "source_size", "target", F.col("_base").alias("copies"))
-    key = F.xxhash64(F.lit(seed), "doc", "size", "mark")
+    key = F.xxhash64(F.lit(seed), "doc", "size", "mark", "number")
     level = rows.where(F.col("_p") > 0).select(
         "source", F.ceil(F.col("n") / group).alias("groups"),
         F.struct(key.alias("key"), "size", F.col("_base").alias("base"), F.col("_p").alias("p"), "doc").alias("row"),

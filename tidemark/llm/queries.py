@@ -27,7 +27,26 @@ def load() -> dict[str, Entry]:
     return dict(ENTRIES)
 
 
-@_query()
+def _op1_sql() -> str:
+    """A match begins after all pieces between matches up to it, and all matches before it."""
+    each = []
+    for number, r in enumerate(secret_scan.RULES):
+        pattern = r.pattern.replace("'", "''")
+        each.append(f"""SELECT doc_id, {number} AS number, '{r.kind}' AS kind, start, start + length(m) AS stop FROM (
+    SELECT doc_id, m, g, sum(length(p)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (
+      SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gs) AS g, unnest(ps[:len(ms)]) AS p FROM (
+        SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {r.group}) AS gs,
+          string_split_regex(t, '{pattern}') AS ps FROM d WHERE regexp_matches(t, '{pattern}')))
+    WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE length(g) >= {r.least}""")
+    counts = ", ".join(f"count(*) FILTER (number = {i}) AS n_{k}" for i, k in enumerate(secret_scan.BASE))
+    written, base = "kind || ':' || start || ':' || stop", len(secret_scan.BASE)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({' UNION ALL '.join(each)})
+SELECT doc_id, {counts}, sha256(coalesce(string_agg({written}, ',' ORDER BY start, number) FILTER (number < {base}), '')) AS base_sha256,
+  coalesce(string_agg({written}, ',' ORDER BY start, number), '') AS spans
+FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
+
+
+@_query(_op1_sql())
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
     kinds = [r.kind for r in secret_scan.RULES]

@@ -9,7 +9,7 @@ whole table, spread over all tasks; only narrow rows are sorted.
 
 Defined results: a NULL text has no bytes and checksum 0; rows without a source are one source; rows with
 equal ids are ordered by checksum and size, and wholly equal rows are interchangeable; an empty table
-gives an empty result; columns that are not named stay unread.
+gives an empty result; of a very long text only size and checksum are kept; columns that are not named stay unread.
 """
 
 from __future__ import annotations
@@ -34,8 +34,9 @@ def shards(
         *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], F.xxhash64(F.lit(seed), F.col(id_column)).alias("h"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), F.col(source).isNull().alias("none"),
         (F.octet_length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-    ), "narrow")
-    tie = [F.col("h"), *[F.col(f"_keep{i}") for i in range(len(keep))], F.col("text_crc32"), F.col("size")]
+    ), "narrow").withColumn("row", F.monotonically_increasing_id())
+    # Wholly equal rows go by their place in the written table, so they may span tasks.
+    tie = [F.col("h"), *[F.col(f"_keep{i}") for i in range(len(keep))], F.col("text_crc32"), F.col("size"), F.col("row")]
     ranked = global_ranks(rows, ["s", "none"], tie)
     at = ranked.withColumn("at", (F.col("rank") - 0.5) / F.col("group_rows")).drop("rank", "group_rows")
     placed = global_ranks(at, [], [F.col("at"), F.col("s"), F.col("none"), *tie])
