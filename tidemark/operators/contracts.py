@@ -14,6 +14,7 @@ from tidemark.functions.canonical import payload_text, value_text
 from tidemark.functions.checks import blank, rule
 from tidemark.functions.identity import ascii_escaped, canonical_json, event_id, iso_text
 from tidemark.operators.catalog import FEATURE_IDS
+from tidemark.session import settle
 from tidemark.settings import (
     BALANCE_STATUSES,
     CREDIT_STATES,
@@ -347,14 +348,18 @@ def expected_envelope_id(balance: bool | None = None) -> Column:
 def mark_envelopes(df: DataFrame, words: dict[str, list[str]] = TEXT_WORDS) -> DataFrame:
     """Stream envelopes with their ``errors``. The payload is JSON text and must fit the event type.
 
-    ``words`` widens or narrows the accepted words of text fields. All kinds are judged in one pass, and of a
-    row only the fields of its own kind are looked up.
+    ``words`` widens or narrows the accepted words of text fields. Balances are judged apart from the
+    rest, so each side parses its payloads once, for its own fields, and balances never meet Python. A batch is
+    written once before it is read by both sides.
     """
-    return _marked(df, list(STREAM_TABLES), words)
+    rows = df if df.isStreaming else settle(df, "envelopes")
+    is_balance = F.coalesce(F.col("event_type") == BALANCE_KIND, F.lit(False))
+    others = [k for k in STREAM_TABLES if k != BALANCE_KIND]
+    return _marked(rows.where(is_balance), [BALANCE_KIND], words).unionByName(_marked(rows.where(~is_balance), others, words))
 
 
 def _marked(df: DataFrame, kinds: list[str], words: dict[str, list[str]]) -> DataFrame:
-    df = with_times(df, ["event_time", "produced_at"]).withColumn("_expected_id", expected_envelope_id())
+    df = with_times(df, ["event_time", "produced_at"]).withColumn("_expected_id", expected_envelope_id(kinds == [BALANCE_KIND]))
     df = with_payload_fields(df, kinds, kind="event_type" if len(kinds) > 1 else None)
     table_of = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(t)) for k, t in STREAM_TABLES.items()])
     bad_payload = F.lit(False)

@@ -217,7 +217,7 @@ def _payload_as_json(df: DataFrame) -> DataFrame:
 
 
 #: Micro-batches that the messages of a query are dealt over, at least.
-BATCHES = 6
+BATCHES = 5
 
 
 def _intake(spark: SparkSession, folder: str) -> StreamTables:

@@ -128,14 +128,14 @@ def keep_newest(events: DataFrame, lateness: timedelta | None = None) -> DataFra
         mark, held = state.getCurrentWatermarkMs() * 1000, json.loads(state.get[0]) if state.exists else {}
         before, routes, out = dict(held), {}, []
         for frame in frames:
-            for table, pk, event, topic, at, payload, blocked in frame[_EVENT].itertuples(index=False, name=None):
+            for _, table, pk, event, topic, at, payload, blocked, _ in frame.itertuples(index=False, name=None):
                 if blocked or (allowed is not None and at < mark - allowed):
                     out.append((key[0], table, pk, event, topic, at, payload, "violation" if blocked else "too_late", False, False))
                     continue
                 name = json.dumps([table, pk])
                 if name not in held or (at, event) > tuple(held[name][:2]):
                     held[name] = [at, event, topic, payload]
-                    routes[name] = "correction" if at < mark else "on_time"
+                    routes[name] = "correction" if allowed is not None and at < mark else "on_time"
         if routes:
             state.update((json.dumps(held),))
             changed = {json.loads(n)[0] for n in routes}
@@ -154,7 +154,6 @@ def keep_newest(events: DataFrame, lateness: timedelta | None = None) -> DataFra
     return rows.groupBy("entity_id").applyInPandasWithState(run, TOUCHED_COLUMNS, "held string", "append", GroupStateTimeout.NoTimeout)
 
 
-_EVENT = ["source_table", "source_pk", "event_id", "topic", "at", "payload", "blocked"]
 _TOUCHED = [c.split(" ")[0] for c in TOUCHED_COLUMNS.split(", ")]
 
 
