@@ -103,3 +103,94 @@ def top_k(vectors: dict[int, list[float]], every: int, k: int) -> set[tuple]:
             scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole.items() if i != q)
             out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])}
     return out
+
+
+def spark_hash(*values) -> int:
+    """Spark's xxhash64 of whole numbers (64 bits, or ``(n, 4)`` for 32) and texts, as a signed number; NULL leaves it as it is."""
+    import xxhash
+
+    seed = 42
+    for v in values:
+        if v is None:
+            continue
+        if isinstance(v, tuple):
+            data = v[0].to_bytes(v[1], "little", signed=True)
+        else:
+            data = v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True)
+        seed = xxhash.xxh64_intdigest(data, seed)
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def shards(docs: list[tuple], count: int, seed: int = 11) -> set[tuple]:
+    """(id, text, source) -> (id, size, crc32, shard, slot): ranks within sources, fractional ranks over all, cut."""
+    import zlib
+
+    rows = []
+    for i, text, source in docs:
+        data = (text or "").encode()
+        rows.append((source or "", source is None, spark_hash((seed, 4), i), i, zlib.crc32(data), len(data) + 16))
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r[:2], []).append(r)
+    placed = []
+    for own in by_source.values():
+        for rank, r in enumerate(sorted(own, key=lambda r: r[2:])):
+            placed.append(((rank + 0.5) / len(own), *r))
+    out = set()
+    for place, (_, _, _, _, i, crc, size) in enumerate(sorted(placed)):
+        shard = place * count // len(placed)
+        out.add((i, size, crc, shard, place - -(-shard * len(placed) // count)))
+    return out
+
+
+def mixed(docs: list[tuple], group: int, seed: int = 17) -> dict:
+    """(id, text, source) -> copies by id: pivotal rounding folded up the same tree of groups, for distinct ids."""
+    import math
+
+    rows = [(i, source, len(WORD.findall(text or "")), spark_hash(text or "")) for i, text, source in docs]
+    sizes, many = {}, {}
+    for _, source, size, _ in rows:
+        sizes[source] = sizes.get(source, 0) + size
+        many[source] = many.get(source, 0) + (size > 0)
+    want, copies, levels = targets(sizes), {}, {}
+    for i, source, size, mark in rows:
+        wanted = want[source] / sizes[source] if size else 0.0
+        base = math.floor(wanted)
+        if wanted - base <= 0:
+            copies[i] = base
+        else:
+            key = spark_hash((seed, 4), i, size, mark, 0)
+            levels.setdefault((source, math.ceil(many[source] / group)), []).append([key, size, base, wanted - base, i])
+
+    def unit(*values):
+        return (spark_hash(*values) % (1 << 64) >> 11) / (1 << 53)
+
+    def pair(a, b, s):
+        room_a, room_b, has_a, has_b = (1 - a[3]) * a[1], (1 - b[3]) * b[1], a[3] * a[1], b[3] * b[1]
+        up, down = min(room_a, has_b), min(has_a, room_b)
+        inside = lambda x: min(max(x, 0.0), 1.0)
+        if unit((s, 4), a[0], b[0]) * (up + down) < down:
+            done, p, left, q = (a, 1.0, b, b[3] - room_a / b[1]) if room_a <= has_b else (b, 0.0, a, a[3] + has_b / a[1])
+        else:
+            done, p, left, q = (a, 0.0, b, b[3] + has_a / b[1]) if has_a <= room_b else (b, 1.0, a, a[3] - room_b / a[1])
+        copies[done[4]] = done[2] + int(p)
+        return [*left[:3], inside(q), left[4]]
+
+    depth = 0
+    while levels:
+        after = {}
+        for (source, groups), own in levels.items():
+            dealt = {}
+            for r in own:
+                dealt.setdefault(spark_hash((seed + 1 + depth, 4), r[0], r[4]) % groups, []).append(r)
+            for members in dealt.values():
+                members.sort(key=lambda r: (-r[1], r[0]))
+                left = members[0]
+                for r in members[1:]:
+                    left = pair(left, r, seed + depth)
+                if groups > 1 and 0 < left[3] < 1:
+                    after.setdefault((source, math.ceil(groups / group)), []).append(left)
+                else:
+                    copies[left[4]] = left[2] + (left[3] >= 0.5)
+        levels, depth = after, depth + 1
+    return copies

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tests.llm import plain
 from tests.llm.test_native_operators import SCHEMA, documents
 
-from tidemark.llm import exact_topk, graph, language_id, near_dup, packing, sharding, token_files, tokens, url_filter
+from tidemark.llm import exact_topk, graph, language_id, mixing, near_dup, packing, queries, sharding, token_files, tokens, url_filter
 from tidemark.llm.shingles import shingle_hashes
 
 SMALL = "/root/testdata/sf0.001"
@@ -420,3 +420,16 @@ def test_every_repeated_row_is_a_candidate(spark):
 def test_fewer_candidates_than_k(spark):
     df = spark.createDataFrame([(0, [1.0, -0.001]), (1, [0.5, 0.5]), (50, [2.0])], "vec_id long, embedding array<double>")
     assert {tuple(r) for r in exact_topk.top_k(df, F.col("vec_id") % 50 == 0, 5).collect()} == {(0, 1, 1, 256 * 128 - 128)}
+
+
+def test_sharding_query_is_that_of_plain_python(spark):
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = {(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in queries.op3_sharding(spark, SMALL).collect()}
+    assert got == plain.shards(docs, 40) and len(got) == len(docs)
+
+
+def test_mixing_query_is_that_of_plain_python(spark):
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    want = plain.mixed(docs, mixing.GROUP)
+    got = {r.doc_id: (r.taken, r["size"]) for r in queries.op9_source_mixing(spark, SMALL).collect()}
+    assert {i: taken for i, (taken, _) in got.items()} == {i: want[i] * size for i, (_, size) in got.items()}
