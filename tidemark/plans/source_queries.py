@@ -42,7 +42,13 @@ from tidemark.sources.tables import (
 )
 from tidemark.sources.topics import read_events, topics, write_updates
 
-ORDER_TEXT = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+#: All columns of the orders.
+ORDER_TEXT = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+def _json_sql(columns: list[str]) -> str:
+    """A row as a JSON object of texts, columns that are never NULL."""
+    return "'{' || " + " || ',' || ".join(f"""'"{c}":' || to_json({c}::VARCHAR)""" for c in columns) + " || '}'"
 
 
 def _texts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -55,14 +61,14 @@ def _csv(df: DataFrame, name: str) -> str:
     return path
 
 
-@query("""SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus, o_orderpriority FROM orders""")
+@query(f"SELECT {', '.join(f'{c}::VARCHAR AS {c}' for c in ORDER_TEXT)} FROM orders")
 def raw_csv_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = _csv(_texts(credit.table(spark, folder, "orders"), ORDER_TEXT), "orders.csv")
     return scan_raw_csv(spark, path, ORDER_TEXT)
 
 
-@query("""SELECT 'orders' AS source, count(*) AS row_count, 4 AS columns,
-    sha256('o_orderkey,o_custkey,o_orderstatus,o_orderpriority' || chr(10)) AS header_sha256, '' AS missing FROM orders
+@query(f"""SELECT 'orders' AS source, count(*) AS row_count, {len(ORDER_TEXT)} AS columns,
+    sha256('{','.join(ORDER_TEXT)}' || chr(10)) AS header_sha256, '' AS missing FROM orders
   UNION ALL SELECT 'customer', count(*), 2, sha256('SK_ID_CURR,c_name' || chr(10)), 'TARGET' FROM customer
   UNION ALL SELECT 'lineitem', count(*), 3, sha256('SK_ID_BUREAU,l_shipdate,STATUS' || chr(10)), 'MONTHS_BALANCE' FROM lineitem""")
 def source_profiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,24 +157,22 @@ def manifest_rule_breaks(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("field", "message").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("""SELECT o_orderkey::VARCHAR AS o_orderkey, 'orders.csv' AS _source_file_name, 1 AS _bronze_schema_version,
-    sha256('["home_credit","m1","hc-bronze-v1"]') AS _source_snapshot_id,
-    sha256('{"o_orderkey":"' || o_orderkey || '","o_custkey":"' || o_custkey || '","o_orderstatus":"' || o_orderstatus
-      || '","o_orderpriority":"' || o_orderpriority || '"}') AS _raw_row_sha256 FROM orders""")
+@query(f"""SELECT {', '.join(f'{c}::VARCHAR AS {c}' for c in ORDER_TEXT)}, 'orders.csv' AS _source_file_name, 1 AS _bronze_schema_version,
+    sha256('["home_credit","m1","hc-bronze-v1"]') AS _source_snapshot_id, sha256({_json_sql(ORDER_TEXT)}) AS _raw_row_sha256 FROM orders""")
 def bronze_rows(spark: SparkSession, folder: str) -> DataFrame:
     raw = _texts(credit.table(spark, folder, "orders"), ORDER_TEXT)
     return stamp_bronze(raw, "orders.csv", "f", "h", "m1").select(
-        "o_orderkey", "_source_file_name", "_bronze_schema_version", "_source_snapshot_id", "_raw_row_sha256"
+        *ORDER_TEXT, "_source_file_name", "_bronze_schema_version", "_source_snapshot_id", "_raw_row_sha256"
     )
 
 
-@query("""SELECT doc_id, sha256('{"doc_id":"' || doc_id || '","text":' || to_json(text) || ',"lang":"' || lang || '","label":'
-    || coalesce('"' || quality || '"', 'null') || '}') AS row_sha FROM documents LEFT JOIN labels USING (doc_id)""")
+@query("""SELECT doc_id, sha256('{"doc_id":"' || doc_id || '","text":' || to_json(text) || ',"lang":"' || lang
+    || '","source":' || to_json(source) || ',"n_chars":"' || n_chars || '","label":' || coalesce('"' || quality || '"', 'null') || '}') AS row_sha FROM documents LEFT JOIN labels USING (doc_id)""")
 def document_row_hashes(spark: SparkSession, folder: str) -> DataFrame:
     """Row hashes over whole texts, with line breaks, quotes, accents and NULLs."""
     labels = credit.table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    rows = credit.table(spark, folder, "documents").select("doc_id", "text", "lang").join(labels, "doc_id", "left")
-    return rows.select("doc_id", row_hash(["doc_id", "text", "lang", "label"]).alias("row_sha"))
+    rows = credit.table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars").join(labels, "doc_id", "left")
+    return rows.select("doc_id", row_hash(["doc_id", "text", "lang", "source", "n_chars", "label"]).alias("row_sha"))
 
 
 _TREE = """counted AS (SELECT h, count(*) AS n FROM hashed GROUP BY h),
