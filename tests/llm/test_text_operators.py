@@ -433,3 +433,11 @@ def test_mixing_query_is_that_of_plain_python(spark):
     want = plain.mixed(docs, mixing.GROUP)
     got = {r.doc_id: (r.taken, r["size"]) for r in queries.op9_source_mixing(spark, SMALL).collect()}
     assert {i: taken for i, (taken, _) in got.items()} == {i: want[i] * size for i, (_, size) in got.items()}
+
+
+def test_language_query_is_that_of_plain_python(spark):
+    docs = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    want = plain.languages(docs, language_id.letter_vector)
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in queries.op7_language_id(spark, SMALL).collect()}
+    assert {i: v[:2] for i, v in got.items()} == {i: v[:2] for i, v in want.items()}
+    assert all(abs(got[i][2] - want[i][2]) < 1e-4 for i in want)
