@@ -16,7 +16,7 @@ from tidemark.session import build_session
 HEADLINES = [
     "prediction_points", "bureau_history_features", "bureau_balance_features", "application_features", "feature_values_long",
     "training_view", "woe_rules", "applied_woe", "population_stability", "ranking_power", "newest_view_before_purchase",
-    "content_fingerprint", "composite_key_check", "enriched_balance", "source_events", "valid_envelopes", "snapshot_overwrite",
+    "content_fingerprint", "bureau_features_at_each_prediction", "composite_key_check", "enriched_balance", "source_events", "valid_envelopes", "snapshot_overwrite",
     "latest_line_per_order", "stream_feature_values", "files_to_features",
 ]
 
