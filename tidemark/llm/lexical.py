@@ -79,7 +79,7 @@ class _Block:
     """Documents of one share of a stratum until they become a block."""
 
     def __init__(self, m: int, share: int) -> None:
-        self.m, self.share, self.ids, self.terms, self.tfs, self.postings = m, [], [], [], 0
+        self.m, self.share, self.ids, self.terms, self.tfs, self.postings = m, share, [], [], [], 0
 
     def add(self, doc_id: int | None, words: str, tfs: bytes) -> None:
         self.ids.append(doc_id)
