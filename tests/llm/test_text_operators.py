@@ -441,3 +441,15 @@ def test_language_query_is_that_of_plain_python(spark):
     got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in queries.op7_language_id(spark, SMALL).collect()}
     assert {i: v[:2] for i, v in got.items()} == {i: v[:2] for i, v in want.items()}
     assert all(abs(got[i][2] - want[i][2]) < 1e-4 for i in want)
+
+
+def test_forgotten_words_get_the_same_ids(monkeypatch):
+    """A memory for a few words only: what is kept and what is made anew gives the ids of whole texts."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    monkeypatch.setattr(tokens, "SLICE", 200)
+    chance = random.Random(9)
+    texts = [" ".join(f"w{int(chance.paretovariate(0.7)) % 300}" for _ in range(30)) for _ in range(60)] + ["", "a\x0bb c", " x  y ", "é 中"]
+    made = tokens.Encoder(tokens.public_path())
+    got = [ids.tolist() for ids in made.documents(pa.array(texts))]
+    assert got == [[*e.ids, 0] for e in made.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(made.known) < 100

@@ -18,9 +18,9 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct words a worker remembers, about 200 MB. Then it goes on with those that it met in several slices, the
+#: Distinct words a worker remembers, about 160 MB. Then it goes on with those that it met in several slices, the
 #: half of them that it met last, so words that occur once do not drive out the others.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 #: Characters of text split at a time, and words that the tokenizer gets as one text.
 SLICE, TOGETHER = 4 << 20, 128
 #: White space that stands between such words, and what counts as white space here.
@@ -84,11 +84,16 @@ class Encoder:
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """The number of each of some distinct words; numbers hold until the next call."""
-        if len(self.known) > REMEMBERED:
-            self._keep_frequent()
         self.slices += 1
-        numbers = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
-        unknown = np.flatnonzero(numbers < 0)
+
+        def look_up() -> tuple[np.ndarray, np.ndarray]:
+            found = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+            return found, np.flatnonzero(found < 0)
+
+        numbers, unknown = look_up()
+        if self.known and len(self.known) + len(unknown) > REMEMBERED:
+            self._keep_frequent()
+            numbers, unknown = look_up()
         self.last[numbers[numbers >= 0]] = self.slices
         new = [words[i] for i in unknown]
         ids, length = self._spaced(new)
