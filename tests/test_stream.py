@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from brute import features as brute_features
@@ -10,11 +12,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.identity import utc_text
 from tidemark.operators.contracts import TEXT_WORDS, expected_envelope_id
+from tidemark.plans import stream_queries
 from tidemark.settings import DOCUMENT_FLAGS
 from tidemark.sources.topics import RAW_SCHEMA, as_messages, read_events, source_topics
 from tidemark.streaming import state
 from tidemark.streaming.flow import parity, parse_events
 
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = {"application_upsert": "application_train", "bureau_upsert": "bureau", "bureau_balance_upsert": "bureau_balance"}
 
 
@@ -100,6 +104,35 @@ def test_a_batch_hands_on_the_entities_it_changes(spark, tmp_path, monkeypatch):
     assert [r.event_time.day for r in newest] == [4]
 
 
+def test_entities_of_one_group_are_kept_apart(spark, tmp_path, monkeypatch):
+    """All entities in one group: a batch hands on those it names only, late rows and old values are those of their entity."""
+    handed, source, work = [], str(tmp_path / "topic"), state.process_touched
+    monkeypatch.setattr(state, "GROUPS", 1)
+    monkeypatch.setattr(state, "_SLICE", 2)
+    monkeypatch.setattr(state, "process_touched", lambda df, n, *args: (
+        handed.append(sorted((r.entity_id[-1], r.source_pk, r.route, r.was, r.now) for r in df.collect())), work(df, n, *args)))
+    tables = state.StreamTables(str(tmp_path / "state"))
+    batches = [[loan(pk, pk % 3, "2024-01-05T00:00:00Z", AMT_CREDIT_SUM=1.0) for pk in range(6)],
+               [loan(4, 1, "2024-01-06T00:00:00Z", AMT_CREDIT_SUM=7.0)], [loan(8, 2, "2024-01-05T23:00:00Z"), loan(9, 0, "2023-01-01T00:00:00Z")]]
+    for rows in batches:
+        envelopes(spark, rows).coalesce(1).write.mode("append").parquet(source)
+        state.run_feature_stream(read_events(spark, source), tables, lateness=timedelta(days=2))
+    assert [len(b) for b in handed] == [6, 3, 4]
+    assert handed[1] == [("1", "1", "state", True, True), ("1", "4", "on_time", False, True), ("1", "4", "state", True, False)]
+    assert handed[2] == [("0", "9", "too_late", False, False), ("2", "2", "state", True, True), ("2", "5", "state", True, True), ("2", "8", "correction", False, True)]
+    sums = state.latest_values(spark, tables).where("feature_id = 'bureau.credit_sum_total'").collect()
+    assert {r.entity_id[-1]: r.feature_value for r in sums} == {"0": 2.0, "1": 8.0, "2": 2.0}
+
+
+def test_refused_files_are_counted_into_the_batches(spark):
+    """Five micro-batches or a few more, whatever share of the files holds refused messages."""
+    if not Path(FOLDER).exists():
+        pytest.skip("tables are not here")
+    tables = stream_queries.run_features(spark, FOLDER)
+    batches = [f for f in Path(tables.path("features-checkpoint"), "commits").iterdir() if f.name.isdigit()]
+    assert stream_queries.BATCHES <= len(batches) <= stream_queries.BATCHES + 1
+
+
 def test_topics_and_words(spark, tmp_path):
     """Dead letters and updates are sent once; a wider word list accepts what else is a dead letter."""
     rows = [loan(1, 7, "2024-01-01T00:00:00Z", CREDIT_ACTIVE="Sold"), loan(2, 8, "2024-01-01T00:00:00Z")]
