@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import settle
+
 
 def check_pk(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: rows, rows with a NULL in the key, keys that occur more than once."""
@@ -55,31 +57,36 @@ def check_feature_closure(values: DataFrame, catalog: DataFrame, points: DataFra
     with too few declared features (0 rows if it has none), a declared feature without any value row, a
     prediction that is no point.
     """
-    known = catalog.select("feature_id", F.lit(True).alias("_known"))
-    pairs = values.groupBy("prediction_id", "feature_id").agg(F.count(F.lit(1)).alias("_n"))
-    size = catalog.agg(F.countDistinct("feature_id")).scalar()
-
-    twice = pairs.where("_n > 1").select(
-        F.lit("duplicate_pair").alias("breach"), "prediction_id", "feature_id", F.col("_n").alias("rows")
-    )
-    totals = pairs.groupBy("feature_id").agg(F.sum("_n").alias("rows"))
-    extra = totals.join(known, "feature_id", "left_anti").select(
-        F.lit("unknown_feature").alias("breach"), F.lit(None).cast("string").alias("prediction_id"),
-        "feature_id", "rows",
-    )
-    absent = known.join(totals, "feature_id", "left_anti").select(
-        F.lit("absent_feature").alias("breach"), F.lit(None).cast("string").alias("prediction_id"),
-        "feature_id", F.lit(0).cast("bigint").alias("rows"),
-    )
-    declared = pairs.join(known, "feature_id").groupBy("prediction_id").agg(F.count(F.lit(1)).alias("_had"))
+    declared = sorted(r.feature_id for r in catalog.select("feature_id").where("feature_id is not null").distinct().collect())
+    # One row per prediction with a counter per declared feature: a map task holds predictions, not their values. Values of
+    # other features, null ones too, are counted apart; a partial sum over all pairs would not make them fewer.
+    is_known = F.coalesce(F.col("feature_id").isin(declared), F.lit(False))
+    counters = [f"_n{i}" for i in range(len(declared))]
+    counted = settle(values.groupBy("prediction_id").agg(
+        F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col("feature_id") == f).alias(n) for f, n in zip(declared, counters)]), "counted")
+    known_rows = sum((F.col(n) for n in counters), F.lit(0))
+    odd = values.where(~is_known).groupBy("prediction_id", "feature_id").agg(F.count(F.lit(1)).alias("_n"))
+    # Without such values the rows are not read again.
+    odd = odd.limit(0) if counted.where(F.col("_all") > known_rows).isEmpty() else settle(odd, "unknown")
+    had = sum((F.col(n).cast("boolean").cast("int") for n in counters), F.lit(0)).cast("bigint")
+    nothing = F.lit(None).cast("string")
+
+    def breach(name: str, prediction: Column, feature: Column, rows: Column) -> list[Column]:
+        return [F.lit(name).alias("breach"), prediction.alias("prediction_id"), feature.alias("feature_id"), rows.alias("rows")]
+
+    own, feature = F.col("prediction_id"), F.col("feature_id")
+    pairs = counted.select(own, F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature_id"), F.col(n).alias("_n")) for f, n in zip(declared, counters)
+    ]))) if declared else odd.limit(0)
+    twice = pairs.unionByName(odd).where("_n > 1").select(*breach("duplicate_pair", own, feature, F.col("_n")))
+    extra = odd.groupBy("feature_id").agg(F.sum("_n").alias("rows")).select(*breach("unknown_feature", nothing, feature, F.col("rows")))
+    seen = pairs.where("_n > 0").select("feature_id").distinct()
+    absent = catalog.select("feature_id").join(seen, "feature_id", "left_anti").select(
+        *breach("absent_feature", nothing, feature, F.lit(0).cast("bigint")))
     wanted = points.select("prediction_id").distinct()
-    nothing = F.lit(None).cast("string").alias("feature_id")
-    short = wanted.join(declared, "prediction_id", "left").select(
-        F.lit("incomplete_prediction").alias("breach"), "prediction_id", nothing, F.coalesce("_had", F.lit(0)).alias("rows")
-    ).where(F.col("rows") < size)
-    stray = pairs.groupBy("prediction_id").agg(F.sum("_n").alias("rows")).join(wanted, "prediction_id", "left_anti").select(
-        F.lit("unknown_prediction").alias("breach"), "prediction_id", nothing, "rows"
-    )
+    short = wanted.join(counted.select("prediction_id", had.alias("_had")), "prediction_id", "left").select(
+        *breach("incomplete_prediction", own, nothing, F.coalesce("_had", F.lit(0)))).where(F.col("rows") < len(declared))
+    stray = counted.join(wanted, "prediction_id", "left_anti").select(*breach("unknown_prediction", own, nothing, F.col("_all")))
     return twice.unionByName(extra).unionByName(absent).unionByName(short).unionByName(stray)
 
 
