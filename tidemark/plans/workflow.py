@@ -113,7 +113,7 @@ def _publish(
     receipt_row(
         spark, layers.receipts, layer, run_id, sha, snapshot, name, before, after,
         after - (written if expected is None else expected),
-        fingerprint(stored).first().digest if digest else None,
+        fingerprint(stored, rows=after).first().digest if digest else None,
     )
     return stored
 
