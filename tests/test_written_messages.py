@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 from test_stream import envelopes, loan
 
-from tidemark.operators.contracts import TEXT_WORDS, mark_envelopes, mark_written
+from tidemark.operators.contracts import TEXT_WORDS, feature_update_id, mark_envelopes, mark_written
 from tidemark.plans import stream_queries
 from tidemark.sources.topics import read_events
 from tidemark.streaming import state
@@ -77,3 +78,15 @@ def test_files_of_messages_follow_the_tables(spark, tmp_path, monkeypatch):
     assert stream_queries._files(spark, str(tmp_path)) == 2 * stream_queries.BATCHES
     monkeypatch.setattr(stream_queries, "FILE_MESSAGES", 100)
     assert stream_queries._files(spark, str(tmp_path)) == 30
+
+
+def test_update_ids_of_plain_and_other_parts(spark):
+    """Ids by the rule in plain Python. Where all parts are plain the text of the array is put together, not escaped."""
+    cases = [("SK_ID_CURR:7", "bureau.record_count", 2.0), ("SK_ID_CURR:7", "a,b", 0.1), ("é", "f", None), ('q"', "f", -1e-7), ("a\\", "\n", 1e300), ("SK_ID_CURR:1", None, 3.0), (None, "f", -0.0)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, e string, f string, v double")
+    time = F.expr("timestamp'2024-01-11T00:00:00Z'")
+    got = {r.i: r.id for r in df.select("i", feature_update_id(F.col("e"), F.col("f"), F.lit(1), time, F.col("v")).alias("id")).collect()}
+    for i, (e, f, v) in enumerate(cases):
+        value = "null" if v is None else "0" if v == 0 else f"{v:.17g}"
+        text = json.dumps([e, f, "1", "2024-01-11T00:00:00+00:00", value], separators=(",", ":"))
+        assert got[i] == "sha256:" + hashlib.sha256(text.encode()).hexdigest(), cases[i]
