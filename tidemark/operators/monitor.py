@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +12,7 @@ from pyspark.sql import types as T
 from tidemark.functions.checks import blank
 from tidemark.operators.features import to_wide
 from tidemark.operators.ranks import running_sums
-from tidemark.operators.woe import COUNT_SMOOTHING, TOTAL_SMOOTHING, apply_woe
+from tidemark.operators.woe import COUNT_SMOOTHING, TOTAL_SMOOTHING, apply_woe, apply_woe_wide
 from tidemark.session import broadcast_if_small
 
 # Stages and risks a view leaves out, fixed values.
@@ -68,13 +71,31 @@ def batch_score(values: DataFrame, rules: DataFrame, features: list[str] | None
     )
 
 
-def batch_scores_by_view(values: DataFrame, rules: DataFrame, views: dict[str, list[str] | None]) -> DataFrame:
-    """prediction_id, view and score: several sets of features scored in one pass over the weights (None: all)."""
-    weighed = apply_woe(values, rules).where("woe is not null")
-    sums = [-F.sum(F.when(F.col("feature_id").isin(own), F.col("woe")) if own else F.col("woe")) for own in views.values()]
-    wide = weighed.groupBy("prediction_id").agg(*[s.alias(f"_{i}") for i, s in enumerate(sums)])
+def batch_score_wide(wide: DataFrame, rules: DataFrame, features: list[str]) -> DataFrame:
+    """The same from a column per feature: weights are summed inside a row, so one row per prediction is shuffled, not its values."""
+    weights = [F.col(f"`{f}`") for f in features]
+    rows = apply_woe_wide(wide.select("prediction_id", *weights), rules, features).select(
+        "prediction_id", reduce(add, [F.coalesce(w, F.lit(0.0)) for w in weights]).alias("woe"),
+        reduce(add, [w.isNotNull().cast("bigint") for w in weights]).alias("n"),
+    )
+    # Filtered after the sums: a filter on the rows would make every weight twice.
+    sums = rows.groupBy("prediction_id").agg((-F.sum("woe")).alias("score"), F.sum("n").alias("features"))
+    return sums.where("features > 0")
+
+
+def batch_scores_by_view(wide: DataFrame, rules: DataFrame, views: dict[str, list[str]]) -> DataFrame:
+    """prediction_id, view and score: several sets of features scored in one pass over the weights."""
+    features = list(dict.fromkeys(f for own in views.values() for f in own))
+    weighed = apply_woe_wide(wide.select("prediction_id", *[F.col(f"`{f}`") for f in features]), rules, features)
+
+    def total(own: list[str]) -> Column:
+        known = reduce(or_, [F.col(f"`{f}`").isNotNull() for f in own])
+        return F.when(known, reduce(add, [F.coalesce(F.col(f"`{f}`"), F.lit(0.0)) for f in own]))
+
+    rows = weighed.select("prediction_id", *[total(own).alias(f"_{i}") for i, own in enumerate(views.values())])
+    sums = rows.groupBy("prediction_id").agg(*[(-F.sum(f"_{i}")).alias(f"_{i}") for i in range(len(views))])
     scores = F.array(*[F.struct(F.lit(view).alias("view"), F.col(f"_{i}").alias("score")) for i, view in enumerate(views)])
-    return wide.select("prediction_id", F.inline(scores)).where("score IS NOT NULL")
+    return sums.select("prediction_id", F.inline(scores)).where("score IS NOT NULL")
 
 
 def ks_auc_lift(scores: DataFrame, keys: list[str] | None = None, top: float = 0.1) -> DataFrame:

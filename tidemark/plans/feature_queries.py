@@ -33,7 +33,9 @@ from tidemark.operators.quality import as_of, set_diff
 from tidemark.operators.ranks import equal_count_bins
 from tidemark.operators.salted import salted_join
 from tidemark.operators.states import balance_features_as_of, bureau_features_as_of, finish, merge_states, partial_states
-from tidemark.operators.woe import apply_woe, check_training_closure, entropy, fit_mean_split, fit_woe, woe_summary
+from tidemark.operators.woe import (
+    apply_woe, check_training_closure, entropy, fit_mean_split, fit_woe, fit_woe_wide, placed_points, woe_summary,
+)
 from tidemark.plans import credit_sql as sql
 from tidemark.plans import credit_tables as credit
 from tidemark.plans.registry import query
@@ -219,11 +221,14 @@ _RULE_NUMBERS = ["lower", "upper", "good_distribution", "bad_distribution", "woe
 
 
 def rules(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Values, points and the rules fitted on them. All are settled once: the fit and every use of the
-    rules read the values, and ordering them reads its input twice."""
-    points = settle(credit.points(spark, folder), "points")
-    found = settle(values(spark, folder), "values")
-    return found, points, settle(fit_woe(found, points), "rules")
+    """Values (a column per feature), points and the rules fitted on them. All are settled once: the fit and every
+    use of the rules read the values, and ordering the points reads its input twice."""
+    points = placed_points(settle(credit.points(spark, folder), "points"))
+    wide = settle(assemble(
+        points, app_features(credit.application(spark, folder)), bureau_features(credit.bureau(spark, folder)),
+        balance_features(credit.balance(spark, folder)), carry=["split", "label", "_place"],
+    ), "values")
+    return wide, points, settle(fit_woe_wide(wide, FEATURE_IDS), "rules")
 
 
 @query(f"""WITH {sql.FITTED} SELECT feature_id, bin, round(lower, 4) AS lower, round(upper, 4) AS upper, good, bad,
@@ -289,8 +294,8 @@ def equal_count_price_bins(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH {sql.FITTED}, {sql.APPLIED} SELECT prediction_id, feature_id, bin::INT AS bin, round(woe, 6) AS woe FROM weighed""")
 def applied_woe(spark: SparkSession, folder: str) -> DataFrame:
-    found, _, fitted = rules(spark, folder)
-    return rounded(apply_woe(found, fitted).where("bin is not null").select("prediction_id", "feature_id", "bin", "woe"), ["woe"])
+    wide, _, fitted = rules(spark, folder)
+    return rounded(apply_woe(to_long(wide, ["prediction_id"]), fitted).where("bin is not null").select("prediction_id", "feature_id", "bin", "woe"), ["woe"])
 
 
 _FIRST_LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import monitor, scorecard
-from tidemark.operators.catalog import feature_catalog
+from tidemark.operators.catalog import FEATURE_IDS, feature_catalog
+from tidemark.operators.features import to_long
 from tidemark.plans import credit_sql as sql
 from tidemark.plans import credit_tables as credit
 from tidemark.plans.feature_queries import rounded, rules, values
@@ -48,14 +49,14 @@ def feature_views(spark: SparkSession, folder: str) -> DataFrame:
   FROM shares b JOIN shares a ON a.feature_id = b.feature_id AND a.bin = b.bin AND a.split = 'train'
   WHERE b.split <> 'train' GROUP BY ALL""")
 def population_stability(spark: SparkSession, folder: str) -> DataFrame:
-    found, points, fitted = rules(spark, folder)
-    return rounded(monitor.psi(found, points, fitted), ["psi"])
+    wide, points, fitted = rules(spark, folder)
+    return rounded(monitor.psi(to_long(wide, ["prediction_id"]), points, fitted), ["psi"])
 
 
 @query(f"""{_APPLIED} SELECT prediction_id, round(-sum(woe), 6) + 0.0 AS score, count(*) AS features FROM weighed GROUP BY 1""")
 def batch_scores(spark: SparkSession, folder: str) -> DataFrame:
-    found, _, fitted = rules(spark, folder)
-    return rounded(monitor.batch_score(found, fitted), ["score"])
+    wide, _, fitted = rules(spark, folder)
+    return rounded(monitor.batch_score_wide(wide, fitted, FEATURE_IDS), ["score"])
 
 
 def _ks_sql(scored: str, name: str) -> str:
@@ -70,16 +71,16 @@ def _ks_sql(scored: str, name: str) -> str:
       WINDOW w AS (PARTITION BY split ORDER BY score), a AS (PARTITION BY split)) GROUP BY split)"""
 
 
-def _scored(found: DataFrame, points: DataFrame, fitted: DataFrame, features: list[str] | None = None) -> DataFrame:
-    scores = monitor.batch_score(found, fitted, features).join(points.select("prediction_id", "split", "label"), "prediction_id")
+def _scored(wide: DataFrame, points: DataFrame, fitted: DataFrame) -> DataFrame:
+    scores = monitor.batch_score_wide(wide, fitted, FEATURE_IDS).join(points.select("prediction_id", "split", "label"), "prediction_id")
     return scores.withColumn("score", F.round("score", 9) + 0.0)
 
 
 @query(f"""{_SCORED}, {_ks_sql('scored', 'k')} SELECT split, good::BIGINT AS good, bad::BIGINT AS bad, round(ks, 6) AS ks,
     round(auc, 6) AS auc, round(lift, 6) AS lift FROM k""")
 def ranking_power(spark: SparkSession, folder: str) -> DataFrame:
-    found, points, fitted = rules(spark, folder)
-    return rounded(monitor.ks_auc_lift(_scored(found, points, fitted), ["split"]), ["ks", "auc", "lift"])
+    wide, points, fitted = rules(spark, folder)
+    return rounded(monitor.ks_auc_lift(_scored(wide, points, fitted), ["split"]), ["ks", "auc", "lift"])
 
 
 _APP = list(sql.APP_SQL)
@@ -93,8 +94,8 @@ _STRICT = ", ".join(f"'{f}'" for f in _APP)
   SELECT split, round(f.ks, 6) AS ks_full, round(s.ks, 6) AS ks_strict, round(f.ks - s.ks, 6) AS ks_inflation FROM f JOIN s USING (split)""")
 def ks_inflation_by_split(spark: SparkSession, folder: str) -> DataFrame:
     """What the KS of all features gains over application features alone."""
-    found, points, fitted = rules(spark, folder)
-    scores = monitor.batch_scores_by_view(found, fitted, {"full": None, "strict": _APP}).join(points.select("prediction_id", "split", "label"), "prediction_id")
+    wide, points, fitted = rules(spark, folder)
+    scores = monitor.batch_scores_by_view(wide, fitted, {"full": FEATURE_IDS, "strict": _APP}).join(points.select("prediction_id", "split", "label"), "prediction_id")
     power = settle(monitor.ks_auc_lift(scores.withColumn("score", F.round("score", 9) + 0.0), ["split", "view"]), "power")
     full, strict = [power.where(F.col("view") == view).drop("view") for view in ("full", "strict")]
     return rounded(monitor.ks_inflation(full, strict, ["split"]), ["ks_full", "ks_strict", "ks_inflation"])
@@ -103,10 +104,10 @@ def ks_inflation_by_split(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def scorecard_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Every prediction of the snapshot scored by a stored logistic model on weights, which the training split alone fitted."""
-    found, points, fitted = rules(spark, folder)
+    values_wide, points, fitted = rules(spark, folder)
     features = sorted(r.feature_id for r in fitted.select("feature_id").distinct().collect())  # those of the catalog that have rules
     labelled = points.select("prediction_id", "split", "label")
-    wide = settle(scorecard.woe_wide(found, fitted, features).join(labelled, "prediction_id"), "weights")
+    wide = settle(scorecard.woe_wide(to_long(values_wide, ["prediction_id"]), fitted, features).join(labelled, "prediction_id"), "weights")
     path = scratch_folder(spark, "model")
     scorecard.fit_scorecard(wide.where("split = 'train'"), features).write().save(path)
     scored = scorecard.score_snapshot(wide, path, credit.SNAPSHOT)
