@@ -404,6 +404,31 @@ def test_top_k_stops_before_the_end():
     assert index.possible(rows[:2] * (1 << 50), 6).all()  # beyond exact doubles everything is scored
 
 
+def test_copies_of_the_queries_are_not_broadcast(spark, monkeypatch):
+    """Each block gets a copy of every query: these grow with the square of the rows, whatever Spark takes their size for."""
+    for name, size in (("BLOCK", 50), ("QUERIES", 2), ("PARTS", 3)):
+        monkeypatch.setattr(exact_topk, name, size)
+    chance = np.random.default_rng(8)
+    data = {i: chance.normal(0, 0.2, 8).astype(np.float32).tolist() for i in range(1000)}
+    df = exact_topk.top_k(spark.createDataFrame(list(data.items()), "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, 5)
+    assert {tuple(r) for r in df.collect()} == plain.top_k(data, 50, 5)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [3, 300, 1 << 20, 1 << 27])
+def test_bounds_of_many_queries_hold_in_floats_and_doubles(size):
+    import pandas as pd
+
+    chance = np.random.default_rng(9)
+    rows = chance.integers(-size, size + 1, (300, 16))
+    made = exact_topk._index(pd.DataFrame({"block": 0, "id": np.arange(300), "times": 1, "vector": rows.tolist()})).iloc[0]
+    index = exact_topk.BlockIndex(*[made[c] for c in ("width", "ids", "times", "rows", "segment", "least", "most")])
+    asking = np.arange(0, 300, 7)
+    for q, (ids, _, scores) in zip(asking, index.best(asking, rows[asking], 5)):
+        want = sorted((-int(s), i) for i, s in enumerate(rows @ rows[q]) if i != q)[:5]
+        assert list(zip(-scores, ids)) == want
+
+
 def test_every_repeated_row_is_a_candidate(spark):
     chance = np.random.default_rng(6)
     rows = [(i, chance.integers(-4, 4, 4).astype(float).tolist()) for i in range(101)]

@@ -8,9 +8,10 @@ each reach a given share of them. A processed posting adds its segment's least a
 is not processed can add no more than the impact that comes next. A query stops only when the bounds prove
 that few vectors can be among its best k, or after the last segment; those vectors are scored exactly.
 
-Queries go to the blocks in blocks, as one row each, so a task holds one block of either kind at a time. A
-vector has one posting per dimension, so the postings of a block are kept as a table of segment numbers, and
-the bounds after a round are sums of what it looks up there.
+Queries go to the blocks in parts, as one row each, and a bounded number of parts meets a block as one group. The two
+are grouped together instead of joined: Spark would take the copies of the queries for as small as the queries and
+broadcast them. A vector has one posting per dimension, so the postings of a block are kept as a table of segment
+numbers, and the bounds after a round are sums of what it looks up there, for all queries of a part at once.
 
 Defined results: vectors that are NULL or hold NULL or non-finite components, and rows without an id, take no
 part; every row is a candidate, so rows equal in id and vector stand in the ranks as often as they occur; rows
@@ -21,24 +22,23 @@ not named stay unread.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import settle
 
-#: Vectors and queries in a block, on average.
+#: Vectors in a block and queries in a part, on average.
 BLOCK, QUERIES = 4096, 64
+#: Parts that meet a block at a time, and the most partitions that these groups are dealt over.
+PARTS, PARTITIONS = 128, 4096
 #: Posting segments of a dimension.
 SEGMENTS = 32
 #: Share of the segments processed after each round, and the share of a block that may be scored exactly.
 ROUNDS, RESCORED = (1 / 3, 1), 16
-#: Whole numbers up to this size are exact as doubles.
-_EXACT = 1 << 52
+#: Whole numbers up to these sizes are exact as floats and as doubles.
+_SINGLE, _EXACT = 1 << 24, 1 << 52
 _EMPTY = np.int64(1 << 62)
 
 
@@ -73,7 +73,7 @@ def _index(part: pd.DataFrame) -> pd.DataFrame:
 
 def _queries(part: pd.DataFrame) -> pd.DataFrame:
     ids, rows = _packed(part)
-    return pd.DataFrame({"width": [rows.shape[1]], "query_ids": [ids.tobytes()], "query_rows": [rows.tobytes()]})
+    return pd.DataFrame({"group": [part["part"].iloc[0] // PARTS], "width": [rows.shape[1]], "query_ids": [ids.tobytes()], "query_rows": [rows.tobytes()]})
 
 
 class BlockIndex:
@@ -84,7 +84,7 @@ class BlockIndex:
         self.rows = np.frombuffer(rows, np.int64).reshape(len(self.ids), width)
         self.segment = np.frombuffer(segment, np.uint8).reshape(len(self.ids), width)
         self.least, self.most = (np.frombuffer(x, np.int64).reshape(width, SEGMENTS) for x in (least, most))
-        self.filled = self.least <= self.most
+        self.filled, self.postings = self.least <= self.most, np.ascontiguousarray(self.segment.T.astype(np.intp))
 
     def possible(self, queries: np.ndarray, k: int) -> np.ndarray:
         """For each query the vectors that may be among its best k; all others are proved not to be."""
@@ -92,28 +92,32 @@ class BlockIndex:
         large = float(np.abs(queries).max()) * float(max(np.abs(self.rows).max(), 1)) * width * 4
         if k >= n or large >= _EXACT:
             return np.ones((len(queries), n), bool)
-        postings = np.ascontiguousarray((self.segment + np.arange(width) * SEGMENTS).T.astype(np.intp))
-        least, most = np.where(self.filled, self.least, 0), np.where(self.filled, self.most, 0)
-        return np.array([self._possible(q, k, postings, least, most) for q in queries])
-
-    def _possible(self, query: np.ndarray, k: int, postings: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
-        n = len(self.ids)
-        ends = np.stack([query[:, None] * least, query[:, None] * most])
-        down, up = ends.min(axis=0), ends.max(axis=0)
-        floor = np.where(self.filled, down, _EMPTY).min(axis=1, keepdims=True)  # least that a dimension adds
-        gain = np.where(self.filled, down - floor, 0).ravel().astype(np.float64)
-        impact = np.where(self.filled, up - floor, 0).ravel().astype(np.float64)
-        descending = -np.sort(-impact)
+        kind = np.float32 if large < _SINGLE else np.float64
+        least, most = (np.where(self.filled, x, 0)[:, :, None] * queries.T[:, None, :] for x in (self.least, self.most))
+        down, up, filled = np.minimum(least, most), np.maximum(least, most), self.filled[:, :, None]
+        floor = np.where(filled, down, _EMPTY).min(axis=1, keepdims=True)  # least that a dimension adds
+        gain, impact = (np.where(filled, x - floor, 0).astype(kind) for x in (down, up))
+        descending = -np.sort(-impact.reshape(-1, len(queries)), axis=0)
+        may, unproved = np.ones((len(queries), n), bool), np.arange(len(queries))
         for share in ROUNDS:
-            done = impact >= descending[int(len(impact) * share) - 1]
-            ahead = 0.0 if done.all() else impact[~done].max()  # the impact that comes next
-            low = np.take(np.where(done, gain, 0.0), postings).sum(axis=0)
-            high = np.take(np.where(done, impact, ahead), postings).sum(axis=0)
-            may = high >= np.partition(low, n - k)[n - k]
-            if np.count_nonzero(may) <= max(k, n // RESCORED):
+            done = impact >= descending[int(len(descending) * share) - 1]
+            ahead = np.where(done, 0, impact).max(axis=(0, 1))  # the impact that comes next
+            low, high = self._bounds(np.where(done, gain, 0), np.where(done, impact, ahead))
+            may[unproved] = high >= np.partition(low, n - k, axis=1)[:, n - k, None]
+            rest = np.count_nonzero(may[unproved], axis=1) > max(k, n // RESCORED)
+            if not rest.any():
                 break
+            unproved, gain, impact, descending = unproved[rest], gain[:, :, rest], impact[:, :, rest], descending[:, rest]
         return may
 
+    def _bounds(self, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each query's segments add up to at least and at most, per query and vector."""
+        sums, added = np.zeros((len(self.ids), 2 * least.shape[2]), least.dtype), np.concatenate([least, most], axis=2)
+        for dimension, segments in enumerate(self.postings):
+            sums += added[dimension].take(segments, axis=0)
+        low, high = np.split(np.ascontiguousarray(sums.T), 2)
+        return low, high
+
     def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each query the ids, times and scores of the best k, in order; rows with its own id do not count."""
         own = np.searchsorted(self.ids, query_ids, "right") - np.searchsorted(self.ids, query_ids, "left")
@@ -137,27 +141,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_column: str = "vec_id
     index = rows.select("id", "vector", "times", width, F.pmod(near, F.lit(blocks)).alias("block")).groupBy("block", "width").applyInPandas(
         _index, "block bigint, width int, ids binary, times binary, rows binary, segment binary, least binary, most binary")
     asked = rows.where("asks").select("id", "vector", width, F.pmod(near, F.lit(asking)).alias("part")).groupBy("part", "width").applyInPandas(
-        _queries, "width int, query_ids binary, query_rows binary")
+        _queries, "group bigint, width int, query_ids binary, query_rows binary")
+    groups, by = -(-asking // PARTS), ("block", "width", "group")
+    index = index.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = settle(index, "index").join(asked, ["block", "width"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                r = {name: batch.column(i)[row].as_py() for i, name in enumerate(batch.schema.names)}
-                block = BlockIndex(*[r[c] for c in ("width", "ids", "times", "rows", "segment", "least", "most")])
-                asking_ids = np.frombuffer(r["query_ids"], np.int64)
-                asking_rows = np.frombuffer(r["query_rows"], np.int64).reshape(len(asking_ids), r["width"])
-                found = block.best(asking_ids, asking_rows, k)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(asking_ids, [len(f[0]) for f in found])),
-                        *[pa.array(np.concatenate([f[i] for f in found])) for i in range(3)],
-                    ],
-                    ["query_id", "vec_id", "times", "score"])
+    # Twice as many partitions as groups, so that few have to take two.
+    dealt = [df.repartition(min(2 * blocks * groups, PARTITIONS), *by).groupBy(*by) for df in (index, asked)]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for own in left.itertuples() if len(right) else ():
+            block = BlockIndex(own.width, own.ids, own.times, own.rows, own.segment, own.least, own.most)
+            for part in right.itertuples():
+                asking_ids = np.frombuffer(part.query_ids, np.int64)
+                asking_rows = np.frombuffer(part.query_rows, np.int64).reshape(len(asking_ids), part.width)
+                for query_id, best in zip(asking_ids, block.best(asking_ids, asking_rows, k)):
+                    found.append((np.full(len(best[0]), query_id), *best))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "times", "score"), columns)))
 
     # A query has at most k rows from each block, of different vectors. Equal rows were indexed once.
-    hits = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, times bigint, score bigint")
+    hits = dealt[0].cogroup(dealt[1]).applyInPandas(run, "query_id bigint, vec_id bigint, times bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
     hits = best.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), F.least("times", F.lit(k).cast("long")))))
