@@ -9,6 +9,7 @@ from urllib.parse import urlparse
 from pyspark.sql import functions as F
 
 from tidemark.plans import stream_queries
+from tidemark.sources.topics import read_events, write_updates
 from tidemark.streaming import state
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -64,3 +65,10 @@ def test_a_batch_writes_over_the_rows_of_the_one_before(spark, tmp_path):
     assert some.columns == ["entity_id", "feature_id", "feature_value"]
     key = lambda df: sorted(map(tuple, df.select(*some.columns).collect()), key=repr)
     assert key(whole) == key(some) and some.where(F.col("feature_id") == "bureau.credit_sum_total").first().feature_value == 9.0
+
+
+def test_outgoing_messages_are_compressed(spark, tmp_path):
+    rows = spark.range(5000).select(F.lit("SK_ID_CURR:1").alias("entity_id"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    write_updates(rows.coalesce(1), str(tmp_path / "out"), "t")
+    sent = read_events(spark, str(tmp_path / "out"), stream=False)
+    assert sent.count() == 5000 and bytes_of(sent) < 50 * 5000
